@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 M = "{http://schemas.openxmlformats.org/officeDocument/2006/math}"
@@ -316,13 +317,13 @@ def to_omml(latex: str, *, compat: bool = False) -> ET.Element:
 # As columns
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def omml_to_latex(xml: pd.Series) -> pd.Series:
     return xml.map(lambda x: to_latex(ET.fromstring(x)), na_action="ignore")
 
 
 def latex_to_omml(compat: bool = False):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def convert(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for latex in batches:
             yield latex.map(lambda x: ET.tostring(to_omml(x, compat=compat), encoding="unicode"), na_action="ignore")

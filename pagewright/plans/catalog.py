@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import formats, text
+from ..functions import formats, omml, text
 from ..operators import checks, chunking, formatting, lookups
+from ..sources import docx
+from . import documents, samples
 from .adapters import edited_lines, lines, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -303,3 +305,62 @@ def registry_json(spark, sf_dir):
 @query(f"WITH {LINES} SELECT doc_id, count(*) AS n_lines, count_if(regexp_replace(text, '\\s', '', 'g') <> '')::BIGINT AS n_kept FROM lines GROUP BY doc_id")
 def blank_filter(spark, sf_dir):
     return lines(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(~text.is_blank(F.col("text"))).alias("n_kept"))
+
+
+# Documents as packages, one made for each conversation. SQL tells what must come out of them; formulas and parts have tests.
+
+
+def _named(found: DataFrame, packages: DataFrame) -> DataFrame:
+    """Rows with the conversation that their package was made for."""
+    names = packages.select("doc_hash", F.regexp_extract("path", "([0-9]+).docx", 1).cast("long").alias("conv_id"))
+    return found.join(names, "doc_hash").drop("doc_hash")
+
+
+_TURNS = """turns AS (SELECT conv_id, turn, lpad(upper(to_hex(turn)), 8, '0') AS para_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS para_ord, role || ' ' AS who,
+    substr(replace(coalesce(text, ''), chr(10), ' '), 1, 400) || ' end' AS said FROM conversations)"""
+
+
+@query(f"""WITH {_TURNS} SELECT conv_id, para_ord::INT AS para_ord, para_id, unnest([0, 1, 2, 3])::INT AS run_ord, unnest([true, false, false, false]) AS bold, unnest([false, turn % 2 = 1, false, false]) AS italic,
+    unnest([0, 0, 24, 24])::INT AS size, unnest([who, said, ' x', 'y']) AS text FROM turns""")
+def docx_shred(spark, sf_dir):
+    packages = samples.conversation_packages(spark, sf_dir)
+    runs = docx.runs(packages).select("doc_hash", "para_ord", "para_id", "run_ord", F.col("fmt.bold").alias("bold"), F.col("fmt.italic").alias("italic"), F.col("fmt.size").alias("size"), "text")
+    return _named(runs, packages)
+
+
+@query("SELECT DISTINCT conv_id, unnest([0, 1])::INT AS part_ord, unnest(['[Content_Types].xml', 'word/document.xml']) AS arcname FROM conversations")
+def docx_parts(spark, sf_dir):
+    packages = samples.conversation_packages(spark, sf_dir)
+    return _named(docx.parts(packages).select("doc_hash", "part_ord", "arcname"), packages)
+
+
+@query(f"""WITH {_TURNS} SELECT conv_id, para_ord::INT AS para_ord, para_id, '‹F1:b›' || who || '‹/›‹F2:' || CASE WHEN turn % 2 = 1 THEN 'i' ELSE 'fmt' END || '›' || said || '‹/› xy' AS text FROM turns""")
+def docx_extract(spark, sf_dir):
+    """Chunk lines of the tagged paragraphs of each package."""
+    packages = samples.conversation_packages(spark, sf_dir)
+    chunks, _ = documents.extract(docx.runs(packages))
+    return _named(chunks.select("doc_hash", "para_ord", "para_id", "text"), packages)
+
+
+@query(f"""WITH {_TURNS} SELECT conv_id, para_id, unnest([0, 1, 2])::INT AS run_ord, unnest([true, false, false]) AS bold, unnest([who, said, ' xy']) AS text FROM turns""")
+def docx_rebuild(spark, sf_dir):
+    """Packages rebuilt from their own chunks and registries: the runs of the result."""
+    packages = samples.conversation_packages(spark, sf_dir)
+    chunks, registries = documents.extract(docx.runs(packages))
+    rebuilt = documents.rebuild(packages, chunks.select("doc_hash", "para_id", "text"), registries)
+    names = packages.select("doc_hash", F.regexp_extract("path", "([0-9]+).docx", 1).cast("long").alias("conv_id"))
+    again = docx.as_packages(rebuilt.join(names, "doc_hash").select("conv_id", "content"))
+    runs = docx.runs(again).join(again.select("doc_hash", "conv_id"), "doc_hash")
+    return runs.select("conv_id", "para_id", "run_ord", F.col("fmt.bold").alias("bold"), "text")
+
+
+@query()
+def latex_omml(spark, sf_dir):
+    formula = F.expr("concat('x_', doc_id % 10, '^2 + \\\\frac{', doc_id, '}{\\\\sqrt[3]{y}} \\\\leq \\\\alpha_{', lang, '}')")
+    return table(spark, sf_dir, "documents").select("doc_id", omml.latex_to_omml()(formula).alias("omml"))
+
+
+@query("SELECT doc_id, 'x_{' || doc_id % 10 || '}^{2}+\\frac{' || doc_id || '}{\\sqrt[3]{y}}≤α_{' || lang || '}' AS latex FROM documents")
+def omml_latex(spark, sf_dir):
+    """Formulas as Office MathML and back."""
+    return latex_omml(spark, sf_dir).select("doc_id", omml.omml_to_latex("omml").alias("latex"))
