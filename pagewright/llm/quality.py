@@ -201,8 +201,9 @@ def keep(docs: DataFrame, model: tuple[np.ndarray, float], *, threshold: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            texts = batch.column(at).to_pylist()
             score = 1 / (1 + np.exp(-(logits([x or "" for x in texts], table) + bias)))
             yield batch.filter(pa.array(score >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    at, plain = docs.columns.index(text_col), docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names may hold dots
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -1,9 +1,9 @@
 """Sharding by histogram sort (op9): the law is ``bytes``, shards of nearly equal size.
 
 Rows are ordered by (hash of the text, row number), so equal texts lie side by side. For every
-shard boundary some candidate keys ("probes") are set, the exact bytes below each are counted
+shard boundary 1,024 candidate keys ("probes") are set, the exact bytes below each are counted
 over all partitions, and the probes are set anew between the two that enclose the target, until
-each boundary meets its tolerance. What a round brings to the driver is one row for
+each boundary meets its tolerance. What a round brings to the driver is at most one row for
 each gap between probes. A text whose copies are larger than the tolerance is cut within, by row
 number; smaller groups stay in one shard. Then rows are exchanged once, into many buckets for
 each shard, and numbered there; offsets of buckets make the slots gapless.
@@ -19,7 +19,7 @@ from .scratch import Scratch
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 16, *, tolerance: float = 0.002, probes: int = 16,
+def shard_by_bytes(docs: DataFrame, shards: int = 16, *, tolerance: float = 0.002, bits: int = 10,
                    id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 100_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard (null: it belongs to another law).
 
@@ -33,7 +33,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, *, tolerance: float = 0.00
     keys = scratch.save(
         docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
                     F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("key"), F.monotonically_increasing_id().alias("row")), "keys")
-    cuts, rows = splitters(keys, shards, tolerance, probes)
+    cuts, rows = splitters(keys, shards, tolerance, bits)
     buckets = max(1, -(-rows // (shards * bucket_rows)))
     placed = keys.withColumn("shard", _below([(F.col("key") > k) | ((F.col("key") == k) & (F.col("row") >= r)) for k, r in cuts])).withColumn(
         "bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
@@ -46,69 +46,55 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, *, tolerance: float = 0.00
         F.lit(None).cast("int").alias("grown_shard"))
 
 
-def splitters(keys: DataFrame, shards: int, tolerance: float, probes: int) -> tuple[list[tuple[int, int]], int]:
+def splitters(keys: DataFrame, shards: int, tolerance: float, bits: int) -> tuple[list[tuple[int, int]], int]:
     """The first (key, row) of each shard but the first, in order, and the number of rows."""
     whole = keys.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
     total, rows = whole["bytes"] or 0, whole["rows"]
-    slack = tolerance * total / shards
-    targets = [total * i / shards for i in range(1, shards)]
-    cuts: dict[int, tuple[int, int]] = {}
+    if not rows:
+        return [], 0
+    targets = {i: total * i / shards for i in range(1, shards)}
+    cuts, heavy = _search(keys, "key", targets, tolerance * total / shards, bits)
+    placed = {i: (key, LEAST) for i, key in cuts.items()}
+    for key in sorted({key for key, _ in heavy.values()}):
+        inside = {i: targets[i] - below for i, (k, below) in heavy.items() if k == key}
+        rows_cut, _ = _search(keys.where(F.col("key") == key), "row", inside, 0, bits)
+        placed |= {i: (key, row) for i, row in rows_cut.items()}
+    return sorted(placed.values()), rows
+
+
+def _search(keys: DataFrame, column: str, targets: dict[int, float], slack: float, bits: int) -> tuple[dict[int, int], dict[int, tuple[int, int]]]:
+    """For each target a value of ``column`` below which so many bytes lie; or, if one value holds more than the slack, that value and the bytes below it.
+
+    Each round sets probes at 2 ** ``bits`` even steps within the cell that holds a target, for all targets at once.
+    """
+    cuts: dict[int, int] = {}
     heavy: dict[int, tuple[int, int]] = {}
-    ranges = {i: (LEAST, MOST) for i in range(len(targets))} if rows else {}
-    while ranges:
-        tried, found = _histogram(keys, "key", ranges, probes)
-        for i, (low, high) in list(ranges.items()):
-            kind, value = _refine(tried, found, targets[i], slack, low, high)
-            if kind == "range":
-                ranges[i] = value
-            else:
-                del ranges[i]
-                (cuts if kind == "cut" else heavy)[i] = (value, LEAST) if kind == "cut" else value
-    for key in sorted({k for k, _ in heavy.values()}):
-        inside = keys.where(F.col("key") == key)
-        ranges = {i: (LEAST, MOST) for i, (k, _) in heavy.items() if k == key}
-        goals = {i: targets[i] - heavy[i][1] for i in ranges}
-        while ranges:
-            tried, found = _histogram(inside, "row", ranges, probes)
-            for i, (low, high) in list(ranges.items()):
-                kind, value = _refine(tried, found, goals[i], 0, low, high)
-                if kind == "range":
-                    ranges[i] = value
+    cells = {i: (0, 0) for i in targets}  # a target's cell, and the exact bytes below it
+    width = 64
+    while cells:
+        shift = max(0, width - bits)
+        inside = keys if width == 64 else keys.where(F.shiftright(column, width).isin(sorted({c for c, _ in cells.values()})))
+        found = sorted((r["cell"], r["bytes"], r["least"], r["most"], r["rows"]) for r in inside.groupBy(F.shiftright(column, shift).alias("cell")).agg(
+            F.sum("size").alias("bytes"), F.min(column).alias("least"), F.max(column).alias("most"), F.count(F.lit(1)).alias("rows")).collect())
+        for i, (cell, below) in list(cells.items()):
+            for part, size, least, most, rows in found:
+                if width < 64 and part >> (width - shift) != cell:
+                    continue
+                if below + size < targets[i]:
+                    below += size
+                    continue
+                error, cut = min((targets[i] - below, least), (below + size - targets[i], most + 1))
+                if (error <= slack or rows == 1) and cut <= MOST:
+                    cuts[i] = cut
+                elif least == most and column == "key":
+                    heavy[i] = (least, below)
                 else:
-                    del ranges[i]
-                    cuts[i] = (key, value if kind == "cut" else _nearer(found, value, goals[i]))
-    return sorted(cuts.values()), rows
-
-
-def _histogram(keys: DataFrame, column: str, ranges: dict, probes: int):
-    """Probes for all ranges, and the exact (bytes, least, most) of each gap between them that has rows."""
-    tried = sorted({low + (high - low) * k // (probes + 1) for low, high in ranges.values() for k in range(1, probes + 1)} | {x for r in ranges.values() for x in r} - {LEAST, MOST})
-    gap = _below([F.col(column) >= p for p in tried])
-    found = keys.groupBy(gap.alias("gap")).agg(F.sum("size").alias("bytes"), F.min(column).alias("least"), F.max(column).alias("most"), F.count(F.lit(1)).alias("rows")).collect()
-    return tried, {r["gap"]: (r["bytes"], r["least"], r["most"], r["rows"]) for r in found}
-
-
-def _refine(tried: list[int], found: dict, target: float, slack: float, low: int, high: int):
-    """("cut", first key above), ("heavy", (key, bytes below it)) or ("range", (low, high))."""
-    below, best = 0, None
-    for gap in range(len(tried) + 1):
-        size, least, most, rows = found.get(gap, (0, None, None, 0))
-        if size and below + size >= target:
-            for error, cut in ((abs(target - below), least), (abs(below + size - target), most + 1)):
-                if (error <= slack or rows == 1) and cut <= MOST and (best is None or error < best[0]):
-                    best = (error, cut)
-            if best:
-                return "cut", best[1]
-            return ("heavy", (least, below)) if least == most else ("range", (least, min(most + 1, MOST)))
-        below += size
-    return "cut", high
-
-
-def _nearer(found: dict, at: tuple[int, int], goal: float) -> int:
-    """Before or after a single row, whichever leaves the smaller error."""
-    row, below = at
-    size = next(b for b, least, *_ in found.values() if least == row)
-    return row if goal - below <= below + size - goal else row + 1
+                    cells[i] = (part, below)
+                    break
+                del cells[i]
+                break
+        width = shift
+    return cuts, heavy
 
 
 def _below(tests: list[Column]) -> Column:
