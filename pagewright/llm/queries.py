@@ -103,4 +103,31 @@ ORACLE_SQL: dict[str, str] = {
         WITH rows AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS normal FROM documents),
         groups AS (SELECT normal, max(doc_id) AS keep_id, count(*) AS group_size FROM rows GROUP BY normal)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(normal) AS text_sha256 FROM rows JOIN groups USING (normal)""",
+    "op5_substring_dedup": r"""
+        WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS s FROM docs),
+        windows AS (SELECT doc_id, s, md5(array_to_string(words[s:s + 49], ' ')) AS w FROM starts),
+        firsts AS (SELECT w, min(doc_id) AS first FROM windows GROUP BY w),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS place FROM windows JOIN firsts USING (w) WHERE first < doc_id),
+        every AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM docs),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS kept, count(*) AS n FROM every ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+        SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (doc_id)""",
+    "op6_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+                AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (SELECT a.vec_id AS one, b.vec_id AS two FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+        reach AS (SELECT one, two FROM links UNION SELECT r.one, l.two FROM reach r JOIN links l ON r.two = l.one),
+        least AS (SELECT one, min(two) AS two FROM reach GROUP BY one), n AS (SELECT one, count(*) AS n FROM links GROUP BY one)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(two, vec_id)) AS component_id, vec_id <= coalesce(two, vec_id) AS kept
+        FROM embeddings LEFT JOIN least ON vec_id = least.one LEFT JOIN n ON vec_id = n.one""",
+    "op7_jaccard_join": r"""
+        WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        sets AS (SELECT doc_id, CASE WHEN len(words) >= 3 THEN list_distinct(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' ')))
+            WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS items FROM docs),
+        every AS (SELECT doc_id, len(items) AS n, unnest(items) AS item FROM sets),
+        links AS (SELECT a.doc_id AS one, b.doc_id AS two FROM every a JOIN every b ON a.item = b.item AND a.doc_id <> b.doc_id AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+        reach AS (SELECT one, two FROM links UNION SELECT r.one, l.two FROM reach r JOIN links l ON r.two = l.one),
+        least AS (SELECT one, min(two) AS two FROM reach GROUP BY one)
+        SELECT doc_id, len(items)::BIGINT AS n_shingles, least(doc_id, coalesce(two, doc_id)) AS component_id FROM sets LEFT JOIN least ON doc_id = one""",
 }

@@ -225,7 +225,7 @@ def test_warc_files(spark, tmp_path):
 def test_query_gives_what_sql_gives(spark, sf_dir, name):
     got = queries.QUERIES[name](spark, sf_dir).toPandas()
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     want = con.sql(queries.ORACLE_SQL[name]).df()
     columns = sorted(got.columns)
