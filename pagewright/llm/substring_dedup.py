@@ -135,7 +135,8 @@ def substring_dedup(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([hashlib.sha256(b" ".join(x)).hexdigest() for x in found])], names=["doc_id", "n_words", "sha"])
 
     info = scratch.save(texts.mapInArrow(told, "doc_id long, n_words long, sha string"), "info")
-    first = info.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("doc_id").alias("first"))
+    # Written, so that the join may split a digest that very many documents have.
+    first = scratch.save(info.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first")
     marked = info.join(first, "sha", "left").withColumn("copy", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)))
     marked = scratch.save(marked.select("doc_id", "n_words", "sha", "copy"), "marked")
     done = scratch.save(marked.groupBy("doc_id").agg(F.min(F.col("copy") | (F.col("n_words") < window)).alias("done")).where("done and doc_id is not null").select("doc_id"), "done")
@@ -203,3 +204,49 @@ def _exchange(rows: DataFrame) -> DataFrame:
 def _tagged(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return hashes ^ ((owner + 1) * np.int64(0x165667B19E3779F9))
+
+
+def longest_repeats(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, longest: of the lengths window, 2 * window, 4 * window, ... the longest at which a window of the document is in another, too.
+
+    Documents without a repeated window have no row. A window of twice the length goes on only if both its halves repeat; the
+    rounds end when none does. Rows without an id are left out; rows that repeat an id are one document.
+    """
+    scratch = Scratch(docs.sparkSession, "longest")
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found, length, rounds = None, window, []
+    while True:
+        held = texts.withColumn("lists", F.lit(None).cast("array<long>")) if found is None else texts.join(found, "doc_id").select("doc_id", "text", "lists")
+        repeated = _exchange(held.mapInArrow(_doubling(length, found is None), PAIRS)).mapInArrow(_runs(True), PAIRS)
+        found = scratch.save(repeated.groupBy("doc_id").agg(F.collect_set("hash").alias("lists")), f"round-{length}")
+        if found.isEmpty():
+            break
+        rounds.append(found.select("doc_id", F.lit(length).alias("length")))
+        length *= 2
+    if not rounds:
+        return found.select("doc_id", F.lit(0).alias("longest"))
+    whole = rounds[0]
+    for one in rounds[1:]:
+        whole = whole.unionByName(one)
+    return whole.groupBy("doc_id").agg(F.max("length").alias("longest"))
+
+
+def _doubling(length: int, first: bool):
+    """Hashes of the windows of ``length`` words: all of them at first, then those of which both halves are in the document's list."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                words, sizes = word_hashes(part.column(1))
+                owner, last = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.cumsum(sizes), sizes)
+                full = run_hashes(words, length)
+                there = np.flatnonzero(np.arange(len(full)) + length <= last[:len(full)])
+                if not first:
+                    lists = part.column(2)
+                    known = _tagged(lists.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), np.diff(lists.offsets.to_numpy())))
+                    half = run_hashes(words, length // 2)
+                    repeats = np.isin(_tagged(signed(half), owner[:len(half)]), known)
+                    there = there[repeats[there] & repeats[there + length // 2]]
+                yield from _settle(signed(full[there]), part.column(0).to_numpy()[owner[there]], both=True)
+
+    return run

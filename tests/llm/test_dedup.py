@@ -128,3 +128,22 @@ def test_components(spark):
     at = {x: i for i, x in enumerate(nodes)}
     roots = brute.components(len(nodes), [(at[a], at[b]) for a, b in links if a != b])
     assert got == {x: nodes[r] for x, r in zip(nodes, roots, strict=True)}
+
+
+def test_longest_repeats(spark, docs, documents, nothing):
+    window, longest = 7, {}
+    words = [(i, brute.WORD.findall(t or "")) for i, t in documents if i is not None]
+    length = window
+    while True:
+        owners = {}
+        for i, w in words:
+            for s in range(len(w) - length + 1):
+                owners.setdefault(tuple(w[s:s + length]), set()).add(i)
+        hit = {i for o in owners.values() if len(o) > 1 for i in o}
+        if not hit:
+            break
+        longest |= dict.fromkeys(hit, length)
+        length *= 2
+    assert length > 4 * window
+    assert {r["doc_id"]: r["longest"] for r in substring_dedup.longest_repeats(docs, window=window).collect()} == longest
+    assert substring_dedup.longest_repeats(nothing).isEmpty()
