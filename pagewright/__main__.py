@@ -34,8 +34,8 @@ def main(args: list[str]) -> int:
             print(x["severity"], x["file_name"], x["line_no"], x["rule"], x["detail"])
         return 0 if checks.report(faults).first()["passed"] else 1
     packages = docx.read_packages(spark, given.file)
-    one = packages.select("doc_hash")
-    texts = chunks.paragraph_map(chunks.read_lines(spark, given.chunks)).join(F.broadcast(one))
+    doc_hash = packages.select("doc_hash").first()["doc_hash"]  # one file: one document
+    texts = chunks.paragraph_map(chunks.read_lines(spark, given.chunks)).withColumn("doc_hash", F.lit(doc_hash))
     registries = spark.read.text(given.registry, wholetext=True).select(F.from_json("value", "doc_hash string")["doc_hash"].alias("doc_hash"), F.col("value").alias("registry"))
     out = documents.rebuild(packages, texts, registries)
     chunks.write_files(out.select(F.lit("restored.docx").alias("file_name"), "content"), given.out)
