@@ -22,8 +22,9 @@ from pyspark.sql import types as T
 from .columns import fold_ascii
 from .scratch import Scratch, small
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk; without space set aside beforehand, which is several MB for each partition of the state.
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def sha256_hex(text: Column) -> Column:
@@ -46,7 +47,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     arrivals = scratch.save(
         rows.select("doc_id", digest(F.col("normal")).alias("digest"), sha256_hex(F.col("normal")).alias("text_sha256"),
                     F.struct("file", "doc_id").alias("locator")), "arrivals")
-    state = _state(scratch, arrivals, files_per_trigger)
+    state = scratch.save(_state(scratch, arrivals, files_per_trigger), "state")  # written, so that the join may split a digest that very many rows have
     grouped = arrivals.join(state, "digest")
     hits = scratch.save(grouped.where("group_size > 1").select(F.col("doc_id").alias("hit_id")).distinct(), "hits")
     texts = (rows.join(small(hits), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi")
@@ -74,13 +75,15 @@ def _state(scratch: Scratch, arrivals: DataFrame, files_per_trigger: int) -> Dat
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{updates}/batch={number}")
 
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STORE}
+    for name, value in STORE.items():
+        spark.conf.set(name, value)
     try:
         query = (entries.writeStream.outputMode("update").foreachBatch(keep).trigger(availableNow=True)
                  .option("checkpointLocation", scratch.path("stream")).start())
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value else spark.conf.unset(name)
     query.awaitTermination()
     schema = T.StructType([*entries.schema.fields, T.StructField("batch", T.IntegerType())])
     seen = spark.createDataFrame([], schema) if not query.recentProgress else spark.read.schema(schema).parquet(updates)
