@@ -1,7 +1,6 @@
 """Connected components of a table of links, by large-star and small-star rounds.
 
-Each round moves links towards the smallest node of their component; it ends when a round changes
-nothing, after about log(n) rounds. Smallest neighbours come from a partial aggregation and are
+Each round moves links towards the smallest node of their component, until all components are stars: about log(n) rounds. Smallest neighbours come from a partial aggregation and are
 joined back, so the hub of a star is never gathered into one task. Every round is written to the
 shared folder, which keeps the plan short and survives lost executors.
 """
@@ -16,28 +15,29 @@ from .scratch import Scratch
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """``links``: long columns a, b; null ends and loops are ignored. Returns node, root for each node with a link; root is the smallest node of the component."""
-    links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = scratch.save(links, f"{name}-0")
-    mark, number = _mark(links), 0
-    while True:
+    links = scratch.save(_downward(links).distinct(), f"{name}-0")
+    number = 0
+    while not _settled(links):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _star(both, F.col("b") > F.col("a"))
-        small = _star(large, F.lit(True))
         number += 1
-        links = scratch.save(small, f"{name}-{number}")
-        before, mark = mark, _mark(links)
+        links = scratch.save(_star(large, F.lit(True)).distinct(), f"{name}-{number}")
         scratch.drop(f"{name}-{number - 1}")
-        if mark == before:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def _downward(links: DataFrame) -> DataFrame:
+    return links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
 def _star(links: DataFrame, moved) -> DataFrame:
     """Of each node's neighbours, those that ``moved`` selects are linked to the least of the node and its neighbours; so is the node itself."""
     least = links.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
     joined = links.join(least, "a")
-    out = joined.where(moved).select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(least.select("a", F.col("least").alias("b")))
-    return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return _downward(joined.where(moved).select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(least.select("a", F.col("least").alias("b"))))
 
 
-def _mark(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _settled(links: DataFrame) -> bool:
+    """Whether all components are stars: no node has two links down, or one down and one up."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or down = 1 and up = 1").isEmpty()

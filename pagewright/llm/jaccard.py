@@ -2,16 +2,17 @@
 
 Candidates. Sets x and y with similarity s or more differ in at most (1 - s) / (1 + s) * (|x| + |y|) shingles. Shingles are dealt by
 hash over m parts, one more than that bound for the size class, so in at least one part the two sets
-agree; a set's hash of each part is a signature. Documents with a common signature are chained to the smallest of them
-(within a batch first, so a signature that a third of all documents have is few rows in the exchange), and the
-connected components of these chains are the blocks to search: links never leave a block.
+agree; a set's hash of each part is a signature. Of documents with a common signature, those whose sketches (128 signs of
+random projections) could belong to similar sets are chained to a leader, so a passage or line that many documents share does not
+chain them. This is done within a batch first, so a signature that a third of all documents have is few rows in the exchange. The
+connected components of the chains are the blocks to search.
 
 Search. Documents with equal sets are one class, represented once. A block is dealt over chunks of at most ``chunk`` classes. In a chunk,
 each class in turn is a query against the inverted lists: its longest lists are set aside,
 the short ones are merged by a heap, and what occurs in enough of them is probed in the long lists by binary
 search until the needed overlap T is reached or out of reach. Classes that are already connected are
 not searched again, so a clump of near copies costs about one query, not all pairs. Every chunk also holds the block's first class.
-For a block of several chunks, the classes that are still outside its largest component are then queried against all its
+For a block of several chunks, the classes that are still outside its largest component are then queried, in chunks of their own, against all its
 chunks. Components of the links found are exact; no pairs are emitted but a spanning forest.
 """
 
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from bisect import bisect_left
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -53,6 +53,22 @@ def shingle_sets(texts: pa.StringArray, k: int) -> list[np.ndarray]:
     return out
 
 
+#: Texts that are hashed together.
+TEXTS = 1000
+#: Signatures of a size class that are used, at most. Sets with no more parts than this use all, and are found without fail.
+#: Larger sets use so many of their parts, each with one of eight minimum hashes of the whole set. Two sets that are just similar
+#: agree in a part with probability 0.37 and in its minimum with at least 0.8, so in none of them with 4e-8.
+PARTS = 48
+SEEDS = np.arange(1, 9, dtype=np.uint64) * M1
+#: kind 0: a document's class in key and node, its id and the size of its set in x and y; 1: a signature, a class, its signs; 2: linked classes.
+ROWS = "kind int, key long, node long, x long, y long"
+
+
+def _rows(kind: int, key: np.ndarray, node: np.ndarray, x=None, y=None) -> pa.RecordBatch:
+    whole = lambda v: pa.nulls(len(key), pa.int64()) if v is None else v if isinstance(v, pa.Array) else pa.array(np.ascontiguousarray(v))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), *map(whole, (np.asarray(key, np.int64), np.asarray(node, np.int64), x, y))], names=["kind", "key", "node", "x", "y"])
+
+
 class Sizes:
     """Size classes: class c has the sizes from edges[c] up; a similarity of ``s`` joins a class with itself and the next only."""
 
@@ -78,10 +94,45 @@ def set_signatures(items: np.ndarray, sizes: Sizes) -> np.ndarray:
 
 
 def _parts(items: np.ndarray, parts: int, size_class: int) -> np.ndarray:
-    part = (items >> np.uint64(20)) % np.uint64(parts)
-    sums = np.zeros(parts, np.uint64)
+    part, kept = (items >> np.uint64(20)) % np.uint64(parts), min(parts, PARTS)
+    least = np.tile([mix(items + seed).min() for seed in SEEDS], PARTS // len(SEEDS)) if parts > PARTS else None
+    if kept < parts:
+        items, part = items[part < kept], part[part < kept]
+    sums = np.zeros(kept, np.uint64)
     np.add.at(sums, part, mix(items ^ M1))
-    return mix(sums + np.uint64(size_class << 32) + mix(np.arange(parts, dtype=np.uint64) + M2))
+    return mix(sums + np.uint64(size_class << 32) + mix(np.arange(kept, dtype=np.uint64) + M2) + (least if parts > PARTS else np.uint64(0)))
+
+
+def sketch(items: np.ndarray) -> np.ndarray:
+    """128 signs of random projections of the set, as two integers: they agree in a share of 1 - angle / pi."""
+    bits = np.unpackbits(np.stack([mix(items ^ M2), mix(items + LEAD)], axis=1).view(np.uint8), axis=1)
+    return np.packbits(2 * bits.sum(0, dtype=np.int64) > len(items)).view(np.int64)
+
+
+def least_agreement(similarity: Fraction) -> int:
+    """So many signs agree for all but one in 10 ** 6 pairs at the very similarity: five standard deviations below the mean."""
+    share = 1 - math.acos(float(2 * similarity / (1 + similarity))) / math.pi
+    return math.floor(128 * share - 5 * math.sqrt(128 * share * (1 - share)))
+
+
+def clusters(keys: np.ndarray, nodes: np.ndarray, signs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by key: which lead, and links (rows of 2) of all others to a leader with the same key whose signs agree.
+
+    The first row of each run leads; those that do not agree with it are a run of their own in the next step.
+    """
+    leads = np.zeros(len(keys), bool)
+    links, left = [], np.arange(len(keys))
+    while len(left):
+        key = keys[left]
+        begins = np.ones(len(left), bool)
+        begins[1:] = key[1:] != key[:-1]
+        leads[left[begins]] = True
+        lead = left[np.maximum.accumulate(np.where(begins, np.arange(len(left)), 0))]
+        agree = 128 - np.bitwise_count((signs[left] ^ signs[lead]).view(np.uint64)).sum(1, dtype=np.int64) >= least
+        linked = agree & ~begins & (nodes[left] != nodes[lead])
+        links.append(np.stack([nodes[left[linked]], nodes[lead[linked]]], axis=1))
+        left = left[~begins & ~agree]
+    return leads, np.unique(np.concatenate([np.zeros((0, 2), np.int64), *links]), axis=0)
 
 
 def digest_of(items: np.ndarray) -> bytes:
@@ -91,7 +142,10 @@ def digest_of(items: np.ndarray) -> bytes:
 
 
 def links_of(sets: list[np.ndarray], queries: list[int], similarity: Fraction, groups: Groups) -> None:
-    """Joins in ``groups`` whatever links with a query; DivideSkip, but for what is connected with the query already."""
+    """Joins in ``groups`` whatever links with a query; DivideSkip, but for what is connected with the query already.
+
+    The queries come first in ``sets``, so a query searches only what comes after it.
+    """
     sizes = np.array([len(x) for x in sets])
     tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(tokens, kind="stable")
@@ -99,34 +153,35 @@ def links_of(sets: list[np.ndarray], queries: list[int], similarity: Fraction, g
     heads = np.array([groups.find(x) for x in range(len(sets))])
     up, down = similarity.numerator, similarity.denominator
     for q in queries:
-        mine = groups.find(q)
         n = len(sets[q])
-        near = (heads != mine) & (sizes * down >= up * n) & (n * down >= up * sizes)
+        near = (heads != heads[q]) & (sizes * down >= up * n) & (n * down >= up * sizes)
+        near[:q] = False
         if not near.any():
             continue
         low, high = np.searchsorted(tokens, sets[q], "left"), np.searchsorted(tokens, sets[q], "right")
-        lists = [x for x in (owner[a:b][near[owner[a:b]]].tolist() for a, b in zip(low.tolist(), high.tolist(), strict=True)) if x]
+        shared = np.flatnonzero(high - low > 1)
         least = min_overlap(n, int(sizes[near].min()), up, down)
+        if len(shared) < least:
+            continue
+        lists = [x for x in (members[near[members]] for members in (owner[a:b] for a, b in zip(low[shared].tolist(), high[shared].tolist(), strict=True))) if len(x)]
         if len(lists) < least:
             continue
         lists.sort(key=len)
-        aside = min(least - 1, len(lists) - 1)  # T - 1 of the longest lists
-        short, long = lists[:len(lists) - aside], lists[len(lists) - aside:]
-        need_short = least - aside
-        for other, found in merged(short):
-            if found < need_short or groups.find(other) == groups.find(q):
-                continue
-            needed = min_overlap(n, len(sets[other]), up, down)
-            left = len(long)
-            for one in long:
-                if found >= needed or found + left < needed:
-                    break
-                left -= 1
-                at = bisect_left(one, other)
-                found += at < len(one) and one[at] == other
-            if found >= needed and groups.join(q, other):
-                a, b = heads[q], heads[other]
-                heads[(heads == a) | (heads == b)] = groups.find(q)
+        short, long = lists[:len(lists) - least + 1], lists[len(lists) - least + 1:]  # T - 1 of the longest are set aside
+        others, found = (np.array(x) for x in zip(*merged([x.tolist() for x in short]), strict=True))
+        needed = -(-up * (n + sizes[others]) // (up + down))
+        for left, one in zip(range(len(long), 0, -1), long, strict=True):  # a probe of all that can still reach T, by binary search
+            alive = found + left >= needed
+            if not alive.all():
+                others, found, needed = others[alive], found[alive], needed[alive]
+            if not len(others):
+                break
+            at = np.searchsorted(one, others)
+            found = found + (one[np.minimum(at, len(one) - 1)] == others)
+        for other in others[found >= needed].tolist():
+            if groups.join(q, other):
+                head, a, b = groups.find(q), heads[q], heads[other]
+                heads[(heads == a) | (heads == b)] = head
 
 
 def min_overlap(x: int, y: int, up: int, down: int) -> int:
@@ -161,81 +216,72 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, similarity: Fraction = Fr
     scratch = Scratch(docs.sparkSession, "jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
+    least = least_agreement(similarity)
+
     def signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(similarity)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids = part.column(0).to_pylist()
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
                 sets = shingle_sets(part.column(1), k)
-                digests = [digest_of(x) for x in sets]
-                nodes = np.array([int.from_bytes(x[:8], "little", signed=True) for x in digests])
-                n = len(sets)
-                keep = np.array(sorted({node: i for i, node in reversed(list(enumerate(nodes.tolist()))) if len(sets[i])}.values()), np.int64)
-                found = [signed(set_signatures(sets[i], sizes)) for i in keep]
-                flat = np.concatenate([np.zeros(0, np.int64), *found])
-                owner = np.repeat(nodes[keep], [len(x) for x in found]) if len(keep) else np.zeros(0, np.int64)
-                order = np.lexsort((owner, flat))
-                flat, owner = flat[order], owner[order]
-                first = np.ones(len(flat), bool)
-                first[1:] = flat[1:] != flat[:-1]
-                pivot = owner[np.maximum.accumulate(np.where(first, np.arange(len(flat)), 0))] if len(flat) else owner
-                links = np.unique(np.stack([owner[~first], pivot[~first]]), axis=1)
-                links = links[:, links[0] != links[1]]
-                rows, m = int(first.sum()), links.shape[1]
-                yield pa.RecordBatch.from_pydict({
-                    "kind": pa.array(np.repeat(np.array([0, 1, 2], np.int32), [n, rows, m])),
-                    "key": pa.array(np.concatenate([nodes, flat[first], links[0]])),
-                    "node": pa.array(np.concatenate([nodes, owner[first], links[1]])),
-                    "doc_id": pa.array(ids + [None] * (rows + m), pa.int64()),
-                    "size": pa.array([len(x) for x in sets] + [None] * (rows + m), pa.int64())})
-
-    # Only signatures need to meet; what is known of documents and links found within a batch ride along.
-    shuffled = texts.mapInArrow(signed_rows, "kind int, key long, node long, doc_id long, size long").repartition("key").sortWithinPartitions("kind", "key", "node")
+                nodes = np.array([int.from_bytes(digest_of(x)[:8], "little", signed=True) for x in sets])
+                yield _rows(0, nodes, nodes, part.column(0), pa.array([len(x) for x in sets], pa.int64()))
+                once = sorted({node: i for i, node in enumerate(nodes.tolist()) if len(sets[i])}.values())
+                if not once:
+                    continue
+                found = [signed(set_signatures(sets[i], sizes)) for i in once]
+                owner = np.repeat(np.arange(len(once)), [len(x) for x in found])
+                keys, names, signs = np.concatenate(found), nodes[once], np.stack([sketch(sets[i]) for i in once])
+                order = np.lexsort((names[owner], keys))
+                keys, owner = keys[order], owner[order]
+                leads, links = clusters(keys, names[owner], signs[owner], least)
+                yield _rows(1, keys[leads], names[owner[leads]], *signs[owner[leads]].T)
+                yield _rows(2, links[:, 0], links[:, 1])
+
+    # Only signatures need to meet; what is known of documents, and links found within a batch, ride along.
+    shuffled = texts.mapInArrow(signed_rows, ROWS).repartition("key").sortWithinPartitions("kind", "key", "node")
 
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = pivot = None
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64))  # the leaders of the last key so far
         for batch in batches:
-            kind, keys, nodes = (batch.column(i).to_numpy() for i in range(3))
-            rest = kind != 1
+            rest = batch.column(0).to_numpy() != 1
             yield batch.filter(pa.array(rest))
-            keys, nodes = keys[~rest], nodes[~rest]
-            if not len(keys):
+            mine = batch.filter(pa.array(~rest))
+            if not mine.num_rows:
                 continue
-            first = np.ones(len(keys), bool)
-            first[1:] = keys[1:] != keys[:-1]
-            lead = nodes[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
-            if keys[0] == key:
-                lead[keys == key] = pivot
-            key, pivot = keys[-1], lead[-1]
-            links = np.unique(np.stack([nodes, lead]), axis=1)
-            links = links[:, links[0] != links[1]]
-            m = links.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, 2, np.int32)), pa.array(links[0]), pa.array(links[1]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], schema=batch.schema)
-
-    base = scratch.save(shuffled.mapInArrow(chained, shuffled.schema), "base")
-    members = base.where("kind = 0").select("doc_id", "size", "node")
+            keys, nodes = (np.concatenate([old, mine.column(i).to_numpy()]) for old, i in zip(held, (1, 2), strict=False))
+            signs = np.concatenate([held[2], np.stack([mine.column(3).to_numpy(), mine.column(4).to_numpy()], axis=1)])
+            leads, links = clusters(keys, nodes, signs, least)
+            yield _rows(2, links[:, 0], links[:, 1])
+            last = leads & (keys == keys[-1])
+            held = keys[last], nodes[last], signs[last]
+
+    base = scratch.save(shuffled.mapInArrow(chained, ROWS), "base")
+    members = base.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("size"), "node")
     blocks = components(base.where("kind = 2").select(F.col("key").alias("a"), F.col("node").alias("b")), scratch, "blocks")
     sizes = blocks.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
     placed = scratch.save(blocks.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "placed")
-    # One document stands for each class in a block.
-    chosen = scratch.save(members.where("size > 0").join(placed.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("chosen")), "chosen")
+    # One document stands for each class in a block. Where it goes is joined before its set is made: sets are moved once.
+    chosen = members.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("chosen"))
+    chosen = scratch.save(chosen.join(placed, "node"), "chosen")
     sets = scratch.save(_sets(texts, chosen, k), "sets")
     everywhere = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
-    whole = sets.join(placed, "node")
-    first = whole.withColumn("chunk", F.explode(everywhere)).withColumn("query", F.lit(True))
+    first = sets.withColumn("chunk", F.explode(everywhere)).select("node", "root", "chunk", "items", F.lit(True).alias("query"))
     links = scratch.save(_search(first, similarity), "links-1")
     if not placed.where("chunks > 1").isEmpty():
         near = components(links, scratch, "near")
         state = placed.where("chunks > 1").join(near.withColumnRenamed("root", "near"), "node", "left").withColumn("near", F.coalesce("near", "node"))
         largest = state.groupBy("root", "near").count().groupBy("root").agg(F.max_by("near", F.struct("count", "near")).alias("largest"))
         state = scratch.save(state.join(largest, "root"), "state")
-        outside = state.where("near <> largest").select("node", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "root", "near", F.lit(True).alias("query"))
-        if not outside.isEmpty():
-            asked = outside.select("root", "chunk").distinct()
-            inside = state.select("node", "chunk", "root", "near", F.lit(False).alias("query")).join(asked, ["root", "chunk"], "left_semi").select("node", "chunk", "root", "near", "query")
-            second = sets.join(outside.unionByName(inside), "node")
-            links = links.unionByName(scratch.save(_search(second, similarity), "links-2"))
+        # Each block of queries meets each chunk: no task holds more than two chunks' worth.
+        outside = state.where("near <> largest")
+        asks = outside.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("asks"))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        asking = outside.join(asks, "root").withColumn("ask", F.pmod(F.xxhash64("node", F.lit(1)), F.col("asks")).cast("int")).withColumn("chunk", every("chunks"))
+        asked = state.join(asks, "root").withColumn("ask", every("asks"))
+        shape = ["node", "root", "chunk", "ask", "near"]
+        pairs = asking.select(*shape, F.lit(True).alias("query")).unionByName(asked.select(*shape, F.lit(False).alias("query")))
+        links = links.unionByName(scratch.save(_search(sets.select("node", "items").join(pairs, "node"), similarity, "ask"), "links-2"))
     roots = components(links, scratch, "components")
     whole_rows = members.join(roots, "node", "left").withColumn("root", F.when(F.col("size") > 0, F.coalesce("root", "node")))
     least = whole_rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
@@ -243,22 +289,24 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, similarity: Fraction = Fr
 
 
 def _sets(texts: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
-    """node and set (as bytes) of each class in ``chosen``."""
+    """``chosen`` (node, chosen, root, chunks, chunk) with each class's set as bytes; a row that repeats the chosen document repeats its class."""
+    more = ["node", "root", "chunks", "chunk"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
                 found = shingle_sets(part.column(0), k)
-                nodes = [int.from_bytes(digest_of(x)[:8], "little", signed=True) for x in found]
-                right = [i for i, (a, b) in enumerate(zip(nodes, part.column(1).to_pylist(), strict=True)) if a == b]
-                yield pa.RecordBatch.from_pydict({"node": pa.array([nodes[i] for i in right], pa.int64()), "items": pa.array([found[i].tobytes() for i in right], pa.binary())})
+                right = [int.from_bytes(digest_of(x)[:8], "little", signed=True) == node for x, node in zip(found, part.column(1).to_pylist(), strict=True)]
+                kept = part.filter(pa.array(right, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*(kept.column(i) for i in range(1, 5)), pa.array([x.tobytes() for x, r in zip(found, right, strict=True) if r], pa.binary())], names=[*more, "items"])
 
-    rows = texts.join(small(chosen), F.col("doc_id").eqNullSafe(F.col("chosen"))).select("text", "node")
-    return rows.mapInArrow(run, "node long, items binary").dropDuplicates(["node"])
+    rows = texts.join(small(chosen), F.col("doc_id").eqNullSafe(F.col("chosen"))).select("text", *more)
+    return rows.mapInArrow(run, "node long, root long, chunks int, chunk int, items binary")
 
 
-def _search(rows: DataFrame, similarity: Fraction) -> DataFrame:
-    """Links a, b between the classes of each (root, chunk), from those with ``query`` to all; with ``near``, equal ones are connected already."""
+def _search(rows: DataFrame, similarity: Fraction, *more: str) -> DataFrame:
+    """Links a, b between the classes of each (root, chunk, ...), from those with ``query`` to all; with ``near``, equal ones are connected already."""
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values(["query", "node"], ascending=[False, True]).drop_duplicates("node", ignore_index=True)
         sets = [np.frombuffer(x, np.uint64) for x in batch["items"]]
@@ -272,7 +320,7 @@ def _search(rows: DataFrame, similarity: Fraction) -> DataFrame:
         out = [(node[x], node[groups.find(x)]) for x in range(len(sets)) if groups.find(x) != before[x]]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("root", "chunk").applyInPandas(run, "a long, b long")
+    return rows.groupBy("root", "chunk", *more).applyInPandas(run, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
