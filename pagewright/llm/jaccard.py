@@ -283,8 +283,9 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, similarity: Fraction = Fr
         pairs = asking.select(*shape, F.lit(True).alias("query")).unionByName(asked.select(*shape, F.lit(False).alias("query")))
         links = links.unionByName(scratch.save(_search(sets.select("node", "items").join(pairs, "node"), similarity, "ask"), "links-2"))
     roots = components(links, scratch, "components")
-    whole_rows = members.join(roots, "node", "left").withColumn("root", F.when(F.col("size") > 0, F.coalesce("root", "node")))
-    least = whole_rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    # Both sides are written, so that the join may split a component that very many rows are in.
+    whole_rows = scratch.save(members.join(roots, "node", "left").withColumn("root", F.when(F.col("size") > 0, F.coalesce("root", "node"))), "rows")
+    least = scratch.save(whole_rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     return whole_rows.join(least, "root", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
