@@ -19,6 +19,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ SCHEMA = f"page_id long, {RECORD}"
 UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|body|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>", re.I)
 TAG = re.compile(r"<[/!?]?[A-Za-z][^>]*>|<[!?][^>]*>")
-SPACES, LINES = re.compile(r"[^\S\n]+"), re.compile(r" ?\n[ \n]*")
+SPACES, LINES = re.compile(r"[^\S\n]{2,}|[^\S\n ]"), re.compile(r" ?\n[ \n]*")
 
 
 def plain_text(page: str) -> str:
@@ -95,15 +96,16 @@ def derivatives(records: DataFrame) -> DataFrame:
     out when written. Rows that repeat a response give the same records again. An empty table gives an empty
     result. Other columns are ignored. A page is held whole; batches bound the rest.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
+        kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+        types = [kinds[x.split()[1]] for x in SCHEMA.split(", ")]
         for batch in batches:
-            rows = [(page, *row) for page, name, uri, date, block in batch.itertuples(index=False, name=None) for row in derive(name or "", uri, date, block or b"")]
-            out = pd.DataFrame(rows, columns=names)
-            out["page_id"] = out["page_id"].astype("Int64")
-            yield out
+            rows = [(page, *row) for page, name, uri, date, block in zip(*(c.to_pylist() for c in batch.columns), strict=True) for row in derive(name or "", uri, date, block or b"")]
+            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return records.select("page_id", "record_id", "target_uri", "date", "block").mapInPandas(run, SCHEMA)
+    return records.select("page_id", "record_id", "target_uri", "date", "block").mapInArrow(run, SCHEMA)
 
 
 def record_bytes(kind: str, record_id: str, uri: str | None, date: str | None, content_type: str, block: bytes, refers_to: str | None = None, payload_digest: str | None = None) -> bytes:
