@@ -3,9 +3,9 @@
 Candidates. Sets x and y with similarity s or more differ in at most (1 - s) / (1 + s) * (|x| + |y|) shingles. Shingles are dealt by
 hash over m parts, one more than that bound for the size class, so in at least one part the two sets
 agree; a set's hash of each part is a signature. Of documents with a common signature, those whose sketches (128 signs of
-random projections) could belong to similar sets are chained to a leader, so a passage or line that many documents share does not
-chain them. This is done within a batch first, so a signature that a third of all documents have is few rows in the exchange. The
-connected components of the chains are the blocks to search.
+random projections) could belong to similar sets are chained, each to any other, so a passage or line that many documents share does not
+chain them. Equal sets are one row a batch of texts in the exchange; different ones all meet, as each may be the only one that another
+is similar to. The connected components of the chains are the blocks to search.
 
 Search. Documents with equal sets are one class, represented once. A block is dealt over chunks of at most ``chunk`` classes. In a chunk,
 each class in turn is a query against the inverted lists: its longest lists are set aside,
@@ -115,24 +115,47 @@ def least_agreement(similarity: Fraction) -> int:
     return math.floor(128 * share - 5 * math.sqrt(128 * share * (1 - share)))
 
 
-def clusters(keys: np.ndarray, nodes: np.ndarray, signs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows sorted by key: which lead, and links (rows of 2) of all others to a leader with the same key whose signs agree.
+#: Pairs of rows that are compared at once.
+PAIRS = 1 << 20
 
-    The first row of each run leads; those that do not agree with it are a run of their own in the next step.
+
+def chains(keys: np.ndarray, nodes: np.ndarray, signs: np.ndarray, least: int) -> np.ndarray:
+    """Of rows sorted by key: links (rows of 2) that connect any two rows with the same key whose signs agree.
+
+    The first row of each run leads and takes the rows that agree with it; the others are a run of their own in the next step. Leaders were then
+    compared with all that they did not take, but what they took was not, so each taken row is compared with the rows of the other leaders of its key.
     """
-    leads = np.zeros(len(keys), bool)
-    links, left = [], np.arange(len(keys))
+    agree = lambda a, b: 128 - np.bitwise_count((signs[a] ^ signs[b]).view(np.uint64)).sum(1, dtype=np.int64) >= least
+    starts = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1)) if len(keys) else np.zeros(0, np.int64)
+    sizes = np.diff(starts, append=len(keys))
+    run = np.repeat(np.arange(len(starts)), sizes)
+    lead, left = np.arange(len(keys)), np.flatnonzero(sizes[run] > 1)
     while len(left):
-        key = keys[left]
-        begins = np.ones(len(left), bool)
-        begins[1:] = key[1:] != key[:-1]
-        leads[left[begins]] = True
-        lead = left[np.maximum.accumulate(np.where(begins, np.arange(len(left)), 0))]
-        agree = 128 - np.bitwise_count((signs[left] ^ signs[lead]).view(np.uint64)).sum(1, dtype=np.int64) >= least
-        linked = agree & ~begins & (nodes[left] != nodes[lead])
-        links.append(np.stack([nodes[left[linked]], nodes[lead[linked]]], axis=1))
-        left = left[~begins & ~agree]
-    return leads, np.unique(np.concatenate([np.zeros((0, 2), np.int64), *links]), axis=0)
+        begins = np.diff(run[left], prepend=-1) != 0
+        first = left[np.maximum.accumulate(np.where(begins, np.arange(len(left)), 0))]
+        taken = agree(left, first)
+        lead[left[taken]] = first[taken]
+        left = left[~begins & ~taken]
+    rows = np.arange(len(keys))
+    taken = np.flatnonzero(lead != rows)
+    links = [np.stack([taken, lead[taken]], axis=1)]
+    several = np.bincount(run[lead == rows], minlength=len(starts)) > 1
+    taken = taken[several[run[taken]]]
+    ends = np.cumsum(sizes[run[taken]])
+    at = 0
+    while at < len(taken):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        some = taken[at:upto]
+        many = sizes[run[some]]
+        mine = np.repeat(some, many)
+        other = np.arange(len(mine)) + np.repeat(starts[run[some]] - np.cumsum(many) + many, many)
+        apart = lead[mine] != lead[other]
+        mine, other = mine[apart], other[apart]
+        met = agree(mine, other)
+        links.append(np.unique(np.stack([lead[mine[met]], lead[other[met]]], axis=1), axis=0))  # these leaders' rows are connected with them
+        at = upto
+    links = nodes[np.concatenate(links)]
+    return np.unique(links[links[:, 0] != links[:, 1]], axis=0)
 
 
 def digest_of(items: np.ndarray) -> bytes:
@@ -232,29 +255,35 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, similarity: Fraction = Fr
                 found = [signed(set_signatures(sets[i], sizes)) for i in once]
                 owner = np.repeat(np.arange(len(once)), [len(x) for x in found])
                 keys, names, signs = np.concatenate(found), nodes[once], np.stack([sketch(sets[i]) for i in once])
-                order = np.lexsort((names[owner], keys))
-                keys, owner = keys[order], owner[order]
-                leads, links = clusters(keys, names[owner], signs[owner], least)
-                yield _rows(1, keys[leads], names[owner[leads]], *signs[owner[leads]].T)
-                yield _rows(2, links[:, 0], links[:, 1])
+                yield _rows(1, keys, names[owner], *signs[owner].T)
 
-    # Only signatures need to meet; what is known of documents, and links found within a batch, ride along.
+    # Only signatures need to meet; what is known of documents rides along.
     shuffled = texts.mapInArrow(signed_rows, ROWS).repartition("key").sortWithinPartitions("kind", "key", "node")
 
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64))  # the leaders of the last key so far
+        held: list[tuple[np.ndarray, ...]] = []  # the rows of the last key so far
+
+        def settled() -> pa.RecordBatch:
+            keys, nodes, signs = map(np.concatenate, zip(*held, strict=True))
+            once = (np.diff(keys, prepend=keys[:1] - 1) != 0) | (np.diff(nodes, prepend=nodes[:1] - 1) != 0)  # batches repeat what is equal
+            links = chains(keys[once], nodes[once], signs[once], least)
+            return _rows(2, links[:, 0], links[:, 1])
+
         for batch in batches:
             rest = batch.column(0).to_numpy() != 1
             yield batch.filter(pa.array(rest))
             mine = batch.filter(pa.array(~rest))
             if not mine.num_rows:
                 continue
-            keys, nodes = (np.concatenate([old, mine.column(i).to_numpy()]) for old, i in zip(held, (1, 2), strict=False))
-            signs = np.concatenate([held[2], np.stack([mine.column(3).to_numpy(), mine.column(4).to_numpy()], axis=1)])
-            leads, links = clusters(keys, nodes, signs, least)
-            yield _rows(2, links[:, 0], links[:, 1])
-            last = leads & (keys == keys[-1])
-            held = keys[last], nodes[last], signs[last]
+            keys, nodes, *signs = (mine.column(i).to_numpy() for i in range(1, 5))
+            signs, last = np.stack(signs, axis=1), np.searchsorted(keys, keys[-1])
+            if last or held and held[0][0][0] != keys[-1]:
+                held.append((keys[:last], nodes[:last], signs[:last]))
+                yield settled()
+                held = []
+            held.append((keys[last:], nodes[last:], signs[last:]))
+        if held:
+            yield settled()
 
     base = scratch.save(shuffled.mapInArrow(chained, ROWS), "base")
     members = base.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("size"), "node")

@@ -1,3 +1,5 @@
+import random
+
 import brute
 import numpy as np
 import pyarrow as pa
@@ -59,6 +61,37 @@ def test_jaccard_of_nothing(nothing):
     assert jaccard.jaccard_components(nothing).count() == 0
 
 
+def half_similar(seed):
+    """24 groups of 32 texts: 30 that share more than half of one text, that text, and one that is just similar to it."""
+    rng, groups = random.Random(seed), []
+    word = lambda: f"w{rng.randrange(10 ** 6)}"
+    for _ in range(24):
+        base = [word() for _ in range(16)]
+        groups.append([" ".join([word() for _ in range(rng.randrange(2, 6))] + base[6:]) for _ in range(30)] + [" ".join(base), " ".join(base + [word() for _ in range(3)])])
+    return groups
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_half_similar_texts_do_not_part_similar_ones(spark, partitions):
+    given, want = [], []
+    for group in half_similar(5):
+        rows_ = list(enumerate(group, len(given)))
+        given += rows_
+        want += brute.jaccard(rows_, 5, Fraction(4, 5))  # groups have no words in common
+    assert sum(i != c for i, _, c in want) >= 24
+    same(jaccard.jaccard_components(spark.createDataFrame(given, "doc_id long, text string").repartition(partitions), k=5, similarity=Fraction(4, 5)), want)
+
+
+def test_chains_connect_all_that_agree():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        signs = rng.integers(-1 << 63, 1 << 63, (1, 2)) ^ np.packbits(rng.random((60, 128)) < rng.choice([0.05, 0.15], 60)[:, None], axis=1).view(np.int64)
+        keys, nodes = np.sort(rng.integers(0, 4, 60)), rng.permutation(60)
+        links = jaccard.chains(keys, nodes, signs, 97)
+        pairs = [(a, b) for a in range(60) for b in range(a) if keys[a] == keys[b] and np.bitwise_count((signs[a] ^ signs[b]).view(np.uint64)).sum() <= 31]
+        assert brute.components(60, links.tolist()) == brute.components(60, [(nodes[a], nodes[b]) for a, b in pairs])
+
+
 def test_near_dedup_keeps_one_of_each_group(docs, documents):
     kept = jaccard.near_dedup(docs, k=5, similarity=Fraction(4, 5))
     assert kept.columns == docs.columns
