@@ -318,34 +318,66 @@ def _named(found: DataFrame, packages: DataFrame) -> DataFrame:
 
 _TURNS = """turns AS (SELECT conv_id, turn, lpad(upper(to_hex(turn)), 8, '0') AS para_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS para_ord, role || ' ' AS who,
     substr(replace(coalesce(text, ''), chr(10), ' '), 1, 400) || ' end' AS said FROM conversations)"""
+_WHOLE_TURNS = """turns AS (SELECT conv_id, turn, lpad(upper(to_hex(turn)), 8, '0') AS para_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS para_ord, role || ' ' AS who,
+    replace(coalesce(text, ''), chr(10), ' ') || ' end' AS said FROM conversations)"""
+#: Characters of a turn that ``docx_shred``, ``docx_extract`` and ``docx_rebuild`` take, as their SQL does; the ``_whole`` queries take all.
+MOST = 400
 
 
-@query(f"""WITH {_TURNS} SELECT conv_id, para_ord::INT AS para_ord, para_id, unnest([0, 1, 2, 3])::INT AS run_ord, unnest([true, false, false, false]) AS bold, unnest([false, turn % 2 = 1, false, false]) AS italic,
-    unnest([0, 0, 24, 24])::INT AS size, unnest([who, said, ' x', 'y']) AS text FROM turns""")
-def docx_shred(spark, sf_dir):
-    packages = samples.conversation_packages(spark, sf_dir)
+_SHREDDED = """SELECT conv_id, para_ord::INT AS para_ord, para_id, unnest([0, 1, 2, 3])::INT AS run_ord, unnest([true, false, false, false]) AS bold, unnest([false, turn % 2 = 1, false, false]) AS italic,
+    unnest([0, 0, 24, 24])::INT AS size, unnest([who, said, ' x', 'y']) AS text FROM turns"""
+
+
+def _shredded(packages: DataFrame) -> DataFrame:
+    """Runs of each package."""
     runs = docx.runs(packages).select("doc_hash", "para_ord", "para_id", "run_ord", F.col("fmt.bold").alias("bold"), F.col("fmt.italic").alias("italic"), F.col("fmt.size").alias("size"), "text")
     return _named(runs, packages)
 
 
+@query(f"WITH {_TURNS} {_SHREDDED}")
+def docx_shred(spark, sf_dir):
+    """Runs of each package. Of each turn's text, the first 400 characters; see ``MOST``."""
+    return _shredded(samples.conversation_packages(spark, sf_dir, MOST))
+
+
+@query(f"WITH {_WHOLE_TURNS} {_SHREDDED}")
+def docx_shred_whole(spark, sf_dir):
+    """Runs of each package. Each turn's text is whole."""
+    return _shredded(samples.conversation_packages(spark, sf_dir))
+
+
 @query("SELECT DISTINCT conv_id, unnest([0, 1])::INT AS part_ord, unnest(['[Content_Types].xml', 'word/document.xml']) AS arcname FROM conversations")
 def docx_parts(spark, sf_dir):
     packages = samples.conversation_packages(spark, sf_dir)
     return _named(docx.parts(packages).select("doc_hash", "part_ord", "arcname"), packages)
 
 
-@query(f"""WITH {_TURNS} SELECT conv_id, para_ord::INT AS para_ord, para_id, '‹F1:b›' || who || '‹/›‹F2:' || CASE WHEN turn % 2 = 1 THEN 'i' ELSE 'fmt' END || '›' || said || '‹/› xy' AS text FROM turns""")
-def docx_extract(spark, sf_dir):
+_EXTRACTED = """SELECT conv_id, para_ord::INT AS para_ord, para_id, '‹F1:b›' || who || '‹/›‹F2:' || CASE WHEN turn % 2 = 1 THEN 'i' ELSE 'fmt' END || '›' || said || '‹/› xy' AS text FROM turns"""
+
+
+def _extracted(packages: DataFrame) -> DataFrame:
     """Chunk lines of the tagged paragraphs of each package."""
-    packages = samples.conversation_packages(spark, sf_dir)
     chunks, _ = documents.extract(docx.runs(packages))
     return _named(chunks.select("doc_hash", "para_ord", "para_id", "text"), packages)
 
 
-@query(f"""WITH {_TURNS} SELECT conv_id, para_id, unnest([0, 1, 2])::INT AS run_ord, unnest([true, false, false]) AS bold, unnest([who, said, ' xy']) AS text FROM turns""")
-def docx_rebuild(spark, sf_dir):
+@query(f"WITH {_TURNS} {_EXTRACTED}")
+def docx_extract(spark, sf_dir):
+    """Chunk lines of the tagged paragraphs of each package. Of each turn's text, the first 400 characters; see ``MOST``."""
+    return _extracted(samples.conversation_packages(spark, sf_dir, MOST))
+
+
+@query(f"WITH {_WHOLE_TURNS} {_EXTRACTED}")
+def docx_extract_whole(spark, sf_dir):
+    """Chunk lines of the tagged paragraphs of each package. Each turn's text is whole."""
+    return _extracted(samples.conversation_packages(spark, sf_dir))
+
+
+_REBUILT = """SELECT conv_id, para_id, unnest([0, 1, 2])::INT AS run_ord, unnest([true, false, false]) AS bold, unnest([who, said, ' xy']) AS text FROM turns"""
+
+
+def _rebuilt(packages: DataFrame) -> DataFrame:
     """Packages rebuilt from their own chunks and registries: the runs of the result."""
-    packages = samples.conversation_packages(spark, sf_dir)
     chunks, registries = documents.extract(docx.runs(packages))
     rebuilt = documents.rebuild(packages, chunks.select("doc_hash", "para_id", "text"), registries)
     names = packages.select("doc_hash", F.regexp_extract("path", "([0-9]+).docx", 1).cast("long").alias("conv_id"))
@@ -354,6 +386,18 @@ def docx_rebuild(spark, sf_dir):
     return runs.select("conv_id", "para_id", "run_ord", F.col("fmt.bold").alias("bold"), "text")
 
 
+@query(f"WITH {_TURNS} {_REBUILT}")
+def docx_rebuild(spark, sf_dir):
+    """Packages rebuilt from their own chunks and registries: the runs of the result. Of each turn's text, the first 400 characters; see ``MOST``."""
+    return _rebuilt(samples.conversation_packages(spark, sf_dir, MOST))
+
+
+@query(f"WITH {_WHOLE_TURNS} {_REBUILT}")
+def docx_rebuild_whole(spark, sf_dir):
+    """Packages rebuilt from their own chunks and registries: the runs of the result. Each turn's text is whole."""
+    return _rebuilt(samples.conversation_packages(spark, sf_dir))
+
+
 @query()
 def latex_omml(spark, sf_dir):
     formula = F.expr("concat('x_', doc_id % 10, '^2 + \\\\frac{', doc_id, '}{\\\\sqrt[3]{y}} \\\\leq \\\\alpha_{', lang, '}')")

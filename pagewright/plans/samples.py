@@ -26,15 +26,15 @@ def package(body: str, more: tuple[tuple[str, bytes], ...] = (("[Content_Types].
     return zip_parts([*more, (DOCUMENT, f"{OPEN}{body}</w:body></w:document>".encode())])
 
 
-def conversation_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A package for each conversation: a paragraph for each turn, its first words bold."""
+def conversation_packages(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+    """A package for each conversation: a paragraph for each turn, its first words bold; of each turn's text ``most`` characters, if given."""
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for conv_id, rows in batch.itertuples(index=False, name=None):
-                body = "".join(paragraph_xml(x["turn"], [("<w:b/>", f"{x['role']} "), ("<w:i/>" if x["turn"] % 2 else "", (x["text"] or "").replace("\n", " ")[:400] + " end"), ('<w:sz w:val="24"/>', " x"), ('<w:sz w:val="24"/>', "y")]) for x in rows)
+                body = "".join(paragraph_xml(x["turn"], [("<w:b/>", f"{x['role']} "), ("<w:i/>" if x["turn"] % 2 else "", (x["text"] or "").replace("\n", " ")[:most] + " end"), ('<w:sz w:val="24"/>', " x"), ('<w:sz w:val="24"/>', "y")]) for x in rows)
                 out.append((f"{conv_id}.docx", package(body, (("[Content_Types].xml", f"<Types of=\"{conv_id}\"/>".encode()),))))
             yield pd.DataFrame(out, columns=["path", "content"])
 

@@ -33,6 +33,15 @@ def test_query(spark, sf_dir, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", ["docx_shred_whole", "docx_extract_whole", "docx_rebuild_whole"])
+def test_documents_hold_whole_texts(spark, sf_dir, name):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").toPandas()
+    text = {(x.conv_id, f"{x.turn:08X}"): f"{x.text or ''} end".replace("\n", " ") for x in turns.itertuples()}
+    assert max(map(len, text.values())) > 1004
+    got = catalog.QUERIES[name](spark, sf_dir).toPandas().groupby(["conv_id", "para_id"])["text"].agg("".join)
+    assert set(got.index) == set(text) and all(text[at] in x for at, x in got.items())
+
+
 def test_contract(spark):
     assert entry.entry(spark).columns
     assert set(entry.oracle_sql()) <= set(entry.queries())
