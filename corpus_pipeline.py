@@ -36,7 +36,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality_classifier), ("exact dedup", exact_copies), ("near dedup", near_copies), ("mixing", mixed), ("packing", packed)]
 
-#: Learned scores and tokens are not to be had in SQL; tests hold run() against a brute-force version.
+#: Learned scores and tokens are not to be had in SQL. Each stage has tests of its own; no test holds run() as a whole against a brute-force version.
 ORACLE_SQL = None
 
 
