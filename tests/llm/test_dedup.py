@@ -113,6 +113,14 @@ def test_signatures_meet_whenever_sets_are_similar():
                 assert set(jaccard.set_signatures(x, sizes).tolist()) & set(jaccard.set_signatures(y, sizes).tolist())
 
 
+def test_large_sets_meet_without_a_few_least_hashes():
+    rng, sizes = np.random.default_rng(7), jaccard.Sizes(Fraction(9, 10))
+    for _ in range(5):
+        x = np.unique(rng.integers(1, 1 << 62, 1000).astype(np.uint64))
+        y = np.delete(x, [jaccard.mix(x + seed).argmin() for seed in jaccard.SEEDS[:8]])
+        assert set(jaccard.set_signatures(x, sizes).tolist()) & set(jaccard.set_signatures(y, sizes).tolist())
+
+
 def test_words():
     hashes, sizes = jaccard.word_hashes(pa.array(["", " a  b ", "\x0ba\x0c", "a\x1cb", "A b"]), fold=True)
     assert sizes.tolist() == [0, 2, 1, 1, 2]
