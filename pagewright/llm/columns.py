@@ -11,3 +11,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def fold_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else. ``lower`` is exact, and faster, where all is ASCII."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression: it may hold dots."""
+    return "`" + name.replace("`", "``") + "`"

@@ -1,19 +1,20 @@
-"""N-gram Jaccard join (op7) by T-occurrence search with DivideSkip.
+"""N-gram Jaccard join (op7) by T-occurrence search with DivideSkip. Exact: no link is lost, whatever the sizes.
 
-Candidates. Sets x and y with similarity s or more differ in at most (1 - s) / (1 + s) * (|x| + |y|) shingles. Shingles are dealt by
-hash over m parts, one more than that bound for the size class, so in at least one part the two sets
-agree; a set's hash of each part is a signature. Of documents with a common signature, those whose sketches (128 signs of
-random projections) could belong to similar sets are chained, each to any other, so a passage or line that many documents share does not
-chain them. Equal sets are one row a batch of texts in the exchange; different ones all meet, as each may be the only one that another
-is similar to. The connected components of the chains are the blocks to search.
+Candidates. Sets x and y with similarity s or more differ in at most H = (1 - s) / (1 + s) * (|x| + |y|) shingles. Both have a size window in
+common. Shingles are dealt by hash over the window's slices, about one for each ``DIFFERENCES`` that H allows, so in one slice at least they differ in
+no more than H / slices; that slice is dealt over parts, a few more than that, so at least T = parts - H / slices of its parts agree. This is a T-occurrence problem
+whose lists are the documents with a part in common: the T - 1 weakest parts of a slice (those of the fewest shingles, which many documents share) are
+set aside, and one of the others agrees at least. Each of these is a signature, in the exchange with a parity bitmap of its
+slice (64 bits; two bitmaps never differ in more bits than the slices do in shingles). Documents with a common signature whose bitmaps allow
+for enough similarity are chained, each to any other. The connected components of the chains are the blocks to search.
 
 Search. Documents with equal sets are one class, represented once. A block is dealt over chunks of at most ``chunk`` classes. In a chunk,
 each class in turn is a query against the inverted lists: its longest lists are set aside,
 the short ones are merged by a heap, and what occurs in enough of them is probed in the long lists by binary
 search until the needed overlap T is reached or out of reach. Classes that are already connected are
 not searched again, so a clump of near copies costs about one query, not all pairs. Every chunk also holds the block's first class.
-For a block of several chunks, the classes that are still outside its largest component are then queried, in chunks of their own, against all its
-chunks. Components of the links found are exact; no pairs are emitted but a spanning forest.
+For a block of several chunks, each class that is still outside its largest component is then queried against the chunks where it has
+a candidate. Components of the links found are exact; no pairs are emitted but a spanning forest.
 """
 
 from __future__ import annotations
@@ -29,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import quoted
 from .components import components
 from .linking import Groups
 from .scratch import Scratch, small
-from .words import LEAD, M1, M2, mix, run_hashes, signed, word_hashes
+from .words import LEAD, M1, M2, mix, portions, run_hashes, signed, word_hashes
 
 def shingle_sets(texts: pa.StringArray, k: int) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's shingles of ``k`` words; with fewer words, of all of them as one."""
@@ -53,15 +55,12 @@ def shingle_sets(texts: pa.StringArray, k: int) -> list[np.ndarray]:
     return out
 
 
-#: Texts that are hashed together.
-TEXTS = 1000
-#: Signatures of a size class that are used, at most. Sets with no more parts than this use all, and are found without fail.
-#: Larger sets use so many of their parts, each with a minimum hash of the whole set, of a seed of its own. Two sets that are just similar
-#: agree in a part with probability 0.37 and in its minimum with their similarity, so in none of them with about 4e-9 at 0.9, 5e-8 at 0.8.
-PARTS = 48
-SEEDS = np.arange(1, PARTS + 1, dtype=np.uint64) * M1
-#: kind 0: a document's class in key and node, its id and the size of its set in x and y; 1: a signature, a class, its signs; 2: linked classes.
+#: Shingles that two similar sets may differ in within a slice, about.
+DIFFERENCES = 15
+#: kind 0: the other half of a document's digest in key, its class in node, its id and the size of its set in x and y; 1: a signature, a class, the bitmap of its slice, the size of its set and the number of slices; 2: linked classes.
 ROWS = "kind int, key long, node long, x long, y long"
+#: Bits of a size in y.
+SIZE = 40
 
 
 def _rows(kind: int, key: np.ndarray, node: np.ndarray, x=None, y=None) -> pa.RecordBatch:
@@ -69,66 +68,95 @@ def _rows(kind: int, key: np.ndarray, node: np.ndarray, x=None, y=None) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), *map(whole, (np.asarray(key, np.int64), np.asarray(node, np.int64), x, y))], names=["kind", "key", "node", "x", "y"])
 
 
-class Sizes:
-    """Size classes: class c has the sizes from edges[c] up; a similarity of ``s`` joins a class with itself and the next only."""
+class Windows:
+    """Windows of sizes that overlap, so that any two sizes that similar sets can have are in one together; and how each deals shingles."""
 
     def __init__(self, s: Fraction) -> None:
-        self.s, self.edges, self.parts = s, [1], []
+        self.s, self.low, self.high, self.slices, self.parts = s, [1], [], [], []
+
+    def differ(self, total):
+        """The most shingles in which two similar sets of so many shingles together differ."""
+        return total * (self.s.denominator - self.s.numerator) // (self.s.denominator + self.s.numerator)
+
+    def upto(self, size: int) -> None:
+        while self.low[-1] <= size:
+            high = max(self.low[-1], math.floor(self.low[-1] * (5 - 4 * self.s)), math.floor(self.low[-1] / self.s))
+            most = self.differ(2 * high)
+            slices = -(-(most + 1) // DIFFERENCES)
+            least = most // slices + 1
+            self.high.append(high)
+            self.slices.append(slices)
+            self.parts.append(least + least // 5)
+            self.low.append(math.ceil(self.s * (high + 1)))  # a smaller set's partners are all in the window before
+
+
+def signatures(sets: list[np.ndarray], windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each signature of each set: the set's place, the signature, its slice's bitmap, and the set's size with the number of slices."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    windows.upto(int(sizes.max(initial=0)))
+    low, high, slices, parts = (np.array(x, np.int64) for x in (windows.low, windows.high, windows.slices, windows.parts))
+    first = np.searchsorted(high, sizes, "left")
+    times = np.where(sizes > 0, np.searchsorted(low, sizes, "right") - first, 0)
+    owner = np.repeat(np.arange(len(sets)), times)  # from here on, one row for each set and window
+    window = np.arange(len(owner)) - np.repeat(np.cumsum(times) - times - first, times)
+    count, dealt, per = sizes[owner], slices[window], parts[window]
+    slots = dealt * per
+    slot_at, slice_at = np.cumsum(slots) - slots, np.cumsum(dealt) - dealt
+    # a token of each row
+    row = np.repeat(np.arange(len(owner)), count)
+    begins = np.cumsum(sizes) - sizes
+    at = np.arange(len(row)) + np.repeat(begins[owner] - np.cumsum(count) + count, count)
+    items = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    token = items[at]
+    place = ((token >> np.uint64(20)) % slots[row].astype(np.uint64)).astype(np.int64)
+    slot, piece = slot_at[row] + place, slice_at[row] + place // per[row]
+    sums = np.zeros(int(slots.sum()), np.uint64)
+    np.add.at(sums, slot, mix(items ^ M1)[at])
+    held = np.bincount(slot, minlength=len(sums))
+    odd = np.bincount(piece * 64 + (token & np.uint64(63)).astype(np.int64), minlength=64 * int(dealt.sum())) & 1
+    bitmaps = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    # a slot of each row: the strongest of each slice are its signatures
+    row = np.repeat(np.arange(len(owner)), slots)
+    place = np.arange(len(row)) - slot_at[row]
+    piece = slice_at[row] + place // per[row]
+    keys = mix(sums + mix((window[row] << 40).astype(np.uint64) + place.astype(np.uint64) + M2))
+    order = np.lexsort((keys, -held, piece))
+    row = row[order]
+    rank = (np.arange(len(row)) - slot_at[row]) % per[row]
+    needed = windows.differ(count + np.minimum(high[window], count * windows.s.denominator // windows.s.numerator)) // dealt + 1
+    kept = rank < needed[row]
+    order, row = order[kept], row[kept]
+    return owner[row], signed(keys[order]), bitmaps[piece[order]], count[row] | dealt[row] << SIZE
 
-    def of(self, n: int) -> int:
-        while self.edges[-1] <= n:
-            low = self.edges[-1]
-            high = math.floor(Fraction(low) / self.s) + 1  # sizes low .. high - 1
-            self.edges.append(high)
-            # the largest pair that this class's parts serve: its own largest, with itself or a smaller one
-            top = high - 1
-            self.parts.append(math.floor((1 - self.s) / (1 + self.s) * 2 * top) + 1)
-        return np.searchsorted(self.edges, n, side="right") - 1
-
-
-def set_signatures(items: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """The set's signatures in its own size class and, as the smaller one, in the next."""
-    at = sizes.of(len(items))
-    sizes.of(sizes.edges[at + 1])
-    least = np.array([mix(items + seed).min() for seed in SEEDS]) if sizes.parts[at + 1] > PARTS else None
-    return np.concatenate([_parts(items, sizes.parts[c], c, least) for c in (at, at + 1)])
-
-
-def _parts(items: np.ndarray, parts: int, size_class: int, least: np.ndarray | None) -> np.ndarray:
-    part, kept = (items >> np.uint64(20)) % np.uint64(parts), min(parts, PARTS)
-    if kept < parts:
-        items, part = items[part < kept], part[part < kept]
-    sums = np.zeros(kept, np.uint64)
-    np.add.at(sums, part, mix(items ^ M1))
-    return mix(sums + np.uint64(size_class << 32) + mix(np.arange(kept, dtype=np.uint64) + M2) + (least if parts > PARTS else np.uint64(0)))
 
+#: Pairs of rows that are compared at once.
+PAIRS = 1 << 20
 
-def sketch(items: np.ndarray) -> np.ndarray:
-    """128 signs of random projections of the set, as two integers: they agree in a share of 1 - angle / pi."""
-    bits = np.unpackbits(np.stack([mix(items ^ M2), mix(items + LEAD)], axis=1).view(np.uint8), axis=1)
-    return np.packbits(2 * bits.sum(0, dtype=np.int64) > len(items)).view(np.int64)
 
+class Agree:
+    """Whether rows a and b, which have a signature in common, may be of similar sets: by their sizes, and their slices' bitmaps."""
 
-def least_agreement(similarity: Fraction) -> int:
-    """So many signs agree for nearly all pairs at the very similarity: five standard deviations below the mean.
+    def __init__(self, bitmaps: np.ndarray, sizes: np.ndarray, windows: Windows) -> None:
+        self.bitmaps, self.sizes, self.slices, self.windows = bitmaps, sizes & ((1 << SIZE) - 1), sizes >> SIZE, windows
 
-    Small sets miss more, as sums that tie count: 4 and 5 shingles at 0.8 miss with 2.3e-4, 10 and 11 at 0.9 with 6.3e-5.
-    """
-    share = 1 - math.acos(float(2 * similarity / (1 + similarity))) / math.pi
-    return math.floor(128 * share - 5 * math.sqrt(128 * share * (1 - share)))
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        s, x, y = self.windows.s, self.sizes[a], self.sizes[b]
+        apart = np.bitwise_count((self.bitmaps[a] ^ self.bitmaps[b]).view(np.uint64))
+        return (apart <= self.windows.differ(x + y) // self.slices[a]) & (np.minimum(x, y) * s.denominator >= np.maximum(x, y) * s.numerator)
 
 
-#: Pairs of rows that are compared at once.
-PAIRS = 1 << 20
+def _beside(rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row with each of its run, which starts there and has that size."""
+    mine = np.repeat(rows, sizes)
+    return mine, np.arange(len(mine)) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
 
-def chains(keys: np.ndarray, nodes: np.ndarray, signs: np.ndarray, least: int) -> np.ndarray:
-    """Of rows sorted by key: links (rows of 2) that connect any two rows with the same key whose signs agree.
+def chains(keys: np.ndarray, nodes: np.ndarray, agree: Agree) -> np.ndarray:
+    """Of rows sorted by key: links (rows of 2) that connect any two rows with the same key that agree.
 
     The first row of each run leads and takes the rows that agree with it; the others are a run of their own in the next step. Leaders were then
     compared with all that they did not take, but what they took was not, so each taken row is compared with the rows of the other leaders of its key.
     """
-    agree = lambda a, b: 128 - np.bitwise_count((signs[a] ^ signs[b]).view(np.uint64)).sum(1, dtype=np.int64) >= least
     starts = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1)) if len(keys) else np.zeros(0, np.int64)
     sizes = np.diff(starts, append=len(keys))
     run = np.repeat(np.arange(len(starts)), sizes)
@@ -149,9 +177,7 @@ def chains(keys: np.ndarray, nodes: np.ndarray, signs: np.ndarray, least: int) -
     while at < len(taken):
         upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
         some = taken[at:upto]
-        many = sizes[run[some]]
-        mine = np.repeat(some, many)
-        other = np.arange(len(mine)) + np.repeat(starts[run[some]] - np.cumsum(many) + many, many)
+        mine, other = _beside(some, starts[run[some]], sizes[run[some]])
         apart = lead[mine] != lead[other]
         mine, other = mine[apart], other[apart]
         met = agree(mine, other)
@@ -237,80 +263,38 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, similarity: Fraction = Fr
     A-Z is lower-cased, words are runs without ASCII white space, and a text of fewer than ``k`` words
     is one shingle. A null, empty or blank text has an empty set and links with nothing. Rows that repeat an id are rows of their
     own; a component's id is the smallest doc_id of its rows, and a null id has none smaller than others. An empty table gives
-    an empty result. Other columns are ignored.
+    an empty result; a very long text is held whole, once. Other columns are ignored, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-    least = least_agreement(similarity)
-
-    def signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = Sizes(similarity)
-        for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(at, TEXTS)
-                sets = shingle_sets(part.column(1), k)
-                nodes = np.array([int.from_bytes(digest_of(x)[:8], "little", signed=True) for x in sets])
-                yield _rows(0, nodes, nodes, part.column(0), pa.array([len(x) for x in sets], pa.int64()))
-                once = sorted({node: i for i, node in enumerate(nodes.tolist()) if len(sets[i])}.values())
-                if not once:
-                    continue
-                found = [signed(set_signatures(sets[i], sizes)) for i in once]
-                owner = np.repeat(np.arange(len(once)), [len(x) for x in found])
-                keys, names, signs = np.concatenate(found), nodes[once], np.stack([sketch(sets[i]) for i in once])
-                yield _rows(1, keys, names[owner], *signs[owner].T)
-
-    # Only signatures need to meet; what is known of documents rides along.
-    shuffled = texts.mapInArrow(signed_rows, ROWS).repartition("key").sortWithinPartitions("kind", "key", "node")
-
-    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []  # the rows of the last key so far
-
-        def settled() -> pa.RecordBatch:
-            keys, nodes, signs = map(np.concatenate, zip(*held, strict=True))
-            once = (np.diff(keys, prepend=keys[:1] - 1) != 0) | (np.diff(nodes, prepend=nodes[:1] - 1) != 0)  # batches repeat what is equal
-            links = chains(keys[once], nodes[once], signs[once], least)
-            return _rows(2, links[:, 0], links[:, 1])
-
-        for batch in batches:
-            rest = batch.column(0).to_numpy() != 1
-            yield batch.filter(pa.array(rest))
-            mine = batch.filter(pa.array(~rest))
-            if not mine.num_rows:
-                continue
-            keys, nodes, *signs = (mine.column(i).to_numpy() for i in range(1, 5))
-            signs, last = np.stack(signs, axis=1), np.searchsorted(keys, keys[-1])
-            if last or held and held[0][0][0] != keys[-1]:
-                held.append((keys[:last], nodes[:last], signs[:last]))
-                yield settled()
-                held = []
-            held.append((keys[last:], nodes[last:], signs[last:]))
-        if held:
-            yield settled()
-
-    base = scratch.save(shuffled.mapInArrow(chained, ROWS), "base")
-    members = base.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("size"), "node")
+    apart: frozenset[int] = frozenset()
+    while True:  # 64 bits name a class; names that two classes have, as their 128 bits tell, are given anew
+        base = scratch.save(_chained(texts, k, similarity, apart), f"base-{len(apart)}")
+        members = base.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("size"), "node")
+        classes = scratch.save(base.where("kind = 0 and y > 0").groupBy("node").agg(F.min("x").alias("chosen"), F.min("key").alias("a"), F.max("key").alias("b")), f"classes-{len(apart)}")
+        clashes = {r["node"] for r in classes.where("a <> b").select("node").collect()}  # about one for each 6e9 classes' square over 2e19
+        if clashes <= apart:
+            break
+        apart |= clashes
     blocks = components(base.where("kind = 2").select(F.col("key").alias("a"), F.col("node").alias("b")), scratch, "blocks")
     sizes = blocks.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
     placed = scratch.save(blocks.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "placed")
     # One document stands for each class in a block. Where it goes is joined before its set is made: sets are moved once.
-    chosen = members.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("chosen"))
-    chosen = scratch.save(chosen.join(placed, "node"), "chosen")
-    sets = scratch.save(_sets(texts, chosen, k), "sets")
+    chosen = scratch.save(classes.select("node", "chosen").join(placed, "node"), "chosen")
+    sets = scratch.save(_sets(texts, chosen, k, apart), "sets")
     everywhere = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
     first = sets.withColumn("chunk", F.explode(everywhere)).select("node", "root", "chunk", "items", F.lit(True).alias("query"))
     links = scratch.save(_search(first, similarity), "links-1")
     if not placed.where("chunks > 1").isEmpty():
         near = components(links, scratch, "near")
         state = placed.where("chunks > 1").join(near.withColumnRenamed("root", "near"), "node", "left").withColumn("near", F.coalesce("near", "node"))
-        largest = state.groupBy("root", "near").count().groupBy("root").agg(F.max_by("near", F.struct("count", "near")).alias("largest"))
-        state = scratch.save(state.join(largest, "root"), "state")
-        # Each block of queries meets each chunk: no task holds more than two chunks' worth.
-        outside = state.where("near <> largest")
-        asks = outside.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("asks"))
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        asking = outside.join(asks, "root").withColumn("ask", F.pmod(F.xxhash64("node", F.lit(1)), F.col("asks")).cast("int")).withColumn("chunk", every("chunks"))
-        asked = state.join(asks, "root").withColumn("ask", every("asks"))
+        largest = scratch.save(state.groupBy("root", "near").count().groupBy("root").agg(F.max_by("near", F.struct("count", "near")).alias("largest")), "largest")
+        state = scratch.save(state.join(largest, "root").withColumn("outside", F.col("near") != F.col("largest")), "state")
+        # Who asks which chunk; so many to a task as a chunk holds.
+        asking = scratch.save(_asks(sets.select("node", "items").join(state, "node"), similarity), "asks")
+        asks = scratch.save(asking.groupBy("root", "chunk").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("asks")), "ask-sizes")
+        asking = asking.join(asks, ["root", "chunk"]).withColumn("ask", F.pmod(F.xxhash64("node", F.lit(1)), F.col("asks")).cast("int"))
+        asked = state.join(asks, ["root", "chunk"]).withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
         shape = ["node", "root", "chunk", "ask", "near"]
         pairs = asking.select(*shape, F.lit(True).alias("query")).unionByName(asked.select(*shape, F.lit(False).alias("query")))
         links = links.unionByName(scratch.save(_search(sets.select("node", "items").join(pairs, "node"), similarity, "ask"), "links-2"))
@@ -321,17 +305,117 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, similarity: Fraction = Fr
     return whole_rows.join(least, "root", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def _sets(texts: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
+def named(sets: list[np.ndarray], apart: frozenset[int]) -> tuple[np.ndarray, np.ndarray]:
+    """A name for each set, and the other half of its digest; the halves change places where two sets have one name."""
+    halves = np.frombuffer(b"".join(digest_of(x) for x in sets), np.int64).reshape(-1, 2)
+    if apart:
+        halves = np.where(np.isin(halves[:, :1], list(apart)), halves[:, ::-1], halves)
+    return halves[:, 0], halves[:, 1]
+
+
+def _chained(texts: DataFrame, k: int, similarity: Fraction, apart: frozenset[int]) -> DataFrame:
+    """ROWS of kind 0, for each text, and 2, for classes that may be similar."""
+    def signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(similarity)
+        for batch in batches:
+            for part in portions(batch):
+                sets = shingle_sets(part.column(1), k)
+                nodes, others = named(sets, apart)
+                yield _rows(0, others, nodes, part.column(0), pa.array([len(x) for x in sets], pa.int64()))
+                once = sorted({node: i for i, node in enumerate(nodes.tolist()) if len(sets[i])}.values())
+                owner, keys, bitmaps, sizes = signatures([sets[i] for i in once], windows)
+                yield _rows(1, keys, nodes[once][owner], bitmaps, sizes)
+
+    # Only signatures need to meet; what is known of documents rides along.
+    shuffled = texts.mapInArrow(signed_rows, ROWS).repartition("key").sortWithinPartitions("kind", "key", "node")
+
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(similarity)
+        for kind, keys, nodes, bitmaps, sizes in _by_key(batches):
+            if kind == 0:
+                yield _rows(0, keys, nodes, bitmaps, sizes)
+                continue
+            once = (np.diff(keys, prepend=keys[:1] - 1) != 0) | (np.diff(nodes, prepend=nodes[:1] - 1) != 0)  # batches repeat what is equal
+            links = chains(keys[once], nodes[once], Agree(bitmaps[once], sizes[once], windows))
+            yield _rows(2, links[:, 0], links[:, 1])
+
+    return shuffled.mapInArrow(chained, ROWS)
+
+
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Of rows sorted by kind and key: kind 0 as they come, with x as it is (it may hold nulls); others in arrays of whole keys, with further columns if there are any."""
+    held: list[list[np.ndarray]] = []  # the rows of the last key so far
+    for batch in batches:
+        kinds = batch.column(0).to_numpy()
+        at = int(np.searchsorted(kinds, 1))
+        if at:
+            rest = batch.slice(0, at)
+            yield 0, rest.column(1).to_numpy(), rest.column(2).to_numpy(), rest.column(3), rest.column(4)
+        if at == len(kinds):
+            continue
+        rows = [x.to_numpy(zero_copy_only=False) for x in batch.slice(at).columns[1:]]
+        last = int(np.searchsorted(rows[0], rows[0][-1]))
+        if last or held and held[0][0][0] != rows[0][-1]:
+            held.append([x[:last] for x in rows])
+            yield 1, *(np.concatenate(x) for x in zip(*held, strict=True))
+            held = []
+        held.append([x[last:] for x in rows])
+    if held:
+        yield 1, *(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _asks(sets: DataFrame, similarity: Fraction) -> DataFrame:
+    """node, root, near, chunk: the chunks where a class outside its block's largest component has a candidate that it is not yet connected with.
+
+    ``sets``: node, items, root, near, chunk, outside. Signatures are those that the blocks were made by.
+    """
+    names = ["node", "root", "near", "chunk", "outside"]
+
+    def signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(similarity)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 100):
+                part = batch.slice(low, 100)
+                owner, keys, bitmaps, sizes = signatures([np.frombuffer(x, np.uint64) for x in part.column(5).to_pylist()], windows)
+                place = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), pa.array(keys), part.column(0).take(place), pa.array(bitmaps), pa.array(sizes), *(part.column(i).take(place) for i in range(1, 5))],
+                                                 names=["kind", "key", "node", "x", "y", *names[1:]])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(similarity)
+        for _, keys, nodes, bitmaps, sizes, roots, near, chunks, outside in _by_key(batches):
+            agree = Agree(bitmaps, sizes, windows)
+            starts = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+            counts = np.diff(starts, append=len(keys))
+            run = np.repeat(np.arange(len(starts)), counts)
+            asking = np.flatnonzero(outside & (counts[run] > 1))
+            ends = np.cumsum(counts[run[asking]])
+            at = 0
+            while at < len(asking):
+                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+                some = asking[at:upto]
+                mine, other = _beside(some, starts[run[some]], counts[run[some]])
+                good = near[mine] != near[other]
+                mine, other = mine[good], other[good]
+                good = agree(mine, other)
+                found = np.unique(np.stack([nodes[mine[good]], roots[mine[good]], near[mine[good]], chunks[other[good]].astype(np.int64)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found[:, :3].T] + [pa.array(found[:, 3].astype(np.int32))], names=names[:4])
+                at = upto
+
+    rows = sets.select(*names, "items").mapInArrow(signed_rows, ROWS + ", root long, near long, chunk int, outside boolean")
+    return rows.repartition("key").sortWithinPartitions("kind", "key").mapInArrow(met, "node long, root long, near long, chunk int").distinct()
+
+
+def _sets(texts: DataFrame, chosen: DataFrame, k: int, apart: frozenset[int]) -> DataFrame:
     """``chosen`` (node, chosen, root, chunks, chunk) with each class's set as bytes; a row that repeats the chosen document repeats its class."""
     more = ["node", "root", "chunks", "chunk"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(at, TEXTS)
+            for part in portions(batch, 0):
                 found = shingle_sets(part.column(0), k)
-                right = [int.from_bytes(digest_of(x)[:8], "little", signed=True) == node for x, node in zip(found, part.column(1).to_pylist(), strict=True)]
-                kept = part.filter(pa.array(right, pa.bool_()))
+                right = named(found, apart)[0] == part.column(1).to_numpy()
+                kept = part.filter(pa.array(right))
                 yield pa.RecordBatch.from_arrays([*(kept.column(i) for i in range(1, 5)), pa.array([x.tobytes() for x, r in zip(found, right, strict=True) if r], pa.binary())], names=[*more, "items"])
 
     rows = texts.join(small(chosen), F.col("doc_id").eqNullSafe(F.col("chosen"))).select("text", *more)
@@ -357,8 +441,13 @@ def _search(rows: DataFrame, similarity: Fraction, *more: str) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` but for those in a component with a smaller id; rows without an id stay."""
+    """The rows of ``docs`` but for those in a component with a smaller id, with their own columns, whatever their names.
+
+    Rows without an id stay, as do rows with a null, empty or blank text; of rows that repeat an id all stay or all go. An empty table gives an
+    empty result.
+    """
     scratch = Scratch(docs.sparkSession, "jaccard-rows")
     found = scratch.save(jaccard_components(docs, id_col=id_col, **options), "found")
-    gone = scratch.save(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(small(gone), docs[id_col] == F.col("_gone"), "left_anti")
+    gone = scratch.save(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    rows = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"))
+    return rows.join(small(gone), F.col("row")[id_col].cast("long") == F.col("doc_id"), "left_anti").select("row.*")

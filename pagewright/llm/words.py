@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -10,6 +12,17 @@ LEAD = np.uint64(0x165667B19E3779F9)
 PLACES = 64
 
 
+def portions(batch: pa.RecordBatch, column: int = 1, rows: int = 1000, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most so many rows and, but for a single longer text, so many bytes of text."""
+    texts = batch.column(column)
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, min(low + rows, int(np.searchsorted(ends, int(ends[low]) + size, "right")) - 1))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * M1
     x = (x ^ (x >> np.uint64(29))) * M2

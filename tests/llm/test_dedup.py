@@ -82,16 +82,71 @@ def test_half_similar_texts_do_not_part_similar_ones(spark, partitions):
     same(jaccard.jaccard_components(spark.createDataFrame(given, "doc_id long, text string").repartition(partitions), k=5, similarity=Fraction(4, 5)), want)
 
 
+def families(seed):
+    """Template letters: 16 common words and 5 of their own; of each, another with one word at an end changed, left out or added."""
+    rng, out = random.Random(seed), []
+    for _ in range(40):
+        common = [f"c{rng.randrange(10 ** 6)}" for _ in range(16)]
+        for _ in range(18):
+            own = [f"o{rng.randrange(10 ** 6)}" for _ in range(5)]
+            letter = [w for at in range(5) for w in (*common[at * 3:at * 3 + 3], own[at])] + common[15:]
+            out += [" ".join(letter), " ".join(rng.choice([letter[:-1] + [f"x{rng.randrange(10 ** 6)}"], letter[1:], [f"y{rng.randrange(10 ** 6)}", *letter], letter + ["z"]]))]
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("k,similarity", [(3, Fraction(9, 10)), (5, Fraction(4, 5)), (1, Fraction(4, 5))])
+def test_template_letters_lose_no_link(spark, k, similarity):
+    given = families(7)
+    want = brute.jaccard(given, k, similarity)
+    assert sum(i != c for i, _, c in want) > 100
+    frame = spark.createDataFrame(given, "doc_id long, text string")
+    for chunk in (512, 8):
+        same(jaccard.jaccard_components(frame.repartition(3), k=k, similarity=similarity, chunk=chunk), want)
+
+
 def test_chains_connect_all_that_agree():
     rng = np.random.default_rng(6)
+    windows = jaccard.Windows(Fraction(9, 10))
     for _ in range(50):
-        signs = rng.integers(-1 << 63, 1 << 63, (1, 2)) ^ np.packbits(rng.random((60, 128)) < rng.choice([0.05, 0.15], 60)[:, None], axis=1).view(np.int64)
-        keys, nodes = np.sort(rng.integers(0, 4, 60)), rng.permutation(60)
-        links = jaccard.chains(keys, nodes, signs, 97)
-        pairs = [(a, b) for a in range(60) for b in range(a) if keys[a] == keys[b] and np.bitwise_count((signs[a] ^ signs[b]).view(np.uint64)).sum() <= 31]
+        bitmaps = rng.integers(-1 << 63, 1 << 63, 1) ^ np.packbits(rng.random((60, 64)) < rng.choice([0.05, 0.12], 60)[:, None], axis=1).view(np.int64)[:, 0]
+        keys, nodes, sizes = np.sort(rng.integers(0, 4, 60)), rng.permutation(60), rng.integers(90, 110, 60)
+        agree = jaccard.Agree(bitmaps, sizes | 1 << jaccard.SIZE, windows)
+        links = jaccard.chains(keys, nodes, agree)
+        pairs = [(a, b) for a in range(60) for b in range(a) if keys[a] == keys[b] and (int(bitmaps[a] ^ bitmaps[b]) & (1 << 64) - 1).bit_count() <= (sizes[a] + sizes[b]) // 19 and min(sizes[a], sizes[b]) * 10 >= max(sizes[a], sizes[b]) * 9]
         assert brute.components(60, links.tolist()) == brute.components(60, [(nodes[a], nodes[b]) for a, b in pairs])
 
 
+@pytest.mark.parametrize("similarity", [Fraction(9, 10), Fraction(4, 5), Fraction(1, 2)])
+def test_similar_sets_have_a_signature_in_common_and_agree(similarity):
+    """At the very threshold, for sets of 1 to 6,000 shingles, few or all of which lie in one place of the hash."""
+    rng, windows = np.random.default_rng(0), jaccard.Windows(similarity)
+    for n in [*range(1, 60), *rng.integers(60, 6000, 60).tolist()]:
+        x = np.unique(rng.integers(1, 1 << 62, n).astype(np.uint64) if n % 3 else (rng.integers(1, 1 << 18, n).astype(np.uint64) << np.uint64(20)))
+        for more in {0, int(rng.integers(0, 5)), len(x)}:
+            y = np.unique(np.concatenate([rng.permutation(x)[int(rng.integers(0, 1 + windows.differ(2 * len(x)) // 2)):], rng.integers(1, 1 << 62, more).astype(np.uint64)]))
+            for y in (y, x, rng.permutation(x)[:len(x) - int(len(x) * (1 - similarity))]):
+                y = np.sort(y)
+                shared = len(np.intersect1d(x, y))
+                if not len(y) or shared < similarity * (len(x) + len(y) - shared):
+                    continue
+                owner, keys, bitmaps, sizes = jaccard.signatures([x, y], windows)
+                agree, mine = jaccard.Agree(bitmaps, sizes, windows), {key: i for i, key in enumerate(keys.tolist()) if owner[i] == 0}
+                pairs = np.array([(mine[key], i) for i, key in enumerate(keys.tolist()) if owner[i] == 1 and key in mine]).reshape(-1, 2)
+                assert agree(pairs[:, 0], pairs[:, 1]).any(), (len(x), len(y), shared)
+
+
+def test_classes_with_one_name_are_told_apart(docs, documents, monkeypatch):
+    monkeypatch.setattr(jaccard, "digest_of", one_name)
+    same(jaccard.jaccard_components(docs), brute.jaccard(documents))
+
+
+def one_name(items):
+    import hashlib
+
+    whole = hashlib.md5(items.tobytes()).digest()
+    return bytes([whole[0] % 8]) * 8 + whole[8:]
+
+
 def test_near_dedup_keeps_one_of_each_group(docs, documents):
     kept = jaccard.near_dedup(docs, k=5, similarity=Fraction(4, 5))
     assert kept.columns == docs.columns
