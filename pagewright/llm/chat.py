@@ -4,7 +4,7 @@ A logged conversation is often a prefix of a longer one. Rolling hashes over the
 prefix of every conversation a 128-bit key (the exclusive or of a hash of each turn with its
 place). One row for each prefix key keeps the longest conversation that has it, and the
 smallest id of those that end there; partial aggregation makes a first turn that all share
-a few rows. An anti-join then drops what a longer conversation continues; the rest is rendered.
+a few rows. An anti-join then drops what a longer conversation continues; only the turns of what it leaves are joined, and rendered.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ def collapse_and_render(turns: DataFrame, *, conv_col: str = "conv_id", turn_col
     rows = turns.where(F.col(conv_col).isNotNull()).select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    placed = rows.withColumn("place", F.row_number().over(order))
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hashed = placed.withColumn("hash_a", F.xxhash64(F.lit(1), "place", "role", "text")).withColumn("hash_b", F.xxhash64(F.lit(2), "place", "role", "text"))
+    placed = rows.withColumn("place", F.row_number().over(order))
+    hashed = placed.select("conv_id", "place", *(F.xxhash64(F.lit(i), "place", "role", "text").alias(h) for i, h in ((1, "hash_a"), (2, "hash_b"))), "turn", "role", "text")
     rolling = hashed.select("conv_id", "place", F.bit_xor("hash_a").over(so_far).alias("hash_a"), F.bit_xor("hash_b").over(so_far).alias("hash_b"),
                             F.count(F.lit(1)).over(Window.partitionBy("conv_id")).alias("n_turns"))
     ends = F.col("place") == F.col("n_turns")
@@ -37,8 +37,8 @@ def collapse_and_render(turns: DataFrame, *, conv_col: str = "conv_id", turn_col
         F.max("n_turns").alias("longest"), F.min(F.when(ends, F.col("conv_id"))).alias("conv_id"), F.count_if(ends).alias("n_copies"))
     finals, longer = prefixes.where("conv_id is not null"), prefixes.where("longest > place").select("place", "hash_a", "hash_b")
     maximal = finals.join(longer, ["place", "hash_a", "hash_b"], "left_anti").select("conv_id", "n_copies")
+    kept = rows.join(maximal, "conv_id")  # only these are rendered
     safe = F.replace(F.col("text"), F.lit("<|"), F.lit("< |"))
-    line = F.concat(F.lit(OPEN), F.col("role"), F.lit("\n"), safe, F.lit(CLOSE + "\n"))
-    rendered = placed.withColumn("line", line).groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("n_turns"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "").alias("rendered"))
-    return rendered.join(maximal, "conv_id").select("conv_id", "n_turns", "n_copies", "rendered")
+    line = lambda t: F.concat(F.lit(OPEN), t["role"], F.lit("\n"), t["safe"], F.lit(CLOSE + "\n"))
+    said = F.array_sort(F.collect_list(F.struct("turn", "role", "text", safe.alias("safe"))))
+    return kept.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.first("n_copies").alias("n_copies"), F.array_join(F.transform(said, line), "").alias("rendered"))
