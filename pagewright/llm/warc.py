@@ -14,9 +14,11 @@ import base64
 import gzip
 import hashlib
 import html
+import io
 import re
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 import pyarrow as pa
@@ -29,11 +31,18 @@ UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*
 BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|body|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>", re.I)
 TAG = re.compile(r"<[/!?]?[A-Za-z][^>]*>|<[!?][^>]*>")
 SPACES, LINES = re.compile(r"[^\S\n]{2,}|[^\S\n ]"), re.compile(r" ?\n[ \n]*")
+ZEROS, NO_CHARACTER = re.compile(r"(&#[xX]?)0+(?=[0-9a-fA-F])"), re.compile(r"&#(?:[1-9][0-9]{7,}|[xX][1-9a-fA-F][0-9a-fA-F]{6,});?")
 
 
 def plain_text(page: str) -> str:
-    """What a reader sees: scripts, styles and comments go, block elements end lines, entities are resolved."""
-    seen = TAG.sub("", BREAK.sub("\n", UNSEEN.sub("", page.replace("\n", " "))))
+    """What a reader sees: scripts, styles and comments go, block elements end lines, entities are resolved. Takes time in proportion to the page.
+
+    A tag that the page's end cuts off is one. For this a ``>`` is put behind the page, led by a character that no page may hold; so
+    each ``<`` finds the end of its tag, and no text is looked through twice.
+    """
+    closed = page.replace("\0", "\ufffd").replace("\n", " ") + "\0>"
+    seen = TAG.sub("", BREAK.sub("\n", UNSEEN.sub("", closed))).removesuffix("\0>")
+    seen = NO_CHARACTER.sub("\ufffd", ZEROS.sub(r"\1", seen)) if "&#" in seen else seen
     return LINES.sub("\n", SPACES.sub(" ", html.unescape(seen))).strip()
 
 
@@ -81,7 +90,10 @@ def derive(record_id: str, uri: str | None, date: str | None, block: bytes) -> l
 
 
 def responses(pages: DataFrame, *, date: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Response records of a table of pages. A page's identifier is derived from its id, URL and content; null HTML is an empty payload."""
+    """Response records of a table of pages. A page's identifier is derived from its id, URL and content, so rows that repeat a page have its record; null HTML is an empty payload.
+
+    A null id or URL stays null; an empty table gives an empty result. Other columns are ignored, whatever their names.
+    """
     body = F.coalesce(F.col(html_col), F.lit(""))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
     name = F.sha1(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(url_col), F.lit("")), F.sha1(body)))
@@ -94,7 +106,7 @@ def derivatives(records: DataFrame) -> DataFrame:
 
     Null HTML or an empty page gives a conversion with an empty block. A null URL or date stays null, and its header is left
     out when written. Rows that repeat a response give the same records again. An empty table gives an empty
-    result. Other columns are ignored. A page is held whole; batches bound the rest.
+    result; of a record without a block all is empty. Other columns are ignored, whatever their names. A page is held whole, however long, and read once; batches bound the rest.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -114,16 +126,22 @@ def record_bytes(kind: str, record_id: str, uri: str | None, date: str | None, c
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head if v is not None).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of a WARC file, gzipped (by record or whole) or not."""
-    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-    at = 0
-    while (end := data.find(b"\r\n\r\n", at)) >= 0:
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(headers.get("Content-Length", 0))
-        yield headers, data[end + 4:end + 4 + size]
-        at = end + 8 + size
+def parse(data: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record of a WARC file, gzipped (by record or whole) or not. One record is held at a time."""
+    stream = io.BytesIO(data) if isinstance(data, bytes) else data
+    zipped = stream.read(2) == b"\x1f\x8b"
+    stream.seek(0)
+    lines = gzip.GzipFile(fileobj=stream) if zipped else stream
+    while True:
+        while (first := lines.readline()) and not first.strip():  # records end in two line breaks
+            pass
+        if not first:
+            return
+        headers = {}
+        while (line := lines.readline().strip()):
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            headers[name.strip()] = value.strip()
+        yield headers, lines.read(int(headers.get("Content-Length", 0)))
 
 
 def write_warc(records: DataFrame, path: str) -> None:
@@ -137,12 +155,24 @@ def write_warc(records: DataFrame, path: str) -> None:
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """The response records of the WARC files under ``path``; a file is one row, so files should be of usual size (about 1 GB)."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The response records of the WARC files under ``path``, one held at a time; a file's bytes are one row, so files should be of usual size (about 1 GB)."""
+    names = ["page_id", "record_id", "target_uri", "date", "block"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch["content"]:
-                for h, block in parse(content):
+            for content in batch.column(0):
+                rows, held = [], 0
+                for h, block in parse(pa.BufferReader(content.as_buffer())):
                     if h.get("WARC-Type") == "response":
-                        yield pd.DataFrame([(None, h.get("WARC-Record-ID"), h.get("WARC-Target-URI"), h.get("WARC-Date"), block)], columns=["page_id", "record_id", "target_uri", "date", "block"]).astype({"page_id": "Int64"})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "page_id long, record_id string, target_uri string, date string, block binary")
+                        rows.append((None, h.get("WARC-Record-ID"), h.get("WARC-Target-URI"), h.get("WARC-Date"), block))
+                        held += len(block)
+                    if held > 1 << 24:
+                        yield _batch(rows)
+                        rows, held = [], 0
+                yield _batch(rows)
+
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.int64(), *[pa.string()] * 3, pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "page_id long, record_id string, target_uri string, date string, block binary")
