@@ -1,8 +1,8 @@
 """Quality classifier (op4): supervised subword embeddings, trained by stochastic gradient descent in numpy.
 
-A document is the mean of learned vectors: one for each word (white space parts them; case stays), each
-of a word's character n-grams with its borders marked, and for each pair of equal words in a row a word
-bigram with a back-reference. All are hashed into one table of ``buckets`` vectors. A
+A document is the mean of learned vectors: one for each word (white space parts them; case stays), one for each
+of a word's character n-grams with its borders marked, and one for each two words in a row. Two words are hashed by the exclusive or of
+their hashes, so their order is not told apart, and all words that follow themselves have one vector. All are hashed into one table of ``BUCKETS`` vectors. A
 linear layer and a softmax turn the mean into the probability of label 1.
 
 The softmax of two classes needs only the difference of their logits, and that is the mean, over a document's
@@ -13,6 +13,7 @@ in one pass, without a shuffle.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -23,11 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 17
-#: The bucket of a word that follows itself, and how often it counts.
-AGAIN, AGAIN_WEIGHT = 0, 8
 #: Labelled rows that the model is trained on, at most.
 SAMPLE = 1500
-#: Characters that are hashed together; a longer text is cut at white space, or, if it has none, between characters.
+#: Characters that are hashed together, about; a longer text is cut at white space, where only pairs of words go across; these are added, so its score is that of the whole.
 PART = 1 << 19
 BORDER = np.uint32(1)
 FACTORS = np.array([2654435761, 2246822519, 3266489917, 668265263], np.uint32)
@@ -35,24 +34,26 @@ FACTORS = np.array([2654435761, 2246822519, 3266489917, 668265263], np.uint32)
 
 def bucket(mixed: np.ndarray) -> np.ndarray:
     mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(2246822519)
-    return np.maximum(mixed >> np.uint32(15), 1)  # 17 bits; AGAIN has a bucket of its own
+    return mixed >> np.uint32(15)  # 17 bits
+
+
+SPACE = re.compile("[\x00- ]")
 
 
 def parts(text: str) -> list[str]:
-    out = []
-    while len(text) > PART:
-        at = max(text.rfind(" ", 0, PART), text.rfind("\n", 0, PART))
-        at = at + 1 if at > 0 else PART
-        out.append(text[:at])
-        text = text[at:]
-    return [*out, text]
+    """The text, cut behind the first border after each ``PART`` characters."""
+    out, low = [], 0
+    while len(text) - low > PART and (border := SPACE.search(text, low + PART)):
+        out.append(text[low:border.end()])
+        low = border.end()
+    return [*out, text[low:]]
 
 
 def hashed(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, tuple[np.ndarray, np.ndarray]]:
     """What the texts' features are, text after text, each text led by a border.
 
     Character n-grams for n = 2, 3, 4: a bucket for each place, and whether an n-gram starts there. Where each
-    text starts. Words: where each starts, and its bucket (AGAIN is added for a word like the one before it).
+    text starts. Words: where each starts, and its hash.
     """
     codes = np.frombuffer("".join(chain.from_iterable(("\x01", x) for x in [*texts, ""])).encode("utf-32-le"), "<u4").astype(np.uint32)
     codes = np.where(codes <= 32, BORDER, codes)
@@ -81,28 +82,25 @@ def hashed(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.nd
     return grams, begins, (starts, np.add.reduceat(terms, starts).astype(np.uint32))
 
 
-def again(starts: np.ndarray, words: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The text of each word, and which words are like the one before in their text."""
-    of = np.searchsorted(begins, starts, side="right") - 1
-    same = np.zeros(len(words), bool)
-    same[1:] = (words[1:] == words[:-1]) & (of[1:] == of[:-1])
-    return of, same
+def two(words: np.ndarray, following: np.ndarray) -> np.ndarray:
+    return bucket((words ^ following) + FACTORS[3])
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """A text's buckets, each once, and how often each occurs."""
-    counts = np.zeros(BUCKETS)
+    counts, every = np.zeros(BUCKETS), []
     for part in parts(text):
-        grams, begins, (starts, words) = hashed([part])
+        grams, _, (_, words) = hashed([part])
         for ids, valid in grams:
             counts += np.bincount(ids[valid], minlength=BUCKETS)
-        counts += np.bincount(bucket(words), minlength=BUCKETS)
-        counts[AGAIN] += AGAIN_WEIGHT * again(starts, words, begins)[1].sum()
+        every.append(words)
+    words = np.concatenate(every)
+    counts += np.bincount(np.concatenate([bucket(words), two(words[:-1], words[1:])]), minlength=BUCKETS)
     ids = np.flatnonzero(counts)
     return ids, counts[ids]
 
 
-def train(texts: list[str], labels: np.ndarray, *, dim: int = 8, epochs: int = 6, rate: float = 0.5, seed: int = 0) -> tuple[np.ndarray, float]:
+def train(texts: list[str], labels: np.ndarray, *, dim: int = 8, epochs: int = 12, rate: float = 0.5, seed: int = 0) -> tuple[np.ndarray, float]:
     """One number for each bucket, and a bias: a document's logit is the bias plus the mean of its features' numbers."""
     random = np.random.default_rng(seed)
     vectors = random.uniform(-1 / dim, 1 / dim, (BUCKETS, dim))
@@ -135,15 +133,18 @@ def train(texts: list[str], labels: np.ndarray, *, dim: int = 8, epochs: int = 6
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5) -> tuple[np.ndarray, float]:
     """A model from at most ``sample`` labelled rows of the learning folds (crc32 of the id modulo ``folds`` is not 0), the least by a hash of the id.
 
-    The sample is drawn before any text is read, and trained on in one task: its size is the parameter's and does not grow with the data.
+    The sample is drawn before any text is read, and trained on in one task: its size is the parameter's and does not grow with the data. An id with
+    both labels counts as 1, and of the texts under one id the least is learned; ids that are null or without a text, and labels other than 0 and 1, are left out. Other columns are
+    ignored, whatever their names. An empty table gives a model that scores 0.5.
     """
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
-    known = known.where(F.crc32(F.col("_id").cast("string")) % folds != 0).groupBy("_id").agg(F.max("_label").alias("_label"))
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).where("_label in (0, 1) and _id is not null")
+    known = known.where(F.crc32(F.col("_id").cast("string")) % folds != 0).groupBy("_id").agg(F.max("_label").cast("int").alias("_label"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select("_id", F.coalesce(docs[text_col], F.lit("")).alias("_text"), "_label")
+    texts = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).groupBy("_id").agg(F.min("_text").alias("_text"), F.first("_label").alias("_label"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = pd.concat([b.drop_duplicates() for b in batches] or [pd.DataFrame({"_id": [], "_text": [], "_label": []})]).sort_values(["_id", "_text"])
+        found = pd.concat([*batches] or [pd.DataFrame({"_id": [], "_text": [], "_label": []})]).sort_values("_id")
         table, bias = train(found["_text"].tolist(), found["_label"].to_numpy(np.int64))
         yield pd.DataFrame({"table": [table.astype("<f8").tobytes()], "bias": [bias]})
 
@@ -155,6 +156,7 @@ def logits(texts: list[str], table: np.ndarray) -> np.ndarray:
     """The mean of each text's features' numbers; 0 without features."""
     pieces = [(i, part) for i, text in enumerate(texts) for part in parts(text)]
     sums, sizes, low = np.zeros(len(texts)), np.zeros(len(texts)), 0
+    last, last_of = np.zeros(0, np.uint32), np.zeros(0, np.int64)  # the word before the next piece, and its text
     while low < len(pieces):
         high, held = low, 0
         while high < len(pieces) and (high == low or held + len(pieces[high][1]) <= PART):
@@ -166,13 +168,15 @@ def logits(texts: list[str], table: np.ndarray) -> np.ndarray:
         for ids, valid in grams:
             value += np.where(valid, table[ids], 0)
             count += valid
-        text, same = again(starts, words, begins)
-        of_word = of[text]
+        of_word = of[np.searchsorted(begins, starts, side="right") - 1]
         np.add.at(sums, of, np.add.reduceat(value, begins[:-1]))
         np.add.at(sizes, of, np.add.reduceat(count, begins[:-1]))
-        for which, weights in ((of_word, table[bucket(words)]), (of_word[same], np.full(same.sum(), AGAIN_WEIGHT * table[AGAIN]))):
-            sums += np.bincount(which, weights, minlength=len(texts))
-        sizes += np.bincount(of_word, minlength=len(texts)) + AGAIN_WEIGHT * np.bincount(of_word[same], minlength=len(texts))
+        before, before_of = np.concatenate([last, words]), np.concatenate([last_of, of_word])
+        pair = np.flatnonzero(before_of[:-1] == before_of[1:])
+        which = np.concatenate([of_word, before_of[pair]])
+        sums += np.bincount(which, table[np.concatenate([bucket(words), two(before[pair], before[pair + 1])])], minlength=len(texts))
+        sizes += np.bincount(which, minlength=len(texts))
+        last, last_of = before[-1:], before_of[-1:]
         low = high
     return np.divide(sums, sizes, out=np.zeros(len(texts)), where=sizes > 0)
 
@@ -196,7 +200,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], *, threshold: float
 
 
 def keep(docs: DataFrame, model: tuple[np.ndarray, float], *, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with their own columns, whose score is ``threshold`` or more. The rows pass through the scoring task and are not shuffled or joined."""
+    """The rows of ``docs``, with their own columns, whatever their names, whose score is ``threshold`` or more.
+
+    A null or empty text has the score of the bias alone; rows that repeat others stay or go with them; an empty table gives an empty result. The rows pass through the scoring task and are not shuffled or joined.
+    """
     table, bias = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
