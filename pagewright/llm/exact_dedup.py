@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import fold_ascii
+from .columns import fold_ascii, quoted
 from .scratch import Scratch, small
 
 #: State on disk; without space set aside beforehand, which is several MB for each partition of the state.
@@ -91,19 +91,20 @@ def _state(scratch: Scratch, arrivals: DataFrame, files_per_trigger: int) -> Dat
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns; of rows that repeat an id and its text, one.
+    """The rows of ``docs`` that stay, with their own columns, whatever their names; of rows that repeat an id and its text, one.
 
-    Only what goes is joined with the texts: it is the smaller part, and broadcast if it is small.
+    A null text counts as empty, and a null id as one that is smaller than any other. An empty table gives an empty result. Only what goes is joined with the texts: it is the smaller part, and broadcast if it is small.
     """
     scratch = Scratch(docs.sparkSession, "exact-dedup-rows")
     groups = scratch.save(exact_groups(docs, id_col=id_col, text_col=text_col, **options), "groups")
-    key = [F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha")]
+    key = [F.col("doc_id").alias("gone"), F.col("text_sha256").alias("gone_sha")]
     gone = scratch.save(groups.where("not kept").select(*key).distinct(), "gone")
-    marked = docs.withColumn("_sha", sha256_hex(fold_ascii(F.coalesce(F.col(text_col), F.lit("")))))
-    same = F.col(id_col).eqNullSafe(F.col("_gone")) & (F.col("_sha") == F.col("_gone_sha"))
+    row = F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row")
+    marked = docs.select(row, F.col(quoted(id_col)).alias("id"), sha256_hex(fold_ascii(F.coalesce(F.col(quoted(text_col)), F.lit("")))).alias("sha"))
+    same = F.col("id").eqNullSafe(F.col("gone")) & (F.col("sha") == F.col("gone_sha"))
     stay = marked.join(small(gone, 200_000), same, "left_anti")
     again = scratch.save(groups.where("kept").groupBy(*key).count().where("count > 1"), "again")
     if not again.isEmpty():
-        once = stay.join(again, same, "left_semi").dropDuplicates([id_col, "_sha"])
+        once = stay.join(again, same, "left_semi").dropDuplicates(["id", "sha"])
         stay = stay.join(again, same, "left_anti").unionByName(once)
-    return stay.drop("_sha")
+    return stay.select("row.*")

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import quoted
+
 OTHER = "*"
 ADDED = ["rate", "n_copies", "copy"]
 #: A larger rate is drawn as a sum of so many draws of at most this mean each: exp(-rate) stays far from underflow.
@@ -25,15 +27,15 @@ STEPS = 96
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float], *, seed: int = 1, epochs: float = 1.0, other: float = 1.0,
-                id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", partitions: int | None = None) -> DataFrame:
-    """The columns of ``docs`` and ``rate``, ``n_copies``, ``copy`` (from 0): a row for each copy.
+                id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", partitions: int | None = None, added: bool = True) -> DataFrame:
+    """The columns of ``docs`` and, if ``added``, ``rate``, ``n_copies``, ``copy`` (from 0): a row for each copy.
 
     ``weights`` are shares of the output's characters (each text counts its characters plus 1), for the named
     sources; all other sources and null share the weight ``other``. Weights of
     groups without rows fall to the rest. The output has about ``epochs`` times the input's
     characters. A null text counts as empty; null ids draw by their text. Rows that repeat an id
     and text draw the same count. An empty table gives an empty result. A weight of 0 leaves a source out.
-    Columns of ``docs`` that have the name of an added one are replaced.
+    With ``added``, columns of ``docs`` that have the name of an added one are replaced; without, all come out as they are.
     """
     if OTHER in weights:
         raise ValueError(f"{OTHER!r} stands for all other sources")
@@ -51,12 +53,12 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], *, seed: int = 1, ep
         f"aggregate(sequence(1, {STEPS}), named_struct('p', exp(-_mean), 'sum', exp(-_mean), 'all', array(exp(-_mean))), "
         "(s, k) -> named_struct('p', s.p * _mean / k, 'sum', s.sum + s.p * _mean / k, 'all', array_append(s.all, s.sum + s.p * _mean / k)), s -> s.all)"))
     key = F.md5(F.concat_ws("/", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    own = [c for c in docs.columns if c not in ADDED]
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("_row"), key.alias("_key"), group.alias("_group"))
+    own = [c for c in docs.columns if not added or c not in ADDED]
+    rows = docs.select(F.struct(*(F.col(quoted(c)) for c in own)).alias("_row"), key.alias("_key"), group.alias("_group"))
     drawn = rows.join(F.broadcast(bounds), "_group").withColumn("n_copies", F.expr(
         "aggregate(sequence(1, _parts), 0, (n, j) -> n + aggregate(_bounds, 0, (m, b) -> m + if("
         "cast(conv(substring(md5(concat(_key, '/', j)), 1, 12), 16, 10) as double) / 281474976710656 >= b, 1, 0)))"))
     copies = drawn.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1))).select("_row", "_key", *ADDED)
     place = F.xxhash64("_key", "copy")
     dealt = copies.repartition(partitions, place) if partitions else copies.repartition(place)
-    return dealt.sortWithinPartitions(place).select("_row.*", *ADDED)
+    return dealt.sortWithinPartitions(place).select("_row.*", *(ADDED if added else []))
