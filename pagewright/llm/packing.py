@@ -7,11 +7,10 @@ cost of cutting the stream at j,
 
     f(j) = penalty(j) + length - j + min { f(i) + i : j - length <= i < j }
 
-so a monotone queue over f(i) + i gives each f(j) in constant time. Cuts are tried at ends of documents
-and of sentences and at every ``grid``-th id of a document. A partition is packed in blocks: the last,
+so a monotone queue over f(i) + i gives each f(j) in constant time. Cuts are made at ends of documents
+and of sentences; only within a run of more than ``length`` ids without any, where none is in reach, at every ``grid``-th id of the run, at a price of its own. A partition is packed in blocks: the last,
 unfinished window of a block is carried into the next, so memory is bounded by a block and one
-document. The tail of a partition is cut into lengths that are powers of two, which need no
-padding. No row moves between tasks.
+document. The last window of a partition is what is left, padded as any other. No row moves between tasks.
 """
 
 from __future__ import annotations
@@ -28,11 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import portions
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 END = 1
 SPECIAL = "<|endoftext|>"
 #: Where splitting at a space could part what the tokenizer takes together.
 UNEVEN = r"[\s\p{Z}\x0b\x1c-\x1f\x85]{2}|^[\s\p{Z}\x0b\x1c-\x1f\x85]|[\s\p{Z}\x0b\x1c-\x1f\x85]$"
+STOPS = tuple(x.encode() for x in ".!?…。！？।")
 CACHED = 600_000
 #: Texts that are tokenised together.
 TEXTS = 1024
@@ -57,7 +59,7 @@ class Tokens(dict):
         self.sizes = np.zeros(len(self.ends), np.int64)
         for piece, rank in ranks.items():
             self.sizes[rank] = len(piece)
-            self.ends[rank] = piece.rstrip()[-1:] in (b".", b"!", b"?") or b"\n" in piece
+            self.ends[rank] = piece.rstrip().endswith(STOPS) or b"\n" in piece
 
     def learn(self, words: list[str]) -> None:
         """Encodes words it does not have all at once, and parts the ids where the words' bytes end."""
@@ -161,16 +163,16 @@ class Packer:
         if not len(stream):
             return
         final = np.cumsum(self.sizes) - self.skip
-        price = np.full(len(stream), np.inf)
-        price[self.grid - 1::self.grid] = self.inside
-        price[self.flags[stream]] = self.sentence
+        price = np.where(self.flags[stream], self.sentence, np.inf)
         price[final - 1] = 0
+        ends = np.flatnonzero(price < np.inf)
+        starts = np.concatenate([[-1], ends[:-1]])
+        for run in np.flatnonzero(ends - starts > self.length):
+            price[starts[run] + self.grid:ends[run]:self.grid] = self.inside
         where = np.flatnonzero(price < np.inf)
         edges = [0, *(where[cut(where + 1, price[where], self.length)] + 1).tolist()]
-        left = edges.pop() - edges[-1]
-        while last and left:  # the tail, as powers of two
-            edges.append(edges[-1] + (1 << (left.bit_length() - 1)))
-            left -= edges[-1] - edges[-2]
+        if not last:
+            edges.pop()
         self._emit(stream, final, edges)
         used = edges[-1]
         done = int(np.searchsorted(final, used, side="right"))
@@ -204,16 +206,15 @@ def pack(docs: DataFrame, vocabulary: str, *, length: int = 2048, grid: int = 32
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are those of its text (a null text counts as empty) and then id 1. ``sentence`` and ``inside``
-    are penalties, in ids of padding, for a cut at a sentence's end and at other places. A null id is kept as null;
+    are penalties, in ids of padding, for a cut at a sentence's end and, in a run of more than ``length`` ids without one, at every ``grid``-th. A null id is kept as null;
     rows that repeat an id are documents of their own, each with all its pieces. An empty table gives an empty
-    result; a very long text is held whole, once. Other columns are ignored. ``length`` is a power of two.
+    result; a very long text is held whole, once. Other columns are ignored, whatever their names. ``length`` is a power of two.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(vocabulary)
         packer = Packer(TaskContext.get().partitionId(), length, grid, sentence, inside, tokens.ends)
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(at, TEXTS)
+            for part in portions(batch, rows=TEXTS):
                 packer.add(part.column(0).to_pylist(), *tokens.stream(part.column(1)))
                 if len(packer.held) >= block:
                     packer.pack(last=False)
