@@ -2,75 +2,118 @@
 
 Every row arrives as (digest, stable id, content locator). A streaming aggregation keeps one
 state entry per digest in RocksDB: the largest id seen, where its content lies, and how many
-rows came. No watermark is set, so entries never expire, and the state is checkpointed in the
-shared folder: a lost executor's partition is rebuilt from there. The aggregation combines on the
+rows came. No watermark is set, so entries never expire, and the state is checkpointed in a folder that all executors share:
+a lost executor's partition is rebuilt from there. With a folder of the caller's own the state outlives the call, and a later batch meets it. The aggregation combines on the
 map side, so a group of copies that holds a third of all rows is a few rows in the exchange.
 
-A digest that was hit more than once is then checked against the full bytes: per digest, the
-smallest and the largest normalised text are equal exactly if all are. Where they differ, the
+A digest that was hit is then checked against the full bytes: those of the batch's rows, and those that the entry's locator points at
+if they came earlier. Per digest, the smallest and the largest normalised text are equal exactly if all are. Where they differ, the
 digest collided and its rows are regrouped by the whole text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import fold_ascii, quoted
-from .scratch import Scratch, small
+from .scratch import Scratch, folders, small
 
 #: State on disk; without space set aside beforehand, which is several MB for each partition of the state.
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
          "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
+#: Files that earlier content is read from without being told, at most.
+MOST_FILES = 10_000
+
 
 def sha256_hex(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", files_per_trigger: int = 64,
+def exact_groups(docs: DataFrame, *, state_dir: str | None = None, earlier: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", files_per_trigger: int = 64,
                  digest: Callable[[Column], Column] = sha256_hex) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; a null text counts as empty. Of equal
     texts the row with the largest id stays. Rows that repeat an id: each gets a row; all
     that carry the largest id of the group are ``kept``. Null ids are smaller than any other. An empty table gives an
-    empty result. Other columns of ``docs`` are ignored, whatever their names.
+    empty result; a very long text is read whole. Other columns of ``docs`` are ignored, whatever their names.
+
+    ``state_dir``: a shared folder that keeps the state; each call with it is a batch that comes after all earlier ones, and keep_id and
+    group_size count their rows, too (those that were given out before stay as they were). ``earlier``: a table of the earlier batches' rows, with ids and texts, where their content is
+    looked up; else it is read from the Parquet files that they came from, with the same column names. If digests collide, rows of one batch are told apart by their texts, and a batch's rows from the
+    entry that they hit.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dedup")
-    normal = fold_ascii(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), normal.alias("normal"), F.input_file_name().alias("file"))
-    arrivals = scratch.save(
-        rows.select("doc_id", digest(F.col("normal")).alias("digest"), sha256_hex(F.col("normal")).alias("text_sha256"),
-                    F.struct("file", "doc_id").alias("locator")), "arrivals")
-    state = scratch.save(_state(scratch, arrivals, files_per_trigger), "state")  # written, so that the join may split a digest that very many rows have
+    place = state_dir.rstrip("/") if state_dir else scratch.path("kept")
+    rows = _contents(docs, id_col, text_col)
+    number = len(folders(spark, f"{place}/arrivals"))
+    batch = f"{place}/arrivals/batch={number}"
+    rows.select("doc_id", digest(F.col("normal")).alias("digest"), sha256_hex(F.col("normal")).alias("text_sha256"),
+                F.struct("file", "doc_id").alias("locator")).write.parquet(batch)
+    arrivals = spark.read.parquet(batch)
+    shape = _aggregated(arrivals).schema
+    met = scratch.save(_entries(spark, place, shape).join(arrivals.select("digest").distinct(), "digest", "left_semi"), "met") if number else None
+    _arrive(spark, place, arrivals.schema, files_per_trigger)
+    state = scratch.save(_entries(spark, place, shape), "state")  # written, so that the join may split a digest that very many rows have
     grouped = arrivals.join(state, "digest")
     hits = scratch.save(grouped.where("group_size > 1").select(F.col("doc_id").alias("hit_id")).distinct(), "hits")
     texts = (rows.join(small(hits), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi")
-             .select("normal", digest(F.col("normal")).alias("digest")))
+             .select("doc_id", "normal", digest(F.col("normal")).alias("digest"), F.lit(False).alias("old")))
+    if met is not None:
+        texts = texts.unionByName(_located(scratch, met, earlier, id_col, text_col).select("doc_id", "normal", digest(F.col("normal")).alias("digest"), F.lit(True).alias("old")))
     clashes = scratch.save(
         texts.groupBy("digest").agg(F.min("normal").alias("least"), F.max("normal").alias("most"))
         .where("least <> most").select("digest"), "clashes")
     result = ["doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256"]
     if clashes.isEmpty():
         return grouped.select(*result)
-    whole = rows.select("doc_id", "normal", digest(F.col("normal")).alias("digest")).join(clashes, "digest", "left_semi")
+    whole = rows.select("doc_id", "normal", digest(F.col("normal")).alias("digest"), F.lit(False).alias("old")).unionByName(texts.where("old")).join(clashes, "digest", "left_semi")
     sizes = whole.groupBy("normal").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    split = whole.join(sizes, "normal").withColumn("text_sha256", sha256_hex(F.col("normal")))
+    split = whole.where("not old").join(sizes, "normal").withColumn("text_sha256", sha256_hex(F.col("normal")))
     return grouped.join(clashes, "digest", "left_anti").select(*result).unionByName(split.select(*result))
 
 
-def _state(scratch: Scratch, arrivals: DataFrame, files_per_trigger: int) -> DataFrame:
-    """The stream's final state: digest, keep_id, keep_locator, group_size."""
-    spark = scratch.spark
-    stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(scratch.path("arrivals"))
-    entries = stream.groupBy("digest").agg(
+def _contents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), fold_ascii(F.coalesce(F.col(text_col), F.lit(""))).alias("normal"), F.input_file_name().alias("file"))
+
+
+def _located(scratch: Scratch, entries: DataFrame, earlier: DataFrame | None, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, normal of the rows that the entries' locators point at."""
+    if earlier is None:
+        files = [r["file"] for r in entries.select("keep_locator.file").distinct().limit(MOST_FILES + 1).collect()]
+        if len(files) > MOST_FILES or not all(files):
+            raise ValueError("give the earlier batches' rows: they came from too many files, or from none")
+        if not files:
+            return entries.select("keep_locator.doc_id", F.lit("").alias("normal"))
+        earlier = scratch.spark.read.parquet(*map(unquote, files))
+    ids = scratch.save(entries.select(F.col("keep_locator.doc_id").alias("hit_id")).distinct(), "located")
+    return _contents(earlier, id_col, text_col).join(small(ids), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi").select("doc_id", "normal")
+
+
+def _entries(spark: SparkSession, place: str, schema: T.StructType) -> DataFrame:
+    """The state as it is: digest, keep_id, keep_locator, group_size."""
+    updates = f"{place}/updates"
+    schema = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
+    seen = spark.read.schema(schema).parquet(updates) if folders(spark, updates) else spark.createDataFrame([], schema)
+    return seen.groupBy("digest").agg(*(F.max_by(c, "batch").alias(c) for c in schema.names if c not in ("digest", "batch")))
+
+
+def _aggregated(arrivals: DataFrame) -> DataFrame:
+    return arrivals.groupBy("digest").agg(
         F.max("doc_id").alias("keep_id"), F.max_by("locator", "doc_id").alias("keep_locator"), F.count(F.lit(1)).alias("group_size"))
-    updates = scratch.path("updates")
+
+
+def _arrive(spark: SparkSession, place: str, schema: T.StructType, files_per_trigger: int) -> None:
+    """Lets the arrivals that the state has not seen meet it."""
+    entries = _aggregated(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{place}/arrivals"))
+    updates = f"{place}/updates"
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{updates}/batch={number}")
@@ -80,14 +123,11 @@ def _state(scratch: Scratch, arrivals: DataFrame, files_per_trigger: int) -> Dat
         spark.conf.set(name, value)
     try:
         query = (entries.writeStream.outputMode("update").foreachBatch(keep).trigger(availableNow=True)
-                 .option("checkpointLocation", scratch.path("stream")).start())
+                 .option("checkpointLocation", f"{place}/stream").start())
     finally:
         for name, value in before.items():
             spark.conf.set(name, value) if value else spark.conf.unset(name)
     query.awaitTermination()
-    schema = T.StructType([*entries.schema.fields, T.StructField("batch", T.IntegerType())])
-    seen = spark.createDataFrame([], schema) if not query.recentProgress else spark.read.schema(schema).parquet(updates)
-    return seen.groupBy("digest").agg(*(F.max_by(c, "batch").alias(c) for c in ("keep_id", "keep_locator", "group_size")))
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

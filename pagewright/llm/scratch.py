@@ -64,3 +64,11 @@ def small(table: DataFrame, rows: int = 500_000) -> DataFrame:
     The count is of a written table of narrow rows, so it costs a read of file footers.
     """
     return F.broadcast(table) if table.count() <= rows else table
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it is not there."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(context._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in store.listStatus(place) if x.isDirectory()) if store.exists(place) else []

@@ -30,6 +30,26 @@ def test_exact_survives_digests_that_collide(docs, documents):
     same(got, brute.exact_groups(documents))
 
 
+@pytest.mark.parametrize("told", [True, False])
+def test_a_second_batch_meets_the_state_of_the_first(spark, documents, tmp_path, told):
+    parts = [documents[::2], documents[1::2]]
+    weak = lambda text: F.sha2(F.substring(text, 1, 1), 256)
+    for digest in (exact_dedup.sha256_hex, weak):
+        folder, got = str(tmp_path / digest.__name__[:3]), []
+        for i, part in enumerate(parts):
+            spark.createDataFrame(part, "doc_id long, text string").write.mode("overwrite").parquet(f"{folder}/rows-{i}")
+            earlier = spark.read.parquet(f"{folder}/rows-0") if told and i else None
+            got.append(exact_dedup.exact_groups(spark.read.parquet(f"{folder}/rows-{i}"), state_dir=f"file://{folder}/state", earlier=earlier, digest=digest))
+        same(got[0], brute.exact_groups(parts[0]))
+        if digest is weak:  # what collides is told apart, so no text goes for another's sake
+            texts = {brute.sha(brute.folded(t)) for i, t in parts[1]}
+            assert {r["text_sha256"] for r in got[1].collect()} == texts
+        else:
+            whole = {(i, brute.folded(t)): row for (i, t), row in zip(documents, brute.exact_groups(documents), strict=True)}
+            same(got[1], [whole[i, brute.folded(t)] for i, t in parts[1]])
+    assert exact_dedup.exact_groups(spark.createDataFrame([], "doc_id long, text string"), state_dir=f"file://{folder}/state").isEmpty()
+
+
 def test_exact_rows(docs, documents):
     kept = exact_dedup.exact_dedup(docs)
     assert kept.columns == docs.columns
