@@ -5,11 +5,12 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import checks
 from .plans import documents
+from .scratch import Scratch, is_there
 from .sources import chunks, docx
 
 
@@ -23,21 +24,43 @@ def main(args: list[str]) -> int:
             command.add_argument(place)
     given = parser.parse_args(args)
     spark = SparkSession.builder.appName("pagewright").getOrCreate()
-    if given.command == "extract":
-        lines, registries = documents.extract(docx.runs(docx.read_packages(spark, given.file), compat=given.compat), compat=given.compat)
-        files = chunks.chunk_files(lines, "doc_hash")
-        chunks.write_files(files.unionByName(registries.select("doc_hash", F.lit("format_registry.json").alias("file_name"), F.col("registry").alias("content"))), given.out, "doc_hash")
-        return 0
-    if given.command == "verify":
-        faults = checks.verify(chunks.read_lines(spark, given.chunks), chunks.read_lines(spark, given.origin))
-        for x in faults.orderBy("file_name", "line_no", "rule").toLocalIterator():
-            print(x["severity"], x["file_name"], x["line_no"], x["rule"], x["detail"])
-        return 0 if checks.report(faults).first()["passed"] else 1
+    return {"extract": extract, "verify": verify, "rebuild": rebuild}[given.command](spark, given)
+
+
+def extract(spark: SparkSession, given: argparse.Namespace) -> int:
+    """Chunks and registry in a folder named by the document's hash; the chunks once more under ``origin_chunks``, to be edited against."""
+    lines, registries = documents.extract(documents.shred(docx.read_packages(spark, given.file), compat=given.compat), compat=given.compat)
+    seen = Observation()
+    lines = lines.observe(seen, F.count(F.lit(1)).alias("paragraphs"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters"))
+    written = Scratch(spark, "chunks").save(chunks.chunk_files(lines, "doc_hash"), "files")
+    print(f"{seen.get['paragraphs']} paragraphs, {seen.get['characters']} characters")
+    n, size = chunks.write_files(written.unionByName(registries.select("doc_hash", F.lit("format_registry.json").alias("file_name"), F.col("registry").alias("content"))), given.out, "doc_hash")
+    chunks.write_files(written.withColumn("folder", F.concat("doc_hash", F.lit("/origin_chunks"))), given.out, "folder")
+    print(f"{n} files, {size} bytes")
+    return 0
+
+
+def verify(spark: SparkSession, given: argparse.Namespace) -> int:
+    folders = spark.createDataFrame([(x, is_there(spark, x)) for x in (given.chunks, given.origin)], "folder string, there boolean")
+    faults = checks.missing_folders(folders)
+    if faults.isEmpty():
+        unread = [chunks.unread(chunks.read_files(spark, x)) for x in (given.chunks, given.origin)]
+        faults = checks.verify(chunks.read_lines(spark, given.chunks), chunks.read_lines(spark, given.origin), unread=unread[0].unionByName(unread[1]))
+    for x in faults.orderBy("file_name", "line_no", "rule").toLocalIterator():
+        print(x["severity"], x["file_name"], x["line_no"], x["rule"], x["detail"])
+    return 0 if checks.report(faults).first()["passed"] else 1
+
+
+def rebuild(spark: SparkSession, given: argparse.Namespace) -> int:
     packages = docx.read_packages(spark, given.file)
-    doc_hash = packages.select("doc_hash").first()["doc_hash"]  # one file: one document
-    texts = chunks.paragraph_map(chunks.read_lines(spark, given.chunks)).withColumn("doc_hash", F.lit(doc_hash))
-    registries = spark.read.text(given.registry, wholetext=True).select(F.from_json("value", "doc_hash string")["doc_hash"].alias("doc_hash"), F.col("value").alias("registry"))
-    out = documents.rebuild(packages, texts, registries)
+    own = F.lit(packages.select("doc_hash").first()["doc_hash"])  # one file: one document, whatever hash its registry has, if any
+    texts = chunks.paragraph_map(chunks.read_lines(spark, given.chunks)).withColumn("doc_hash", own)
+    if is_there(spark, given.registry):
+        registries = spark.read.text(given.registry, wholetext=True).select(own.alias("doc_hash"), F.col("value").alias("registry"))
+    else:
+        print(f"warning: no registry {given.registry}")
+        registries = spark.createDataFrame([], "doc_hash string, registry string")
+    out = documents.rebuild(packages, texts, registries, compat=given.compat)
     chunks.write_files(out.select(F.lit("restored.docx").alias("file_name"), "content"), given.out)
     return 0
 

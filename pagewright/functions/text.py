@@ -17,10 +17,12 @@ MATH = {
     "°": r"^\circ", "′": "'", "″": r"\prime\prime",
 }
 SPACED = ("times", "div", "cdot")
+# The forms of formulas, of characters that XML must not hold, of tags' names, and of tags of categories.
 DELIMITED = r"\$\$[^$].*?\$\$|\$[^$]+\$"
 ILLEGAL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 TAG_NAME = r"[fisbzchuv,=\w]"
 CATEGORY_TAG = r"‹(F\d+):[^›]*›([^‹]*)‹/›"
+FORMULA_ONLY = r"(\$\$[^$].*?\$\$|\$[^$]+\$)(\s*\([^)]*\))?$"
 
 
 def _commands(text: Column, apart: bool) -> Column:
@@ -37,8 +39,8 @@ def math_to_latex(text: Column, *, compat: bool = False) -> Column:
     """Mathematical characters as LaTeX: within ``$`` only; with ``compat``, everywhere."""
     if compat:
         return _commands(text, False)
-    parts = split_formulas(text)
-    return F.array_join(F.transform(parts, lambda p: F.when(p["is_formula"], _commands(p["text"], True)).otherwise(p["text"])), "")
+    parts = F.transform(split_formulas(text), lambda p: F.when(p["is_formula"], _commands(p["text"], True)).otherwise(p["text"]))
+    return F.when(F.contains(text, F.lit("$")), F.array_join(parts, "")).otherwise(text)
 
 
 def split_formulas(text: Column) -> Column:
@@ -46,16 +48,17 @@ def split_formulas(text: Column) -> Column:
     pattern = F.lit(f"(?s){DELIMITED}")
     formulas = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.split(text, f"(?s){DELIMITED}", -1)
-    woven = F.flatten(F.transform(gaps, lambda gap, i: F.array(
+    # each list is made once: within a function over the other it would be made again for every part
+    woven = F.flatten(F.zip_with(gaps, formulas, lambda gap, formula: F.array(
         F.struct(gap.alias("text"), F.lit(False).alias("is_formula")),
-        F.struct(F.coalesce(F.get(formulas, i), F.lit("")).alias("text"), F.lit(True).alias("is_formula")))))
+        F.struct(F.coalesce(formula, F.lit("")).alias("text"), F.lit(True).alias("is_formula")))))
     return F.filter(woven, lambda p: p["text"] != "")
 
 
 def formula_only(text: Column) -> Column:
     """(is_formula, formula, tag) of a text that is one formula and, maybe, a tag in parentheses."""
     bare = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    whole = r"(?d)^(\$\$[^$].*?\$\$|\$[^$]+\$)((?U:\s*)\([^)]*\))?$"
+    whole = "(?d)^" + FORMULA_ONLY.replace(r"\s*", r"(?U:\s*)")
     formula = F.regexp_extract(bare, whole, 1)
     tag = F.nullif(F.regexp_replace(F.regexp_extract(bare, whole, 2), r"(?U)^\s+|\s+$", ""), F.lit(""))
     inner = F.when(F.startswith(formula, F.lit("$$")), F.substring(formula, F.lit(3), F.greatest(F.length(formula) - 4, F.lit(0)))).otherwise(
@@ -131,7 +134,8 @@ def segments(text: Column) -> Column:
     inner = F.regexp_extract_all(text, F.lit(CATEGORY_TAG), F.lit(2))
     gaps = F.split(text, CATEGORY_TAG, -1)
     part = lambda t, c: F.struct(t.alias("text"), c.alias("cat_id"))
-    woven = F.flatten(F.transform(gaps, lambda gap, i: F.array(part(gap, F.lit(None).cast("string")), part(F.coalesce(F.get(inner, i), F.lit("")), F.get(names, i)))))
+    tags = F.zip_with(names, inner, lambda name, held: part(held, name))
+    woven = F.flatten(F.zip_with(gaps, tags, lambda gap, tag: F.array(part(gap, F.lit(None).cast("string")), part(F.coalesce(tag["text"], F.lit("")), tag["cat_id"]))))
     return F.filter(woven, lambda p: p["text"] != "")
 
 

@@ -14,7 +14,7 @@ from collections.abc import Iterator, Mapping
 from typing import NamedTuple
 
 from .omml import W, local, to_latex, to_omml
-from .text import CATEGORY_TAG, DELIMITED, ILLEGAL
+from .text import CATEGORY_TAG, DELIMITED, FORMULA_ONLY, ILLEGAL
 
 W14 = "{http://schemas.microsoft.com/office/word/2010/wordml}"
 SPACE = "{http://www.w3.org/XML/1998/namespace}space"
@@ -38,6 +38,12 @@ def unzip(content: bytes) -> list[tuple[str, bytes]]:
         return [(x.filename, package.read(x)) for x in package.infolist() if not x.is_dir()]
 
 
+def part(content: bytes, name: str) -> bytes | None:
+    """One part of a package; the others are not unpacked."""
+    with zipfile.ZipFile(io.BytesIO(content)) as package:
+        return package.read(name) if name in package.namelist() else None
+
+
 def zip_parts(parts: list[tuple[str, bytes]]) -> bytes:
     """The parts as a package, in their order, with fixed times: equal parts give equal bytes."""
     out = io.BytesIO()
@@ -114,10 +120,16 @@ def read_runs(xml: bytes, *, compat: bool = False) -> list[Run]:
 
 
 _SPLIT, _TAG, _ILLEGAL = re.compile(f"({DELIMITED})", re.S), re.compile(CATEGORY_TAG), re.compile(ILLEGAL)
-_ONLY = re.compile(r"(\$\$[^$].*?\$\$|\$[^$]+\$)(\s*\([^)]*\))?$")
+_ONLY = re.compile(FORMULA_ONLY)
 _NUMBER = re.compile(r"\\tag\{([^}]+)\}")
 
 
+def outline(xml: bytes) -> Iterator[tuple[int, str]]:
+    """Each paragraph's place, and the names of what is in it; of runs, what they hold."""
+    for at, _, para in paragraphs(ET.fromstring(xml), False):
+        yield at, " ".join(local(x.tag) + (f"({','.join(local(y.tag) for y in x)})" if local(x.tag) == "r" else "") for x in para)
+
+
 def segments(text: str) -> Iterator[tuple[str, str | None]]:
     at = 0
     for m in _TAG.finditer(text):
@@ -198,9 +210,7 @@ def rebuild_paragraph(para: ET.Element, text: str, formats: Mapping[str | None,
                 last.append(child)
         elif name in FORMULAS or child.tag == W + "r" and (child.find(W + "t") is not None or any(local(x.tag) in FORMULAS for x in child) or alone and child.find(W + "tab") is not None):
             place = len(kept) if place is None else place
-            if picture:
-                for x in [x for x in child if local(x.tag) == "t" or local(x.tag) in FORMULAS]:
-                    child.remove(x)
+            if picture and _without_text(child):
                 kept.append(child)
         else:
             kept.append(child)
@@ -208,6 +218,14 @@ def rebuild_paragraph(para: ET.Element, text: str, formats: Mapping[str | None,
     para[:] = first + kept[:place] + new + kept[place:] + last
 
 
+def _without_text(run: ET.Element) -> bool:
+    """Takes out of a run what was read as text, formulas of objects, too; whether a picture is left."""
+    for x in [*run.findall(W + "object"), run]:
+        for y in [y for y in x if local(y.tag) in FORMULAS or local(y.tag) == "t" and x is run or y.tag == W + "object" and not len(y)]:
+            x.remove(y)
+    return any(x.tag in PICTURES for x in run)
+
+
 def rebuild_document(xml: bytes, texts: Mapping[str, str], formats: Mapping[str, Mapping[str | None, str | None]], overall: Mapping[str | None, str | None], *, compat: bool = False) -> bytes:
     """The document with edited texts, by upper-cased paragraph id; ``overall`` has the formats of paragraphs without any of their own."""
     spaces = [x for _, x in ET.iterparse(io.BytesIO(xml), events=["start-ns"])]

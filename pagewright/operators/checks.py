@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strict_para_id, tag_faults, tag_types
@@ -59,14 +59,46 @@ def name_faults(names: DataFrame) -> DataFrame:
     return single.unionByName(numbers).unionByName(nothing)
 
 
-def verify(chunks: DataFrame, origin: DataFrame) -> DataFrame:
-    """All faults of two tables of lines (file_name, line_no, line). Lines are compared for files on both sides only."""
-    names = compare_names(chunks, origin, "file_name")
-    common = names.where("in_left and in_right").select("file_name")
-    pairs = pair_lines(chunks, origin).join(common, "file_name", "left_semi")
-    return name_faults(names).unionByName(line_faults(pairs)).unionByName(count_faults(pairs))
+def verify(chunks: DataFrame, origin: DataFrame, *, unread: DataFrame | None = None) -> DataFrame:
+    """All faults of two tables of lines (file_name, line_no, line). Lines are compared for files on both sides only.
+
+    Both sides are one table, dealt by file once: names, counts and pairs of lines all come from it. ``unread``: files (file_name, detail) that could not be
+    read; a file that is there without lines is a row with a null line_no.
+    """
+    sides = [d.select("file_name", "line_no", "line", F.lit(i).alias("side")) for i, d in enumerate((chunks, origin))]
+    both = sides[0].unionByName(sides[1]).where("file_name is not null").repartition("file_name")
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c))).alias(("chunk_line", "origin_line")[side])
+    lines = both.groupBy("file_name", "line_no").agg(*(of(i, "line") for i in (0, 1)), *(F.max(F.col("side") == i).alias(f"on_{i}") for i in (0, 1)))
+    files = Window.partitionBy("file_name")
+    seen = lines.select("*", F.max("on_0").over(files).alias("in_left"), F.max("on_1").over(files).alias("in_right"))
+    pairs = seen.where("in_left and in_right and line_no is not null").select("file_name", "line_no", "chunk_line", "origin_line")
+    names = lines.groupBy("file_name").agg(F.max("on_0").alias("in_left"), F.max("on_1").alias("in_right"))
+    faults = name_faults(names).unionByName(line_faults(pairs)).unionByName(count_faults(pairs))
+    return faults if unread is None else faults.unionByName(read_faults(unread))
+
+
+def read_faults(unread: DataFrame) -> DataFrame:
+    """A fault for each file (file_name, detail) that could not be read."""
+    return unread.select("file_name", F.lit(None).cast("int").alias("line_no"), F.lit("error").alias("severity"), F.lit("READ_FAILED").alias("rule"), "detail")
+
+
+def missing_folders(folders: DataFrame) -> DataFrame:
+    """A fault for each folder (folder, there) that is not there."""
+    return folders.where("not there").select(F.lit(None).cast("string").alias("file_name"), F.lit(None).cast("int").alias("line_no"), F.lit("error").alias("severity"), F.lit("DIR_MISSING").alias("rule"), F.col("folder").alias("detail"))
 
 
 def report(faults: DataFrame) -> DataFrame:
     """One row: n_errors, n_warnings, passed."""
     return faults.agg(F.count_if(F.col("severity") == "error").alias("n_errors"), F.count_if(F.col("severity") == "warning").alias("n_warnings")).withColumn("passed", F.col("n_errors") == 0)
+
+
+#: Attempts at a file, after which its faults are for a human to see to.
+ATTEMPTS = 3
+
+
+def attempts(faults: DataFrame, earlier: DataFrame) -> DataFrame:
+    """file_name, attempt, for_a_human of each file with an error; ``earlier``: file_name, attempt of those tried before."""
+    wrong = faults.where("severity = 'error' and file_name is not null").select("file_name").distinct()
+    before = earlier.groupBy("file_name").agg(F.max("attempt").alias("before"))
+    attempt = F.coalesce("before", F.lit(0)) + 1
+    return wrong.join(before, "file_name", "left").select("file_name", attempt.alias("attempt"), (attempt >= ATTEMPTS).alias("for_a_human"))

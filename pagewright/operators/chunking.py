@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MOST = 1000
 
@@ -13,26 +15,47 @@ MOST = 1000
 def pack_chunks(items: DataFrame, doc: Sequence[str], order: str, length: str, *, most: int = MOST) -> DataFrame:
     """The rows of ``items`` with ``chunk_idx`` (from 0, by document) and ``line_no`` (from 0, by chunk).
 
-    Whether an item fits depends on what the open chunk already holds, so no window function can tell; a fold over a document's lengths
-    does. It carries lengths only; the rows join by unpacking the array that was folded.
+    Whether an item fits depends on what the open chunk already holds, so no window function can tell. Documents are dealt over partitions and
+    sorted there; one pass places their items in order. It holds a batch of rows and three numbers, however long a document is.
     """
-    others = [c for c in items.columns if c not in doc]
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), F.col(length).cast("long").alias("_length"), F.struct(*others).alias("_row"))))
-    state = F.struct(F.lit(0).alias("idx"), F.lit(0).cast("long").alias("held"), F.lit(False).alias("open"), F.lit(0).alias("line"), F.array().cast("array<struct<chunk_idx:int,line_no:int>>").alias("out"))
-
-    def step(s, item):
-        n = item["_length"]
-        alone = n > most
-        full = s["open"] & (s["held"] + n > most)
-        at = F.when((alone & s["open"]) | full, s["idx"] + 1).otherwise(s["idx"])
-        line = F.when(alone | full | ~s["open"], F.lit(0)).otherwise(s["line"])
-        return F.struct(
-            F.when(alone, at + 1).otherwise(at).alias("idx"), F.when(alone, F.lit(0).cast("long")).when(full, n).otherwise(s["held"] + n).alias("held"),
-            (~alone).alias("open"), F.when(alone, F.lit(0)).otherwise(line + 1).alias("line"),
-            F.array_append(s["out"], F.struct(at.alias("chunk_idx"), line.alias("line_no"))).alias("out"))
-
-    folded = items.groupBy(*doc).agg(rows.alias("_rows")).withColumn("_places", F.aggregate("_rows", state, step, lambda s: s["out"]))
-    return folded.select(*doc, F.inline(F.arrays_zip("_rows", "_places"))).select(*doc, "_rows._row.*", "_places.*")
+    added = [T.StructField("chunk_idx", T.IntegerType()), T.StructField("line_no", T.IntegerType())]
+    keys, at = [items.columns.index(c) for c in doc], items.columns.index(length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = Places(most)
+        key: tuple | None = None
+        for batch in batches:
+            found = []
+            for own, size in zip(zip(*(batch.column(i).to_pylist() for i in keys), strict=True), batch.column(at).to_pylist(), strict=True):
+                if own != key:
+                    places, key = Places(most), own
+                found.append(places.put(size))
+            numbers = [pa.array([x[i] for x in found], pa.int32()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *numbers], names=[*batch.schema.names, "chunk_idx", "line_no"])
+
+    # dealt and sorted by what tells documents apart, so that the pass meets each as a whole
+    return items.repartition(*doc).sortWithinPartitions(*doc, order).mapInArrow(run, T.StructType([*items.schema.fields, *added]))
+
+
+class Places:
+    """The chunk and line of one document's items, one after another."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.chunk, self.line, self.held = most, 0, 0, None  # held: characters of the open chunk
+
+    def put(self, size: int) -> tuple[int, int]:
+        if self.held is not None and self.held + size > self.most:  # so it is, too, if the item is too long for any
+            self._close()
+        place = self.chunk, self.line
+        if size > self.most:
+            self._close()
+        else:
+            self.held = (self.held or 0) + size
+            self.line += 1
+        return place
+
+    def _close(self) -> None:
+        self.chunk, self.line, self.held = self.chunk + 1, 0, None
 
 
 def chunk_sizes(chunks: DataFrame, doc: Sequence[str], length: str) -> DataFrame:

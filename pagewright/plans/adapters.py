@@ -21,7 +21,7 @@ def edited_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     base = lines(spark, sf_dir)
     name = F.concat(F.lit("chunk_"), F.col("doc_id").cast("string"), F.lit(".md"))
     at = F.col("doc_id") * 7 + F.col("line_ord")
-    tags = F.concat(F.lit("[") , F.col("para_id"), F.lit("] <b=1,i=2>"), F.substring("text", 1, 20), F.lit("</b=1,i=2>"))
+    tags = F.concat(F.lit("[") , F.col("para_id"), F.lit("] <b=1,i=2>"), F.col("text"), F.lit("</b=1,i=2>"))
     plain = F.concat(F.lit("["), F.col("para_id"), F.lit("] "), F.col("text"))
     original = base.select(name.alias("file_name"), F.col("line_ord").alias("line_no"), F.when(at % 5 == 0, tags).otherwise(plain).alias("line"), "doc_id")
     changed = (F.when(at % 11 == 3, F.col("text")).when(at % 13 == 4, F.concat(F.lit("[0000FFFF] "), F.col("text"))).when(at % 17 == 5, F.concat(F.lit("["), F.col("para_id"), F.lit("] <b>x</i> </u> <s>")))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import formats, omml, text
 from ..operators import checks, chunking, formatting, lookups
-from ..sources import docx
+from ..scratch import Scratch
+from ..sources import chunks, docx
 from . import documents, samples
 from .adapters import edited_lines, lines, table
 
@@ -91,7 +92,7 @@ def tagged_text(spark, sf_dir):
     return formatting.tag_text(runs, ["conv_id"], "turn")
 
 
-TAG_LINE = "concat('<b=1,i=', doc_id % 3, '>', substr(text, 1, 12), '</b=1,i=', doc_id % 3, '> <u>', '<s,f=', lang, '>x</s,f=', lang, '></i=9> <i=9>y</i=8>')"
+TAG_LINE = "concat('<b=1,i=', doc_id % 3, '>', text, '</b=1,i=', doc_id % 3, '> <u>', '<s,f=', lang, '>x</s,f=', lang, '></i=9> <i=9>y</i=8>')"
 
 
 _PAIR = "<[fisbzchuv,=A-Za-z0-9_]+>[^<]*</[fisbzchuv,=A-Za-z0-9_]+>"
@@ -120,7 +121,7 @@ def tag_stack(spark, sf_dir):
 
 
 EDITED = f"""{LINES}, spots AS (SELECT *, doc_id * 7 + line_ord AS spot, 'chunk_' || doc_id || '.md' AS file_name, '[' || para_id || '] ' || text AS plain,
-        '[' || para_id || '] <b=1,i=2>' || substr(text, 1, 20) || '</b=1,i=2>' AS tags FROM lines),
+        '[' || para_id || '] <b=1,i=2>' || text || '</b=1,i=2>' AS tags FROM lines),
     origin AS (SELECT file_name, line_ord AS line_no, CASE WHEN spot % 5 = 0 THEN tags ELSE plain END AS line FROM spots WHERE doc_id % 29 <> 11),
     chunks AS (SELECT file_name, line_ord AS line_no, CASE WHEN spot % 11 = 3 THEN text WHEN spot % 13 = 4 THEN '[0000FFFF] ' || text WHEN spot % 17 = 5 THEN '[' || para_id || '] <b>x</i> </u> <s>'
         WHEN spot % 10 = 0 THEN plain WHEN spot % 5 = 0 THEN tags ELSE plain END AS line FROM spots WHERE (spot % 19 <> 6 OR line_ord = 0) AND doc_id % 23 <> 7),
@@ -223,15 +224,21 @@ def category_keys(spark, sf_dir):
 _SYMBOLS = "concat(text, ' 20°C → 3 × 4 · ', 'αx ≤ β²', ' $α→βx × 2$ ', '∏÷ 7 ℝ″')"
 
 
-def _nested(expr: str) -> str:
-    for char, command in text.MATH.items():
-        expr = f"replace({expr}, '{char}', '{command.replace(chr(39), chr(39) * 2)}')"
-    for name in text.SPACED:
-        expr = f"regexp_replace({expr}, '\\\\{name}\\s+', '\\\\{name} ', 'g')"
-    return expr
+# What SQL holds the characters and their commands to be; written out here, not taken from the code that is tested.
+_SYMBOL_ROWS = r"""
+    ('∈', '\in'), ('∉', '\notin'), ('⊂', '\subset'), ('⊆', '\subseteq'), ('∪', '\cup'), ('∩', '\cap'), ('∅', '\emptyset'), ('∞', '\infty'), ('∑', '\sum'), 
+    ('∏', '\Pi'), ('∫', '\int'), ('∂', '\partial'), ('∇', '\nabla'), ('√', '\sqrt'), ('∆', '\Delta'), ('Σ', '\Sigma'), ('Ω', '\Omega'), ('α', '\alpha'), 
+    ('β', '\beta'), ('γ', '\gamma'), ('δ', '\delta'), ('ε', '\epsilon'), ('θ', '\theta'), ('λ', '\lambda'), ('μ', '\mu'), ('π', '\pi'), ('ρ', '\rho'), 
+    ('σ', '\sigma'), ('τ', '\tau'), ('φ', '\phi'), ('ω', '\omega'), ('→', '\rightarrow'), ('←', '\leftarrow'), ('↔', '\leftrightarrow'), 
+    ('⇒', '\Rightarrow'), ('⇐', '\Leftarrow'), ('⇔', '\Leftrightarrow'), ('≤', '\leq'), ('≥', '\geq'), ('≠', '\neq'), ('≈', '\approx'), ('≡', '\equiv'), 
+    ('±', '\pm'), ('∓', '\mp'), ('×', '\times '), ('÷', '\div '), ('·', '\cdot '), ('ℝ', '\mathbb{R}'), ('ℕ', '\mathbb{N}'), ('ℤ', '\mathbb{Z}'), 
+    ('ℂ', '\mathbb{C}'), ('°', '^\circ'), ('′', ''''), ('″', '\prime\prime')"""
 
 
-@query(f"SELECT doc_id, {_nested(_SYMBOLS)} AS text FROM documents")
+@query(rf"""WITH RECURSIVE symbols AS (SELECT *, row_number() OVER () AS i FROM (VALUES {_SYMBOL_ROWS}) t(char, command)),
+    changed AS (SELECT doc_id, {_SYMBOLS} AS text, 0::BIGINT AS i FROM documents
+        UNION ALL SELECT doc_id, replace(c.text, s.char, s.command), s.i FROM changed c JOIN symbols s ON s.i = c.i + 1)
+    SELECT doc_id, regexp_replace(text, '\\(times|div|cdot)\s+', '\\\1 ', 'g') AS text FROM changed WHERE i = (SELECT max(i) FROM symbols)""")
 def math_to_latex(spark, sf_dir):
     """Mathematical characters everywhere as LaTeX, the way that is kept for compatibility."""
     return table(spark, sf_dir, "documents").select("doc_id", text.math_to_latex(F.expr(_SYMBOLS), compat=True).alias("text"))
@@ -258,7 +265,7 @@ def formula_only(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(text.formula_only(F.expr(_MAYBE)))))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'x=' || doc_id ELSE 'x=' || doc_id || ' ' END AS formula, CASE WHEN doc_id % 2 = 1 THEN '(' || lang || ')' END AS tag FROM documents""".replace("|| ' ' END", "END"))
+@query("SELECT doc_id, 'x=' || doc_id AS formula, CASE WHEN doc_id % 2 = 1 THEN '(' || lang || ')' END AS tag FROM documents")
 def equation_tag(spark, sf_dir):
     formula = F.expr("CASE WHEN doc_id % 2 = 1 THEN concat('x=', doc_id, '  \\\\tag{', lang, '} y') ELSE concat('x=', doc_id) END")
     return table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(text.equation_tag(formula))))
@@ -312,38 +319,20 @@ def blank_filter(spark, sf_dir):
 
 def _named(found: DataFrame, packages: DataFrame) -> DataFrame:
     """Rows with the conversation that their package was made for."""
-    names = packages.select("doc_hash", F.regexp_extract("path", "([0-9]+).docx", 1).cast("long").alias("conv_id"))
-    return found.join(names, "doc_hash").drop("doc_hash")
+    return found.join(packages.select("doc_hash", "conv_id"), "doc_hash").drop("doc_hash")
 
 
-_TURNS = """turns AS (SELECT conv_id, turn, lpad(upper(to_hex(turn)), 8, '0') AS para_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS para_ord, role || ' ' AS who,
-    substr(replace(coalesce(text, ''), chr(10), ' '), 1, 400) || ' end' AS said FROM conversations)"""
-_WHOLE_TURNS = """turns AS (SELECT conv_id, turn, lpad(upper(to_hex(turn)), 8, '0') AS para_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS para_ord, role || ' ' AS who,
-    replace(coalesce(text, ''), chr(10), ' ') || ' end' AS said FROM conversations)"""
-#: Characters of a turn that ``docx_shred``, ``docx_extract`` and ``docx_rebuild`` take, as their SQL does; the ``_whole`` queries take all.
-MOST = 400
+_TURNS = """turns AS (SELECT conv_id, turn, lpad(upper(to_hex(turn)), 8, '0') AS para_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS para_ord, role || ' ' AS who,
+    replace(coalesce(text, ''), chr(10), ' ') || ' end' AS said, length(coalesce(text, '')) AS v FROM conversations)"""
 
 
-_SHREDDED = """SELECT conv_id, para_ord::INT AS para_ord, para_id, unnest([0, 1, 2, 3])::INT AS run_ord, unnest([true, false, false, false]) AS bold, unnest([false, turn % 2 = 1, false, false]) AS italic,
-    unnest([0, 0, 24, 24])::INT AS size, unnest([who, said, ' x', 'y']) AS text FROM turns"""
-
-
-def _shredded(packages: DataFrame) -> DataFrame:
-    """Runs of each package."""
-    runs = docx.runs(packages).select("doc_hash", "para_ord", "para_id", "run_ord", F.col("fmt.bold").alias("bold"), F.col("fmt.italic").alias("italic"), F.col("fmt.size").alias("size"), "text")
-    return _named(runs, packages)
-
-
-@query(f"WITH {_TURNS} {_SHREDDED}")
+@query(f"""WITH {_TURNS} SELECT conv_id, para_ord, para_id, unnest([0, 1, 2, 3])::INT AS run_ord, unnest([true, false, false, false]) AS bold, unnest([false, turn % 2 = 1, false, false]) AS italic,
+    unnest([0, 0, 24, 24])::INT AS size, unnest([who, said, ' x', 'y']) AS text FROM turns""")
 def docx_shred(spark, sf_dir):
-    """Runs of each package. Of each turn's text, the first 400 characters; see ``MOST``."""
-    return _shredded(samples.conversation_packages(spark, sf_dir, MOST))
-
-
-@query(f"WITH {_WHOLE_TURNS} {_SHREDDED}")
-def docx_shred_whole(spark, sf_dir):
     """Runs of each package. Each turn's text is whole."""
-    return _shredded(samples.conversation_packages(spark, sf_dir))
+    packages = samples.conversation_packages(spark, sf_dir)
+    runs = docx.runs(packages).select("doc_hash", "para_ord", "para_id", "run_ord", F.col("fmt.bold").alias("bold"), F.col("fmt.italic").alias("italic"), F.col("fmt.size").alias("size"), "text")
+    return _named(runs, packages)
 
 
 @query("SELECT DISTINCT conv_id, unnest([0, 1])::INT AS part_ord, unnest(['[Content_Types].xml', 'word/document.xml']) AS arcname FROM conversations")
@@ -352,59 +341,145 @@ def docx_parts(spark, sf_dir):
     return _named(docx.parts(packages).select("doc_hash", "part_ord", "arcname"), packages)
 
 
-_EXTRACTED = """SELECT conv_id, para_ord::INT AS para_ord, para_id, '‹F1:b›' || who || '‹/›‹F2:' || CASE WHEN turn % 2 = 1 THEN 'i' ELSE 'fmt' END || '›' || said || '‹/› xy' AS text FROM turns"""
-
-
-def _extracted(packages: DataFrame) -> DataFrame:
+@query(f"""WITH {_TURNS} SELECT conv_id, para_ord, para_id, '‹F1:b›' || who || '‹/›‹F2:' || CASE WHEN turn % 2 = 1 THEN 'i' ELSE 'fmt' END || '›' || said || '‹/› xy' AS text FROM turns""")
+def docx_extract(spark, sf_dir):
     """Chunk lines of the tagged paragraphs of each package."""
-    chunks, _ = documents.extract(docx.runs(packages))
+    packages = samples.conversation_packages(spark, sf_dir)
+    chunks, _ = documents.extract(documents.shred(packages))
     return _named(chunks.select("doc_hash", "para_ord", "para_id", "text"), packages)
 
 
-@query(f"WITH {_TURNS} {_EXTRACTED}")
-def docx_extract(spark, sf_dir):
-    """Chunk lines of the tagged paragraphs of each package. Of each turn's text, the first 400 characters; see ``MOST``."""
-    return _extracted(samples.conversation_packages(spark, sf_dir, MOST))
-
-
-@query(f"WITH {_WHOLE_TURNS} {_EXTRACTED}")
-def docx_extract_whole(spark, sf_dir):
-    """Chunk lines of the tagged paragraphs of each package. Each turn's text is whole."""
-    return _extracted(samples.conversation_packages(spark, sf_dir))
-
-
-_REBUILT = """SELECT conv_id, para_id, unnest([0, 1, 2])::INT AS run_ord, unnest([true, false, false]) AS bold, unnest([who, said, ' xy']) AS text FROM turns"""
-
-
-def _rebuilt(packages: DataFrame) -> DataFrame:
-    """Packages rebuilt from their own chunks and registries: the runs of the result."""
-    chunks, registries = documents.extract(docx.runs(packages))
-    rebuilt = documents.rebuild(packages, chunks.select("doc_hash", "para_id", "text"), registries)
-    names = packages.select("doc_hash", F.regexp_extract("path", "([0-9]+).docx", 1).cast("long").alias("conv_id"))
-    again = docx.as_packages(rebuilt.join(names, "doc_hash").select("conv_id", "content"))
-    runs = docx.runs(again).join(again.select("doc_hash", "conv_id"), "doc_hash")
-    return runs.select("conv_id", "para_id", "run_ord", F.col("fmt.bold").alias("bold"), "text")
+@query(f"""WITH RECURSIVE {_TURNS}, lines AS (SELECT *, '‹F1:b›' || who || '‹/›‹F2:' || CASE WHEN turn % 2 = 1 THEN 'i' ELSE 'fmt' END || '›' || said || '‹/› xy' AS text FROM turns),
+    items AS (SELECT *, length(text) AS n FROM lines),
+    packed AS (
+        SELECT conv_id, para_ord, 0 AS chunk, CASE WHEN n > 1000 THEN 1 ELSE 0 END AS idx, CASE WHEN n > 1000 THEN 0 ELSE n END AS held, n <= 1000 AS open FROM items WHERE para_ord = 0
+        UNION ALL
+        SELECT i.conv_id, i.para_ord, CASE WHEN p.open AND p.held + i.n > 1000 THEN p.idx + 1 ELSE p.idx END,
+               CASE WHEN i.n > 1000 THEN p.idx + CASE WHEN p.open THEN 2 ELSE 1 END WHEN p.open AND p.held + i.n > 1000 THEN p.idx + 1 ELSE p.idx END,
+               CASE WHEN i.n > 1000 THEN 0 WHEN p.open AND p.held + i.n > 1000 THEN i.n ELSE p.held + i.n END, i.n <= 1000
+        FROM packed p JOIN items i ON i.conv_id = p.conv_id AND i.para_ord = p.para_ord + 1)
+    SELECT conv_id, 'chunk_' || chunk || '.md' AS file_name, string_agg('[' || para_id || '] ' || text, chr(10) ORDER BY para_ord) AS content FROM packed JOIN items USING (conv_id, para_ord) GROUP BY conv_id, chunk""")
+def chunk_files(spark, sf_dir):
+    """The chunk files of each package, written and read again."""
+    packages = samples.conversation_packages(spark, sf_dir)
+    lines, _ = documents.extract(documents.shred(packages))
+    files = _named(chunks.chunk_files(lines, "doc_hash"), packages).withColumn("name", F.concat(F.lit("chunk_of_"), F.col("conv_id").cast("string"), F.lit("-"), F.col("file_name")))
+    place = Scratch(spark, "chunk-files").path("files")
+    chunks.write_files(files.select(F.col("name").alias("file_name"), "content"), place if "://" in place else f"file://{place}")
+    read = chunks.read_lines(spark, place)
+    line = F.struct("line_no", "line")
+    whole = read.groupBy("file_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("content"))
+    return whole.select(F.regexp_extract("file_name", "chunk_of_([0-9]+)-", 1).cast("long").alias("conv_id"), F.regexp_extract("file_name", "-(.*)$", 1).alias("file_name"), "content")
 
 
-@query(f"WITH {_TURNS} {_REBUILT}")
+@query(f"WITH {_TURNS} SELECT conv_id, para_id, unnest([0, 1, 2])::INT AS run_ord, unnest([true, false, false]) AS bold, unnest([who, said, ' xy']) AS text FROM turns")
 def docx_rebuild(spark, sf_dir):
-    """Packages rebuilt from their own chunks and registries: the runs of the result. Of each turn's text, the first 400 characters; see ``MOST``."""
-    return _rebuilt(samples.conversation_packages(spark, sf_dir, MOST))
-
-
-@query(f"WITH {_WHOLE_TURNS} {_REBUILT}")
-def docx_rebuild_whole(spark, sf_dir):
-    """Packages rebuilt from their own chunks and registries: the runs of the result. Each turn's text is whole."""
-    return _rebuilt(samples.conversation_packages(spark, sf_dir))
+    """Packages rebuilt from their own chunks and registries: the runs of the result."""
+    packages = samples.conversation_packages(spark, sf_dir)
+    lines, registries = documents.extract(documents.shred(packages))
+    rebuilt = documents.rebuild(packages, lines.select("doc_hash", "para_id", "text"), registries)
+    again = _named(docx.runs(rebuilt), packages)  # runs of the new packages, under the old ones' hashes
+    return again.select("conv_id", "para_id", "run_ord", F.col("fmt.bold").alias("bold"), "text")
 
 
-@query()
+@query("""SELECT conv_id, 'F' || unnest([0, 1, 2, 3][:CASE WHEN odd > 0 AND even > 0 THEN 4 ELSE 3 END]) AS cat_id,
+        unnest(list_reverse_sort([2 * n, n, odd, even])[:CASE WHEN odd > 0 AND even > 0 THEN 4 ELSE 3 END])::BIGINT AS cnt
+    FROM (SELECT conv_id, count(*) AS n, count_if(turn % 2 = 1) AS odd, count_if(turn % 2 = 0) AS even FROM conversations GROUP BY conv_id)""")
+def docx_profile(spark, sf_dir):
+    """Categories of each whole package: their ranks and counts."""
+    packages = samples.conversation_packages(spark, sf_dir)
+    return _named(documents.profile(docx.runs(packages)).select("doc_hash", "cat_id", "cnt"), packages)
+
+
+# Packages with formulas beside, in and without runs, objects, tabs, bookmarks, links and pictures.
+
+_ODD_RUNS = r"""odd AS (SELECT conv_id, para_ord, turn, v, unnest(CASE turn % 6
+        WHEN 0 THEN [{'text': 'x' || v || '=', 'formulas': '', 'own': false}, {'text': '', 'formulas': '$\frac{' || v || '}{2}$', 'own': true}]
+        WHEN 1 THEN [{'text': 'A', 'formulas': '', 'own': false}, {'text': '', 'formulas': '$y' || v || '$', 'own': false}, {'text': 'B', 'formulas': '', 'own': false}]
+        WHEN 2 THEN [{'text': 'o $z' || v || '$ p', 'formulas': '', 'own': false}]
+        WHEN 3 THEN [{'text': '', 'formulas': '$w' || v || '$', 'own': true}]
+        WHEN 4 THEN [{'text': 't' || v, 'formulas': '', 'own': false}]
+        ELSE [{'text': 'bold', 'formulas': '', 'own': false}, {'text': ' plain ' || v, 'formulas': '', 'own': false}] END) AS r FROM turns)"""
+
+
+@query(f"WITH {_TURNS}, {_ODD_RUNS} SELECT conv_id, para_ord, r.text AS text, r.formulas AS formulas, r.own AS formula_run FROM odd")
+def docx_odd_runs(spark, sf_dir):
+    """Runs: texts with formulas of objects, formulas of their own; runs and formulas that hold nothing are left out."""
+    packages = samples.odd_packages(spark, sf_dir)
+    return _named(docx.runs(packages).select("doc_hash", "para_ord", "text", F.array_join("formulas", "|").alias("formulas"), F.col("fmt").isNull().alias("formula_run")), packages)
+
+
+@query(f"""WITH {_TURNS} SELECT conv_id, para_ord, 'Arial' AS font_ascii, '黑体' AS font_east_asia, 28 AS size, true AS bold, false AS italic, 'yellow' AS highlight, 'FF0000' AS color, 'double' AS underline,
+    true AS strike, false AS dstrike, 'subscript' AS vert_align, true AS small_caps FROM turns WHERE turn % 6 = 5""")
+def docx_formats(spark, sf_dir):
+    """All properties of a run's format."""
+    packages = samples.odd_packages(spark, sf_dir)
+    return _named(docx.runs(packages).where("text = 'bold'").select("doc_hash", "para_ord", "fmt.*"), packages)
+
+
+@query(rf"""WITH {_TURNS} SELECT conv_id, para_ord, CASE turn % 6 WHEN 0 THEN 'x' || v || '=$\frac{{' || v || '}}{{2}}$' WHEN 1 THEN 'A$y' || v || '$B' WHEN 2 THEN 'o $z' || v || '$ p' WHEN 4 THEN 't' || v
+        ELSE 'bold‹F1:fmt› plain ' || v || '‹/›' END AS text FROM turns WHERE turn % 6 <> 3""")
+def docx_odd_extract(spark, sf_dir):
+    """Tagged paragraphs; those of formulas only are left out, and formulas end the islands."""
+    packages = samples.odd_packages(spark, sf_dir)
+    lines, _ = documents.extract(documents.shred(packages))
+    return _named(lines.select("doc_hash", "para_ord", "text"), packages)
+
+
+@query(f"""WITH {_TURNS} SELECT conv_id, para_ord, CASE turn % 6 WHEN 0 THEN 'r(t) oMath r(t) r(t)' WHEN 1 THEN 'r(t) r(oMath) r(oMath) r(rPr) r(t)' WHEN 2 THEN 'r(t) oMath r(t)' WHEN 3 THEN 'oMath'
+        WHEN 4 THEN 'r(tab) oMath r(tab) r(t)' ELSE 'bookmarkStart r(rPr,t) r(t) r(rPr,t) hyperlink r(drawing) bookmarkEnd' END AS outline FROM turns""")
+def docx_odd_rebuild(spark, sf_dir):
+    """What is in each paragraph after edits with formulas, tags, a numbered equation between tabs; what was no text stays."""
+    packages = samples.odd_packages(spark, sf_dir)
+    lines, registries = documents.extract(documents.shred(packages))
+    kind = F.conv("para_id", 16, 10).cast("long") % 6
+    edited = (F.when(kind == 0, F.concat("text", F.lit(" and "), F.lit("‹F0:fmt›more‹/›"))).when(kind == 4, F.concat(F.lit("$$y="), "text", F.lit(r" \tag{3}$$"))).when(kind == 5, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    rebuilt = documents.rebuild(packages, lines.where(kind != 1).select("doc_hash", "para_id", edited.alias("text")), registries)
+    return _named(docx.outlines(rebuilt), packages)
+
+
+_FAULTS = "faults AS (SELECT 'chunk_' || doc_id || '.md' AS file_name, 'error' AS severity FROM labels WHERE quality = 0)"
+
+
+@query(f"""WITH {_FAULTS}, earlier AS (SELECT 'chunk_' || doc_id || '.md' AS file_name, (doc_id % 4)::INT AS attempt FROM labels)
+    SELECT f.file_name, coalesce(attempt, 0) + 1 AS attempt, coalesce(attempt, 0) + 1 >= 3 AS for_a_human FROM (SELECT DISTINCT file_name FROM faults) f LEFT JOIN (SELECT file_name, max(attempt) AS attempt FROM earlier GROUP BY 1) e ON f.file_name = e.file_name""")
+def fault_attempts(spark, sf_dir):
+    """How often each file with faults has been tried, and which are for a human to see to."""
+    labels = table(spark, sf_dir, "labels").withColumn("file_name", F.concat(F.lit("chunk_"), F.col("doc_id").cast("string"), F.lit(".md")))
+    faults = labels.where("quality = 0").select("file_name", F.lit("error").alias("severity"))
+    return checks.attempts(faults, labels.select("file_name", (F.col("doc_id") % 4).cast("int").alias("attempt")))
+
+
+_FORMULAS = r"""CASE doc_id % 11 WHEN 0 THEN concat('x_', doc_id % 10, '^2 + \\frac{', doc_id, '}{\\sqrt[3]{y}} \\leq \\alpha_{', lang, '}') WHEN 1 THEN concat('\\sin(x+', doc_id, ')') WHEN 2 THEN concat('(a+', doc_id, ')^{2}')
+    WHEN 3 THEN concat('\\begin{bmatrix}1 & 2\\\\3 & ', doc_id, '\\end{bmatrix}') WHEN 4 THEN concat('\\begin{cases}', doc_id, ' & a\\\\b\\end{cases}') WHEN 5 THEN concat('\\vec{v}+\\text{if }', doc_id)
+    WHEN 6 THEN concat('\\sqrt{', doc_id, '}\\quad \\beta') WHEN 7 THEN concat('‖_{', doc_id, '}') WHEN 8 THEN concat('\\times ', doc_id, ' \\cdot\\max') WHEN 9 THEN concat('ab_{', doc_id, '}') ELSE concat('x^{', doc_id, '}_{2}') END"""
+#: The elements without their prefix; ⟦ ⟧: a run, ⟪ ⟧: one of a Greek letter, ¤: control properties.
+_ELEMENTS = """CASE doc_id % 11
+    WHEN 0 THEN '<sSubSup><sSubSupPr>¤</sSubSupPr><e>⟦x⟧¤</e><sub>⟦' || doc_id % 10 || '⟧¤</sub><sup>⟦2⟧¤</sup>¤</sSubSup>⟦+⟧<f><fPr>¤</fPr><num>⟦' || doc_id || '⟧¤</num><den><rad><radPr>¤</radPr><deg>⟦3⟧¤</deg><e>⟦y⟧¤</e></rad>¤</den></f>¤⟦≤⟧<sSub><sSubPr>¤</sSubPr><e>⟪α⟧¤</e><sub>⟦' || lang || '⟧¤</sub>¤</sSub>'
+    WHEN 1 THEN '⟦sin⟧<d><dPr><begChr val="(" /><endChr val=")" />¤</dPr><e>⟦x⟧⟦+⟧⟦' || doc_id || '⟧¤</e>¤</d>'
+    WHEN 2 THEN '<sSup><sSupPr>¤</sSupPr><e>⟦(⟧⟦a⟧⟦+⟧⟦' || doc_id || '⟧⟦)⟧¤</e><sup>⟦2⟧¤</sup>¤</sSup>'
+    WHEN 3 THEN '<d><dPr><begChr val="[" /><endChr val="]" />¤</dPr><e><m><mPr><mcs><mc><mcPr><count val="2" /><mcJc val="center" /></mcPr></mc></mcs><plcHide val="1" />¤</mPr><mr><e>⟦1⟧¤</e><e>⟦2⟧¤</e></mr><mr><e>⟦3⟧¤</e><e>⟦' || doc_id || '⟧¤</e></mr></m>¤</e>¤</d>'
+    WHEN 4 THEN '<d><dPr><begChr val="{" /><endChr val="" />¤</dPr><e>⟦' || doc_id || '⟧⟦ ⟧⟦b⟧¤</e>¤</d>'
+    WHEN 5 THEN '<acc><accPr><chr val="' || chr(8407) || '" />¤</accPr><e>⟦v⟧¤</e></acc>⟦+⟧⟦if ⟧⟦' || doc_id || '⟧'
+    WHEN 6 THEN '<rad><radPr><degHide val="1" />¤</radPr><deg>¤</deg><e>⟦' || doc_id || '⟧¤</e></rad>⟦' || chr(8195) || '⟧⟪β⟧'
+    WHEN 7 THEN '<sSub><sSubPr>¤</sSubPr><e>⟦‖⟧¤</e><sub>⟦' || doc_id || '⟧¤</sub>¤</sSub>'
+    WHEN 8 THEN '⟦×⟧⟦' || doc_id || '⟧⟦⋅⟧⟦max⟧'
+    WHEN 9 THEN '⟦a⟧<sSub><sSubPr>¤</sSubPr><e>⟦b⟧¤</e><sub>⟦' || doc_id || '⟧¤</sub>¤</sSub>'
+    ELSE '<sSub><sSubPr>¤</sSubPr><e><sSup><sSupPr>¤</sSupPr><e>⟦x⟧¤</e><sup>⟦' || doc_id || '⟧¤</sup>¤</sSup>¤</e><sub>⟦2⟧¤</sub>¤</sSub>' END"""
+
+
+@query(rf"""WITH short AS (SELECT doc_id, regexp_replace(regexp_replace('<oMath>' || {_ELEMENTS} || '</oMath>', '<(/?)([a-zA-Z])', '<\1m:\2', 'g'), ' val=', ' m:val=', 'g') AS x FROM documents),
+    parts AS (SELECT '<w:rPr><w:rFonts w:hint="' AS f, '" w:ascii="Cambria Math" w:hAnsi="Cambria Math" /></w:rPr>' AS g, '<m:r><m:rPr><m:sty m:val="p" /></m:rPr>' AS r)
+    SELECT doc_id, replace(replace(replace(replace(replace(x, '⟦', r || f || 'default' || g || '<m:t>'), '⟪', r || f || 'eastAsia' || g || '<m:t>'), '⟧', '</m:t></m:r>'), '¤', '<m:ctrlPr>' || f || 'eastAsia' || g || '</m:ctrlPr>'),
+        '<m:oMath>', '<m:oMath xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math" xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main">') AS omml FROM short, parts""")
 def latex_omml(spark, sf_dir):
-    formula = F.expr("concat('x_', doc_id % 10, '^2 + \\\\frac{', doc_id, '}{\\\\sqrt[3]{y}} \\\\leq \\\\alpha_{', lang, '}')")
-    return table(spark, sf_dir, "documents").select("doc_id", omml.latex_to_omml()(formula).alias("omml"))
+    """Formulas as Office MathML."""
+    return table(spark, sf_dir, "documents").select("doc_id", omml.latex_to_omml()(F.expr(_FORMULAS)).alias("omml"))
 
 
-@query("SELECT doc_id, 'x_{' || doc_id % 10 || '}^{2}+\\frac{' || doc_id || '}{\\sqrt[3]{y}}≤α_{' || lang || '}' AS latex FROM documents")
+@query(r"""SELECT doc_id, CASE doc_id % 11 WHEN 0 THEN 'x_{' || doc_id % 10 || '}^{2}+\frac{' || doc_id || '}{\sqrt[3]{y}}≤α_{' || lang || '}' WHEN 1 THEN 'sinx+' || doc_id WHEN 2 THEN '(a+' || doc_id || ')^{2}'
+    WHEN 3 THEN '123' || doc_id WHEN 4 THEN doc_id || ' b' WHEN 5 THEN 'v+if ' || doc_id WHEN 6 THEN '\sqrt{' || doc_id || '}' || chr(8195) || 'β' WHEN 7 THEN '‖_{' || doc_id || '}' WHEN 8 THEN '×' || doc_id || '⋅max'
+    WHEN 9 THEN 'ab_{' || doc_id || '}' ELSE 'x^{' || doc_id || '}_{2}' END AS latex FROM documents""")
 def omml_latex(spark, sf_dir):
     """Formulas as Office MathML and back."""
     return latex_omml(spark, sf_dir).select("doc_id", omml.omml_to_latex("omml").alias("latex"))

@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats, text
 from ..functions.wordml import DOCUMENT, rebuild_document, unzip, zip_parts
 from ..operators import chunking, formatting, lookups
+from ..scratch import Scratch
+from ..sources import docx
+from ..sources.docx import DOCUMENTS
 
 PARA = ["doc_hash", "para_ord"]
 
 
+def shred(packages: DataFrame, *, compat: bool = False) -> DataFrame:
+    """The runs of all packages, parsed once, as a written table."""
+    return Scratch(packages.sparkSession, "runs").save(docx.runs(packages, compat=compat), "runs")
+
+
 def categories(runs: DataFrame) -> DataFrame:
     """Categories of each paragraph, with label, hint and the first run's properties."""
     keyed = runs.withColumn("key", formats.category_key(F.col("fmt")))
@@ -22,19 +30,36 @@ def categories(runs: DataFrame) -> DataFrame:
     return found.select("*", formats.label(F.col("fmt")).alias("label"), formats.hint(F.col("fmt")).alias("hint")).drop("fmt")
 
 
-def tagged_paragraphs(runs: DataFrame, cats: DataFrame, *, compat: bool = False) -> DataFrame:
-    """doc_hash, para_ord, para_id, text: tagged; paragraphs that are blank or hold formulas only are left out."""
+def profile(runs: DataFrame) -> DataFrame:
+    """Categories of each whole document, counted over all its paragraphs, with label and hint."""
+    keyed = runs.select("doc_hash", F.struct("para_ord", "run_ord").alias("place"), formats.category_key(F.col("fmt")).alias("key"), "fmt")
+    found = formatting.rank_categories(keyed, ["doc_hash"], "key", "place", firsts=["fmt"])
+    return found.select("doc_hash", "cat_id", "cnt", "is_baseline", formats.label(F.col("fmt")).alias("label"), formats.hint(F.col("fmt")).alias("hint"))
+
+
+def tagged_paragraphs(runs: DataFrame, *, compat: bool = False) -> DataFrame:
+    """doc_hash, para_ord, para_id, text: tagged; paragraphs that are blank or hold formulas only are left out.
+
+    Counts, ranks, islands and texts of a paragraph all come from one exchange on it.
+    """
     keyed = runs.withColumn("key", formats.category_key(F.col("fmt")))
-    joined = keyed.join(cats.select(*PARA, "key", "cat_id", "hint", "is_baseline"), [*PARA, "key"], "left")
-    joined = joined.join(cats.select(*PARA).distinct(), PARA, "left_semi")
-    tagged = formatting.tag_text(joined, [*PARA, "para_id"], "run_ord", formulas="formulas", compat=compat)
+    of_key, of_para = Window.partitionBy(*PARA, "key"), Window.partitionBy(*PARA)
+    counted = keyed.select("*", F.count(F.lit(1)).over(of_key).alias("cnt"), F.min("run_ord").over(of_key).alias("first_ord"))
+    rank = F.dense_rank().over(of_para.orderBy(F.col("key").isNull(), F.desc("cnt"), "first_ord")) - 1
+    ranked = counted.select("*", F.when(F.col("key").isNotNull(), rank).alias("rank"), F.max(F.col("key").isNotNull()).over(of_para).alias("any"))
+    cats = ranked.where("any").select(*PARA, "para_id", "run_ord", "text", "formulas", F.concat(F.lit("F"), F.col("rank").cast("string")).alias("cat_id"),
+                                      formats.hint(F.col("fmt")).alias("hint"), (F.col("rank") == 0).alias("is_baseline"))
+    tagged = formatting.tag_text(cats, [*PARA, "para_id"], "run_ord", formulas="formulas", compat=compat)
     return tagged.where(~text.is_blank(F.col("text"))).withColumn("text", text.math_to_latex(F.col("text"), compat=compat))
 
 
 def extract(runs: DataFrame, *, compat: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Chunks (doc_hash, chunk_idx, line_no, para_ord, para_id, text) and registries (doc_hash, registry)."""
+    """Chunks (doc_hash, chunk_idx, line_no, para_ord, para_id, text) and registries (doc_hash, registry).
+
+    ``runs`` is read for both: it should be a written table, as ``shred`` gives.
+    """
     cats = categories(runs)
-    paragraphs = tagged_paragraphs(runs, cats, compat=compat)
+    paragraphs = tagged_paragraphs(runs, compat=compat)
     chunks = chunking.pack_chunks(paragraphs.withColumn("n_chars", F.length("text")), ["doc_hash"], "para_ord", "n_chars")
     shown = cats.join(paragraphs.select(*PARA), PARA, "left_semi")
     last = shown.join(shown.groupBy("doc_hash", "para_id").agg(F.max("para_ord").alias("para_ord")), ["doc_hash", "para_id", "para_ord"], "left_semi")
@@ -44,19 +69,21 @@ def extract(runs: DataFrame, *, compat: bool = False) -> tuple[DataFrame, DataFr
 def rebuild(packages: DataFrame, texts: DataFrame, registries: DataFrame, *, compat: bool = False) -> DataFrame:
     """doc_hash, content of each package with edited paragraphs (doc_hash, para_id, text) and registries (doc_hash, registry).
 
-    A document's edits and formats are gathered beside its package; no task holds more than one document at a time.
+    A document's edits and formats are gathered beside its package; a task holds a few documents at a time.
     """
     edits = texts.groupBy("doc_hash").agg(F.collect_list(F.struct("para_id", "text")).alias("texts"))
     rows = lookups.registry_rows(F.col("registry"), registries, ["doc_hash"])
     known = rows.groupBy("doc_hash").agg(F.collect_list(F.struct("para_id", "baseline", "cat_id", "rpr_xml")).alias("formats"))
     joined = packages.select("doc_hash", "content").join(edits, "doc_hash", "left").join(known, "doc_hash", "left")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_hash, content, changed, found in batch.itertuples(index=False, name=None):
-                yield pd.DataFrame({"doc_hash": [doc_hash], "content": [_rebuilt(content, changed if changed is not None else [], found if found is not None else [], compat)]})
+            for at in range(0, batch.num_rows, DOCUMENTS):
+                rows = zip(*(c.to_pylist() for c in batch.slice(at, DOCUMENTS).columns), strict=True)
+                out = [(doc_hash, _rebuilt(content, changed or [], found or [], compat)) for doc_hash, content, changed, found in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.binary())], names=["doc_hash", "content"])
 
-    return joined.mapInPandas(run, "doc_hash string, content binary")
+    return joined.select("doc_hash", "content", "texts", "formats").mapInArrow(run, "doc_hash string, content binary")
 
 
 def _rebuilt(content: bytes, changed: list, found: list, compat: bool) -> bytes:

@@ -4,17 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_line, parse_line
 
 
+def read_files(spark: SparkSession, path: str, glob: str = "chunk_*.md") -> DataFrame:
+    """file_name, value of the files under ``path``; the value is null if a file is no UTF-8 text."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    return files.select(F.element_at(F.split(F.col("path"), "/"), -1).alias("file_name"), F.try_validate_utf8(F.col("content").cast("string")).alias("value"))
+
+
+def unread(files: DataFrame) -> DataFrame:
+    """file_name, detail of those that could not be read."""
+    return files.where("value is null").select("file_name", F.lit("not UTF-8").alias("detail"))
+
+
 def read_lines(spark: SparkSession, path: str, glob: str = "chunk_*.md") -> DataFrame:
-    """Lines of the files under ``path``: file_name, line_no, line, had_newline. A file is one row first, so that its lines keep their order."""
-    files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file_name"), "value")
-    split = files.select("file_name", F.posexplode(F.split("value", "\r\n|\r|\n", -1)).alias("line_no", "line"), F.size(F.split("value", "\r\n|\r|\n", -1)).alias("n"))
-    return split.where("not (line_no = n - 1 and line = '')").select("file_name", "line_no", "line", (F.col("line_no") < F.col("n") - 1).alias("had_newline"))
+    """Lines of the files under ``path``: file_name, line_no, line, had_newline. A file is one row first, so that its lines keep their order.
+
+    A file without lines, or one that cannot be read, is a row without a number.
+    """
+    files = read_files(spark, path, glob)
+    split = files.where("value <> ''").select("file_name", F.posexplode(F.split("value", "\r\n|\r|\n", -1)).alias("line_no", "line"), F.size(F.split("value", "\r\n|\r|\n", -1)).alias("n"))
+    lines = split.where("not (line_no = n - 1 and line = '')").select("file_name", "line_no", "line", (F.col("line_no") < F.col("n") - 1).alias("had_newline"))
+    return lines.unionByName(files.where("coalesce(value, '') = ''").select("file_name", F.lit(None).cast("int").alias("line_no"), F.lit(None).cast("string").alias("line"), F.lit(False).alias("had_newline")))
 
 
 def paragraph_map(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -31,16 +47,24 @@ def chunk_files(chunks: DataFrame, doc: str) -> DataFrame:
         doc, F.concat(F.lit("chunk_"), F.col("chunk_idx").cast("string"), F.lit(".md")).alias("file_name"), "content")
 
 
-def write_files(files: DataFrame, root: str, folder: str | None = None) -> None:
-    """Writes each row's ``content`` under its ``file_name``, in a folder by column ``folder`` if named. A task that runs again writes the same files again."""
-    def write(rows: Iterator[Row]) -> None:
+def write_files(files: DataFrame, root: str, folder: str | None = None) -> tuple[int, int]:
+    """Writes each row's ``content`` under its ``file_name``, in a folder by column ``folder`` if named; returns how many files and bytes. A task that runs again writes the same files again."""
+    kept = [folder] if folder else []
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(root)
-        for row in rows:
-            place = f"{base}/{row[folder]}" if folder else base
-            store.create_dir(place, recursive=True)
-            with store.open_output_stream(f"{place}/{row['file_name']}") as out:
-                out.write(row["content"].encode() if isinstance(row["content"], str) else bytes(row["content"]))
+        for batch in batches:
+            sizes = []
+            for name, content, *place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                where = "/".join([base, *place])
+                store.create_dir(where, recursive=True)
+                with store.open_output_stream(f"{where}/{name}") as out:
+                    out.write(content)
+                sizes.append(len(content))
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], names=["size"])
 
-    files.foreachPartition(write)
+    done = files.select("file_name", F.col("content").cast("binary").alias("content"), *kept).mapInArrow(write, "size long")
+    counts = done.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    return counts["files"], counts["bytes"]

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.formats import FORMAT
-from ..functions.wordml import DOCUMENT, read_runs, unzip, zip_parts
+from ..functions.wordml import DOCUMENT, outline, part, read_runs, unzip
 
 RUNS = T.StructType([
     T.StructField("doc_hash", T.StringType()), T.StructField("para_ord", T.IntegerType()), T.StructField("para_id", T.StringType()), T.StructField("run_ord", T.IntegerType()),
@@ -26,32 +27,47 @@ def as_packages(files: DataFrame) -> DataFrame:
     return files.withColumn("doc_hash", F.sha2("content", 256))
 
 
-def parts(packages: DataFrame) -> DataFrame:
-    """doc_hash, part_ord, arcname, data of each part of each package."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc_hash, content in batch.itertuples(index=False, name=None):
-                yield pd.DataFrame([(doc_hash, i, name, data) for i, (name, data) in enumerate(unzip(content))], columns=["doc_hash", "part_ord", "arcname", "data"])
+#: Documents whose rows leave together.
+DOCUMENTS = 64
 
-    return packages.select("doc_hash", "content").mapInPandas(run, "doc_hash string, part_ord int, arcname string, data binary")
 
+def parts(packages: DataFrame) -> DataFrame:
+    """doc_hash, part_ord, arcname, data of each part of each package."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_hashes, contents in _some(batches):
+            rows = [(doc_hash, i, name, data) for doc_hash, content in zip(doc_hashes, contents, strict=True) for i, (name, data) in enumerate(unzip(content))]
+            kinds = {"doc_hash": pa.string(), "part_ord": pa.int32(), "arcname": pa.string(), "data": pa.binary()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
 
-def runs(packages: DataFrame, *, compat: bool = False) -> DataFrame:
-    """The runs of each package's main part. One document is parsed at a time; rows leave as they are made."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc_hash, content in batch.itertuples(index=False, name=None):
-                xml = dict(unzip(content)).get(DOCUMENT)
-                rows = [(doc_hash, *x) for x in read_runs(xml, compat=compat)] if xml else []
-                yield pd.DataFrame(rows, columns=RUNS.names)
+    return packages.select("doc_hash", "content").mapInArrow(run, "doc_hash string, part_ord int, arcname string, data binary")
 
-    return packages.select("doc_hash", "content").mapInPandas(run, RUNS)
 
+def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[bytes]]]:
+    """Hashes and contents of a few packages at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, DOCUMENTS):
+            yield tuple(c.to_pylist() for c in batch.slice(at, DOCUMENTS).columns)
 
-def join_parts(changed: DataFrame) -> DataFrame:
-    """doc_hash, content: the parts (doc_hash, part_ord, arcname, data) of each document as a package again."""
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        ordered = batch.sort_values("part_ord")
-        return pd.DataFrame({"doc_hash": [batch["doc_hash"].iloc[0]], "content": [zip_parts(list(zip(ordered["arcname"], ordered["data"], strict=True)))]})
 
-    return changed.groupBy("doc_hash").applyInPandas(run, "doc_hash string, content binary")
+def runs(packages: DataFrame, *, compat: bool = False) -> DataFrame:
+    """The runs of each package's main part. One document is parsed at a time; the rows of a few leave together."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = to_arrow_schema(RUNS)
+        for doc_hashes, contents in _some(batches):
+            rows = []
+            for doc_hash, content in zip(doc_hashes, contents, strict=True):
+                xml = part(content, DOCUMENT)
+                rows += [(doc_hash, *x) for x in read_runs(xml, compat=compat)] if xml else []
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], field.type) for i, field in enumerate(shape)], names=RUNS.names)
+
+    return packages.select("doc_hash", "content").mapInArrow(run, RUNS)
+
+
+def outlines(packages: DataFrame) -> DataFrame:
+    """doc_hash, para_ord, outline: what is in each paragraph of the main part."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_hashes, contents in _some(batches):
+            rows = [(doc_hash, *x) for doc_hash, content in zip(doc_hashes, contents, strict=True) if (xml := part(content, DOCUMENT)) for x in outline(xml)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.string()))], names=["doc_hash", "para_ord", "outline"])
+
+    return packages.select("doc_hash", "content").mapInArrow(run, "doc_hash string, para_ord int, outline string")

@@ -33,7 +33,7 @@ def test_query(spark, sf_dir, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["docx_shred_whole", "docx_extract_whole", "docx_rebuild_whole"])
+@pytest.mark.parametrize("name", ["docx_shred", "docx_extract", "docx_rebuild"])
 def test_documents_hold_whole_texts(spark, sf_dir, name):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").toPandas()
     text = {(x.conv_id, f"{x.turn:08X}"): f"{x.text or ''} end".replace("\n", " ") for x in turns.itertuples()}
