@@ -1,61 +1,13 @@
-"""Tables written to the folder that every executor shares, to cut lineage.
-
-A written table survives a lost executor, unlike a local checkpoint. The folder is the
-session's ``spark.checkpoint.dir``; only a local session without one gets a folder of its own.
-"""
+"""Tables written to the folder that every executor shares, as the rest of the library has them; and joins of a checked size."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch, folders
 
-def shared_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="pagewright-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-class Scratch:
-    """One folder per operator call; ``drop`` frees a table that later steps no longer read.
-
-    What is left when the driver ends is removed then: results are lazy and may still read it.
-    """
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self._remove, self.root)
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.load(name, df.schema)
-
-    def load(self, name: str, schema) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(self.path(name))
-
-    def drop(self, name: str) -> None:
-        self._remove(self.path(name))
-
-    def _remove(self, path: str) -> None:
-        try:
-            context = self.spark.sparkContext
-            place = context._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
-        except Exception:  # noqa: BLE001  the session may have ended; leftovers are harmless
-            pass
+__all__ = ["Scratch", "folders", "small"]
 
 
 def small(table: DataFrame, rows: int = 500_000) -> DataFrame:
@@ -64,11 +16,3 @@ def small(table: DataFrame, rows: int = 500_000) -> DataFrame:
     The count is of a written table of narrow rows, so it costs a read of file footers.
     """
     return F.broadcast(table) if table.count() <= rows else table
-
-
-def folders(spark: SparkSession, path: str) -> list[str]:
-    """Names of the folders in a folder; none if it is not there."""
-    context = spark.sparkContext
-    place = context._jvm.org.apache.hadoop.fs.Path(path)
-    store = place.getFileSystem(context._jsc.hadoopConfiguration())
-    return sorted(x.getPath().getName() for x in store.listStatus(place) if x.isDirectory()) if store.exists(place) else []

@@ -6,7 +6,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-SCHEMA = "doc_id long, text string, source string, key long, hash long, kind int, label int, rate double, shard int, _group string, `a.b` int"
+SCHEMA = "doc_id long, text string, source string, key long, hash long, kind int, label int, rate double, shard int, _group string, `a.b` int, " + ", ".join(f"{x} int" for x in "copy n_copies _sha sha _gone gone _id id _label row node _row _key _text doc".split())
 
 
 def texts():
@@ -37,7 +37,7 @@ def documents():
 @pytest.fixture(scope="session")
 def docs(spark, documents):
     """The same as a table, with columns whose names the operators use themselves."""
-    return spark.createDataFrame([(i, t, f"s{(i or 0) % 3}" if i != 5 else None, 1, 2, 3, 4, 0.5, 6, "g", 7) for i, t in documents], SCHEMA).repartition(3)
+    return spark.createDataFrame([(i, t, f"s{(i or 0) % 3}" if i != 5 else None, 1, 2, 3, 4, 0.5, 6, "g", 7, *range(100, 115)) for i, t in documents], SCHEMA).repartition(3)
 
 
 @pytest.fixture(scope="session")
