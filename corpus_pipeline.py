@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages, each written and read again, each on all that the one before it kept."""
+"""The corpus pipeline: five stages, each written and read again, each on all that the one before it kept.
+
+All but the last give the columns of documents as they are, whatever their names. A null or empty text is scored as the bias alone, is one text among exact
+copies, is near to no other, and packs to its end mark; a null id stays. Rows that repeat an id and a text are one after exact dedup.
+An empty table gives empty results. Very long texts are held whole, one at a time.
+"""
 
 from __future__ import annotations
 
@@ -27,7 +32,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(docs, WEIGHTS).select(*docs.columns)
+    return mixing.mix_sources(docs, WEIGHTS, added=False)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +41,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality_classifier), ("exact dedup", exact_copies), ("near dedup", near_copies), ("mixing", mixed), ("packing", packed)]
 
-#: Learned scores and tokens are not to be had in SQL. Each stage has tests of its own; no test holds run() as a whole against a brute-force version.
+#: Learned scores and tokens are not to be had in SQL. tests/llm/test_pipeline.py holds each stage, on what the one before it kept, against a brute-force version, and run() against the stages.
 ORACLE_SQL = None
 
 

@@ -11,7 +11,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -57,14 +56,6 @@ class Scratch:
             pass
 
 
-def small(table: DataFrame, rows: int = 500_000) -> DataFrame:
-    """``table`` with a broadcast hint if it has no more than ``rows`` rows; else as it is, for a shuffled join.
-
-    The count is of a written table of narrow rows, so it costs a read of file footers.
-    """
-    return F.broadcast(table) if table.count() <= rows else table
-
-
 def _store(spark: SparkSession, path: str):
     context = spark.sparkContext
     place = context._jvm.org.apache.hadoop.fs.Path(path)
