@@ -175,28 +175,6 @@ def test_near_dedup_keeps_one_of_each_group(docs, documents):
     assert sorted((r["doc_id"] for r in kept.select("doc_id").collect()), key=repr) == sorted((i for i, _ in documents if i not in gone), key=repr)
 
 
-def test_signatures_meet_whenever_sets_are_similar():
-    rng = np.random.default_rng(0)
-    for similarity in (Fraction(9, 10), Fraction(4, 5), Fraction(1, 2)):
-        sizes = jaccard.Sizes(similarity)
-        for _ in range(200):
-            n = int(rng.integers(1, 300))
-            x = np.unique(rng.integers(1, 1 << 62, n).astype(np.uint64))
-            drop = int(rng.integers(0, max(1, int(len(x) * (1 - similarity)) + 1)))
-            y = np.unique(np.concatenate([rng.permutation(x)[drop:], rng.integers(1, 1 << 62, int(rng.integers(0, 3))).astype(np.uint64)]))
-            shared = len(np.intersect1d(x, y))
-            if shared >= similarity * (len(x) + len(y) - shared):
-                assert set(jaccard.set_signatures(x, sizes).tolist()) & set(jaccard.set_signatures(y, sizes).tolist())
-
-
-def test_large_sets_meet_without_a_few_least_hashes():
-    rng, sizes = np.random.default_rng(7), jaccard.Sizes(Fraction(9, 10))
-    for _ in range(5):
-        x = np.unique(rng.integers(1, 1 << 62, 1000).astype(np.uint64))
-        y = np.delete(x, [jaccard.mix(x + seed).argmin() for seed in jaccard.SEEDS[:8]])
-        assert set(jaccard.set_signatures(x, sizes).tolist()) & set(jaccard.set_signatures(y, sizes).tolist())
-
-
 def test_words():
     hashes, sizes = jaccard.word_hashes(pa.array(["", " a  b ", "\x0ba\x0c", "a\x1cb", "A b"]), fold=True)
     assert sizes.tolist() == [0, 2, 1, 1, 2]
