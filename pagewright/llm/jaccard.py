@@ -327,7 +327,7 @@ def _chained(texts: DataFrame, k: int, similarity: Fraction, apart: frozenset[in
                 yield _rows(1, keys, nodes[once][owner], bitmaps, sizes)
 
     # Only signatures need to meet; what is known of documents rides along.
-    shuffled = texts.mapInArrow(signed_rows, ROWS).repartition("key").sortWithinPartitions("kind", "key", "node")
+    shuffled = texts.mapInArrow(signed_rows, ROWS).repartition("key").sortWithinPartitions("key", "node")
 
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(similarity)
@@ -343,17 +343,17 @@ def _chained(texts: DataFrame, k: int, similarity: Fraction, apart: frozenset[in
 
 
 def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Of rows sorted by kind and key: kind 0 as they come, with x as it is (it may hold nulls); others in arrays of whole keys, with further columns if there are any."""
+    """Of rows sorted by key: those of kind 0 as they come, with x as it is (it may hold nulls); others in arrays of whole keys, with further columns if there are any."""
     held: list[list[np.ndarray]] = []  # the rows of the last key so far
     for batch in batches:
-        kinds = batch.column(0).to_numpy()
-        at = int(np.searchsorted(kinds, 1))
-        if at:
-            rest = batch.slice(0, at)
+        mine = batch.column(0).to_numpy() == 1
+        if not mine.all():
+            rest = batch.filter(pa.array(~mine))
             yield 0, rest.column(1).to_numpy(), rest.column(2).to_numpy(), rest.column(3), rest.column(4)
-        if at == len(kinds):
+            batch = batch.filter(pa.array(mine))
+        if not batch.num_rows:
             continue
-        rows = [x.to_numpy(zero_copy_only=False) for x in batch.slice(at).columns[1:]]
+        rows = [x.to_numpy(zero_copy_only=False) for x in batch.columns[1:]]
         last = int(np.searchsorted(rows[0], rows[0][-1]))
         if last or held and held[0][0][0] != rows[0][-1]:
             held.append([x[:last] for x in rows])
@@ -403,7 +403,7 @@ def _asks(sets: DataFrame, similarity: Fraction) -> DataFrame:
                 at = upto
 
     rows = sets.select(*names, "items").mapInArrow(signed_rows, ROWS + ", root long, near long, chunk int, outside boolean")
-    return rows.repartition("key").sortWithinPartitions("kind", "key").mapInArrow(met, "node long, root long, near long, chunk int").distinct()
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(met, "node long, root long, near long, chunk int").distinct()
 
 
 def _sets(texts: DataFrame, chosen: DataFrame, k: int, apart: frozenset[int]) -> DataFrame:

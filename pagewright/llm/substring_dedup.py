@@ -107,16 +107,15 @@ def _lead(ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 
 def _runs(both: bool):
-    """Reads rows sorted by (kind, hash, more, doc_id); gives (kind 0) those that repeat with a smaller id, and if ``both`` the smallest, too."""
+    """Reads rows sorted by (hash, more, doc_id); gives (kind 0) those that repeat with a smaller id, and if ``both`` the smallest, too."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = first = None  # of the run that the last batch ended with
         told = True
         for batch in batches:
-            kinds = batch.column(0).to_numpy()
-            at = int(np.searchsorted(kinds, 1))
-            if at:
-                yield batch.slice(0, at)
-            hashes, more, ids = (batch.column(i).to_numpy()[at:] for i in (1, 2, 3))
+            mine = batch.column(0).to_numpy() == 1
+            if not mine.all():
+                yield batch.filter(pa.array(~mine))
+            hashes, more, ids = (batch.column(i).to_numpy()[mine] for i in (1, 2, 3))
             if not len(hashes):
                 continue
             begins = _begins(hashes, more)
@@ -230,7 +229,7 @@ def _level(window: int, length: int, first: bool, last: bool):
 
 
 def _exchange(rows: DataFrame) -> DataFrame:
-    return rows.repartition("hash", "more").sortWithinPartitions("kind", "hash", "more", "doc_id")
+    return rows.repartition("hash", "more").sortWithinPartitions("hash", "more", "doc_id")
 
 
 def _tagged(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
