@@ -36,7 +36,7 @@ def signatures(unit: np.ndarray, tables: int, projections: int, width: float, se
     return mixed ^ (mixed >> 29)
 
 
-def embedding_links(vectors: DataFrame, *, threshold: float = 0.98, tables: int = 24, projections: int = 10, width: float = 1.0, seed: int = 7, block: int = 4096,
+def embedding_links(vectors: DataFrame, *, threshold: float = 0.98, tables: int = 24, projections: int = 10, width: float = 1.0, seed: int = 7, block: int = 1024,
                     id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
