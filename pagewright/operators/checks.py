@@ -17,13 +17,6 @@ def compare_names(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
     return a.join(b, name, "full_outer").select(name, F.coalesce("in_left", F.lit(False)).alias("in_left"), F.coalesce("in_right", F.lit(False)).alias("in_right"))
 
 
-def pair_lines(chunks: DataFrame, origin: DataFrame, file: str = "file_name", line_no: str = "line_no", line: str = "line") -> DataFrame:
-    """Lines side by side, by file and number: file_name, line_no, chunk_line, origin_line; the missing side is null."""
-    a = chunks.select(F.col(file).alias("file_name"), F.col(line_no).alias("line_no"), F.col(line).alias("chunk_line"))
-    b = origin.select(F.col(file).alias("file_name"), F.col(line_no).alias("line_no"), F.col(line).alias("origin_line"))
-    return a.join(b, ["file_name", "line_no"], "full_outer")
-
-
 def _fault(rule: str, detail: Column | None = None) -> Column:
     return F.struct(F.lit("error").alias("severity"), F.lit(rule).alias("rule"), (detail if detail is not None else F.lit(None)).cast("string").alias("detail"))
 

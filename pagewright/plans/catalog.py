@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formats, omml, text
 from ..operators import checks, chunking, formatting, lookups
-from ..scratch import Scratch
+from ..scratch import Scratch, is_there
 from ..sources import chunks, docx
 from . import documents, samples
 from .adapters import edited_lines, lines, table
@@ -372,6 +372,17 @@ def chunk_files(spark, sf_dir):
     return whole.select(F.regexp_extract("file_name", "chunk_of_([0-9]+)-", 1).cast("long").alias("conv_id"), F.regexp_extract("file_name", "-(.*)$", 1).alias("file_name"), "content")
 
 
+@query("SELECT 'chunk_' || doc_id || '.md' AS file_name, 'READ_FAILED' AS rule, 'error' AS severity FROM documents WHERE doc_id % 7 = 3 UNION ALL SELECT NULL, 'DIR_MISSING', 'error'")
+def read_faults(spark, sf_dir):
+    """Files that are no text, among others that are read; and a folder that is not there."""
+    content = F.col("text").cast("binary")
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("chunk_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file_name"), F.when(F.col("doc_id") % 7 == 3, F.concat(content, F.unhex(F.lit("FF")))).otherwise(content).alias("content"))
+    place = Scratch(spark, "read-faults").path("files")
+    chunks.write_files(files, place if "://" in place else f"file://{place}")
+    folders = spark.createDataFrame([(x, is_there(spark, x)) for x in (place, place + "-none")], "folder string, there boolean")
+    return checks.read_faults(chunks.unread(chunks.read_files(spark, place))).unionByName(checks.missing_folders(folders)).select("file_name", "rule", "severity")
+
+
 @query(f"WITH {_TURNS} SELECT conv_id, para_id, unnest([0, 1, 2])::INT AS run_ord, unnest([true, false, false]) AS bold, unnest([who, said, ' xy']) AS text FROM turns")
 def docx_rebuild(spark, sf_dir):
     """Packages rebuilt from their own chunks and registries: the runs of the result."""
