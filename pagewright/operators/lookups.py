@@ -24,9 +24,9 @@ def last_by(rows: DataFrame, key: Sequence[str], value: str, order: Sequence[str
 def registry_json(categories: DataFrame, doc: str, para: str) -> DataFrame:
     """One row per document: the doc and ``registry``, JSON of each paragraph's baseline and categories (cat_id, label, rpr_xml, cnt)."""
     entry = F.struct(F.col("cat_id").alias("key"), F.struct("label", "rpr_xml", F.col("cnt").alias("count")).alias("value"))
-    paras = categories.groupBy(doc, para).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("categories"), F.min(F.when(F.col("is_baseline"), F.col("cat_id"))).alias("baseline"))
-    entries = F.array_sort(F.collect_list(F.struct(F.col(para).cast("string").alias("key"), F.struct("baseline", F.to_json("categories").alias("c")).alias("value"))))
-    whole = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), F.struct(e["value"]["baseline"].alias("baseline"), F.from_json(e["value"]["c"], _CATEGORIES).alias("categories")).alias("value")))
+    paras = categories.groupBy(doc, F.col(para).cast("string").alias("key")).agg(F.min(F.when(F.col("is_baseline"), F.col("cat_id"))).alias("baseline"), F.array_sort(F.collect_list(entry)).alias("entries"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("key", "baseline", "entries"))),
+                        lambda e: F.struct(e["key"].alias("key"), F.struct(e["baseline"].alias("baseline"), F.map_from_entries(e["entries"]).alias("categories")).alias("value")))
     return paras.groupBy(doc).agg(F.to_json(F.struct(F.col(doc).cast("string").alias("doc_hash"), F.map_from_entries(whole).alias("paragraphs")), {"ignoreNullFields": "false"}).alias("registry"))
 
 

@@ -74,7 +74,9 @@ def rebuild(packages: DataFrame, texts: DataFrame, registries: DataFrame, *, com
     edits = texts.groupBy("doc_hash").agg(F.collect_list(F.struct("para_id", "text")).alias("texts"))
     rows = lookups.registry_rows(F.col("registry"), registries, ["doc_hash"])
     known = rows.groupBy("doc_hash").agg(F.collect_list(F.struct("para_id", "baseline", "cat_id", "rpr_xml")).alias("formats"))
-    joined = packages.select("doc_hash", "content").join(edits, "doc_hash", "left").join(known, "doc_hash", "left")
+    # XML is parsed and written for each row, so the number of tasks must not follow from the bytes
+    parts = int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = packages.select("doc_hash", "content").repartition(parts, "doc_hash").join(edits, "doc_hash", "left").join(known, "doc_hash", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
