@@ -6,7 +6,8 @@ no more than H / slices; that slice is dealt over parts, a few more than that, s
 whose lists are the documents with a part in common: the T - 1 weakest parts of a slice (those of the fewest shingles, which many documents share) are
 set aside, and one of the others agrees at least. Each of these is a signature, in the exchange with a parity bitmap of its
 slice (64 bits; two bitmaps never differ in more bits than the slices do in shingles). Documents with a common signature whose bitmaps allow
-for enough similarity are chained, each to any other. The connected components of the chains are the blocks to search.
+for enough similarity are chained, each to any other; of those that are equal in signature, bitmap and size, one of each batch of texts stands for all in the
+exchange. The connected components of the chains are the blocks to search.
 
 Search. Documents with equal sets are one class, represented once. A block is dealt over chunks of at most ``chunk`` classes. In a chunk,
 each class in turn is a query against the inverted lists: its longest lists are set aside,
@@ -313,6 +314,18 @@ def named(sets: list[np.ndarray], apart: frozenset[int]) -> tuple[np.ndarray, np
     return halves[:, 0], halves[:, 1]
 
 
+def stands_for(keys: np.ndarray, bitmaps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each row one that is equal to it, and the same for all that are: these agree, and with the same rows."""
+    order = np.argsort(mix(keys.view(np.uint64) ^ mix(mix(bitmaps.view(np.uint64)) + sizes.view(np.uint64))), kind="stable")
+    begins = np.ones(len(order), bool)
+    for x in (keys[order], bitmaps[order], sizes[order]):
+        begins[1:] &= x[1:] == x[:-1]
+    begins[1:] = ~begins[1:]
+    out = np.empty(len(order), np.int64)
+    out[order] = order[np.maximum.accumulate(np.where(begins, np.arange(len(order)), 0))] if len(order) else order
+    return out
+
+
 def _chained(texts: DataFrame, k: int, similarity: Fraction, apart: frozenset[int]) -> DataFrame:
     """ROWS of kind 0, for each text, and 2, for classes that may be similar."""
     def signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +337,12 @@ def _chained(texts: DataFrame, k: int, similarity: Fraction, apart: frozenset[in
                 yield _rows(0, others, nodes, part.column(0), pa.array([len(x) for x in sets], pa.int64()))
                 once = sorted({node: i for i, node in enumerate(nodes.tolist()) if len(sets[i])}.values())
                 owner, keys, bitmaps, sizes = signatures([sets[i] for i in once], windows)
-                yield _rows(1, keys, nodes[once][owner], bitmaps, sizes)
+                names = nodes[once][owner]
+                alike = stands_for(keys, bitmaps, sizes)
+                heads, others = alike == np.arange(len(alike)), np.flatnonzero(alike != np.arange(len(alike)))
+                links = np.unique(np.stack([names[others], names[alike[others]]], axis=1), axis=0)
+                yield _rows(2, links[:, 0], links[:, 1])
+                yield _rows(1, keys[heads], names[heads], bitmaps[heads], sizes[heads])
 
     # Only signatures need to meet; what is known of documents rides along.
     shuffled = texts.mapInArrow(signed_rows, ROWS).repartition("key").sortWithinPartitions("key", "node")
@@ -332,8 +350,8 @@ def _chained(texts: DataFrame, k: int, similarity: Fraction, apart: frozenset[in
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(similarity)
         for kind, keys, nodes, bitmaps, sizes in _by_key(batches):
-            if kind == 0:
-                yield _rows(0, keys, nodes, bitmaps, sizes)
+            if kind != 1:
+                yield _rows(kind, keys, nodes, bitmaps, sizes)
                 continue
             once = (np.diff(keys, prepend=keys[:1] - 1) != 0) | (np.diff(nodes, prepend=nodes[:1] - 1) != 0)  # batches repeat what is equal
             links = chains(keys[once], nodes[once], Agree(bitmaps[once], sizes[once], windows))
@@ -343,14 +361,15 @@ def _chained(texts: DataFrame, k: int, similarity: Fraction, apart: frozenset[in
 
 
 def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Of rows sorted by key: those of kind 0 as they come, with x as it is (it may hold nulls); others in arrays of whole keys, with further columns if there are any."""
+    """Of rows sorted by key: those of kinds 0 and 2 as they come, with x and y as they are (they may hold nulls); others in arrays of whole keys, with further columns if there are any."""
     held: list[list[np.ndarray]] = []  # the rows of the last key so far
     for batch in batches:
-        mine = batch.column(0).to_numpy() == 1
-        if not mine.all():
-            rest = batch.filter(pa.array(~mine))
-            yield 0, rest.column(1).to_numpy(), rest.column(2).to_numpy(), rest.column(3), rest.column(4)
-            batch = batch.filter(pa.array(mine))
+        kinds = batch.column(0).to_numpy()
+        for kind in (0, 2):
+            rest = batch.filter(pa.array(kinds == kind))
+            if rest.num_rows:
+                yield kind, rest.column(1).to_numpy(), rest.column(2).to_numpy(), rest.column(3), rest.column(4)
+        batch = batch.filter(pa.array(kinds == 1))
         if not batch.num_rows:
             continue
         rows = [x.to_numpy(zero_copy_only=False) for x in batch.columns[1:]]

@@ -156,6 +156,15 @@ def test_similar_sets_have_a_signature_in_common_and_agree(similarity):
                 assert agree(pairs[:, 0], pairs[:, 1]).any(), (len(x), len(y), shared)
 
 
+def test_equal_rows_have_one_that_stands_for_them():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 200):
+        keys, bitmaps, sizes = (rng.integers(-2, 2, n) for _ in range(3))
+        found = jaccard.stands_for(keys, bitmaps, sizes)
+        rows_ = list(zip(keys, bitmaps, sizes, strict=True))
+        assert all(rows_[f] == r for f, r in zip(found, rows_, strict=True)) and len(set(found.tolist())) == len(set(rows_))
+
+
 def test_classes_with_one_name_are_told_apart(docs, documents, monkeypatch):
     monkeypatch.setattr(jaccard, "digest_of", one_name)
     same(jaccard.jaccard_components(docs), brute.jaccard(documents))
