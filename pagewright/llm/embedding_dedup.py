@@ -15,13 +15,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .linking import Groups
+from .linking import hook
 from .scratch import Scratch
 
 
@@ -73,11 +72,9 @@ def embedding_links(vectors: DataFrame, *, threshold: float = 0.98, tables: int
     pairs = placed.withColumn("other", other).select("node", *bucket, F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part")
     full_rows = pairs.join(classes.select("node", "vector", "weight"), "node").join(cells, "node")
 
-    def linked(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
-        table, one, two = key[2], key[4], key[5]
-        return _block(batch, int(table), int(one), int(two), threshold)
-
-    found = scratch.save(full_rows.groupBy(*bucket, "one", "two").applyInPandas(linked, "node string, links long, root string"), "found")
+    shape = ["node", *bucket, "one", "two", "part", "weight", "vector", "cells"]
+    dealt_out = full_rows.select(*shape).repartition(*bucket, "one", "two").sortWithinPartitions(*bucket, "one", "two", "node")
+    found = scratch.save(dealt_out.mapInArrow(_linked(threshold, shape.index("one")), "node string, links long, root string"), "found")
     roots = components(found.where("root is not null").select(F.col("node").alias("a"), F.col("root").alias("b")), scratch, "components")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     nodes = classes.select("node", "weight").join(counts, "node", "left").join(roots, "node", "left").select("node", "weight", "links", F.coalesce("root", "node").alias("root"))
@@ -97,25 +94,77 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
 
 
-def _block(batch: pd.DataFrame, table: int, one: int, two: int, threshold: float) -> pd.DataFrame:
-    """Links between the block ``one`` and the block ``two`` of a bucket, or within one; each class's links count the rows of the other's class."""
-    batch = batch.sort_values("node", ignore_index=True)
-    unit = _unit(np.stack(batch["vector"].to_numpy()))
-    earlier = np.stack(batch["cells"].to_numpy())[:, :table]
-    weight, part = batch["weight"].to_numpy(), batch["part"].to_numpy()
-    left, right = np.flatnonzero(part == one), np.flatnonzero(part == two)
-    links, groups = np.zeros(len(batch), np.int64), Groups(len(batch))
-    for low in range(0, len(left), TILE):
-        i, j = np.nonzero(unit[left[low:low + TILE]] @ unit[right].T >= threshold)
-        i, j = left[low + i], right[j]
-        if one == two:
-            i, j = i[i < j], j[i < j]
-        for t in range(earlier.shape[1]):
-            fresh = earlier[i, t] != earlier[j, t]
-            i, j = i[fresh], j[fresh]
-        links += np.bincount(i, weight[j], minlength=len(batch)).astype(np.int64) + np.bincount(j, weight[i], minlength=len(batch)).astype(np.int64)
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            groups.join(x, y)
-    node = batch["node"].to_numpy()
-    out = pd.DataFrame({"node": node, "links": links, "root": [node[groups.find(x)] for x in range(len(node))]})
-    return out[out["links"] > 0]
+#: Classes of a bucket whose pairs are compared along with those of others; a larger one is a matrix product of its own.
+FEW = 24
+
+
+def _linked(threshold: float, at: int):
+    """Rows sorted by bucket and pair of blocks, as node, what names these (``at``: the first block's column), part, weight, vector, cells: to node, links, root."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+            begins = _begins(rows, at)
+            if len(begins) > 1:  # the last bucket may go on
+                yield from _links(rows.slice(0, begins[-1]), begins[:-1], at, threshold)
+                rows = rows.slice(begins[-1])
+            held = [rows]
+        if held:
+            yield from _links(held[0], np.zeros(1, np.int64), at, threshold)
+
+    return run
+
+
+def _begins(rows: pa.RecordBatch, at: int) -> np.ndarray:
+    """Where each bucket's pair of blocks begins."""
+    new = np.zeros(rows.num_rows, bool)
+    new[0] = True
+    for i in range(1, at + 2):
+        x = rows.column(i).to_numpy(zero_copy_only=False)
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _links(rows: pa.RecordBatch, begins: np.ndarray, at: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Each class's links, which count the rows of the other's class, and a class that it is connected with."""
+    dims = rows.column(2).to_numpy()
+    edges = [0, *begins[1:][np.diff(dims[begins]) != 0].tolist(), rows.num_rows]
+    for low, high in zip(edges, edges[1:]):
+        part, starts = rows.slice(low, high - low), begins[(begins >= low) & (begins < high)] - low
+        dim, n = int(dims[low]), high - low
+        unit = _unit(part.column(at + 4).flatten().to_numpy().reshape(n, dim))
+        cells = part.column(at + 5).flatten().to_numpy().reshape(n, -1)
+        table, one, two, block, weight = (part.column(i).to_numpy() for i in (3, at, at + 1, at + 2, at + 3))
+        links, up = np.zeros(n, np.int64), np.arange(n)
+
+        def told(i: np.ndarray, j: np.ndarray) -> None:
+            nonlocal links, up
+            for t in range(cells.shape[1]):  # a pair that meets in an earlier table is counted there
+                fresh = (cells[i, t] != cells[j, t]) | (table[i] <= t)
+                i, j = i[fresh], j[fresh]
+            for x, y in ((i, j), (j, i)):
+                links += np.bincount(x, weight[y], minlength=n).astype(np.int64)
+            up = hook(up, i, j)
+
+        sizes = np.diff(starts, append=n)
+        few = np.repeat(sizes <= FEW, sizes)
+        left = np.repeat(starts + sizes, sizes) - np.arange(n)  # rows from here to the bucket's end
+        for step in range(1, min(FEW, int(sizes.max()))):
+            i = np.flatnonzero(few & (left > step))
+            i = i[(one[i] == two[i]) | (block[i] != block[i + step])]
+            i = i[np.einsum("ij,ij->i", unit[i], unit[i + step]) >= threshold]
+            told(i, i + step)
+        for begin, size in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+            here = np.arange(begin, begin + size)
+            mine, other = here[block[here] == one[begin]], here[block[here] == two[begin]]
+            for tile in range(0, len(mine), TILE):
+                i, j = np.nonzero(unit[mine[tile:tile + TILE]] @ unit[other].T >= threshold)
+                i, j = mine[tile + i], other[j]
+                if one[begin] == two[begin]:
+                    i, j = i[i < j], j[i < j]
+                told(i, j)
+        some = np.flatnonzero(links > 0)
+        node = part.column(0)
+        yield pa.RecordBatch.from_arrays([node.take(pa.array(some)), pa.array(links[some]), node.take(pa.array(up[some]))], names=["node", "links", "root"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm import embedding_dedup, exact_dedup, jaccard, substring_dedup
 from pagewright.llm.components import components
+from pagewright.llm.linking import hook
 from pagewright.llm.scratch import Scratch
 
 
@@ -223,6 +224,14 @@ def test_embedding_recall_at_the_threshold(spark):
     assert got.agg(F.sum("n_links")).first()[0] >= 0.95 * 600
 
 
+def test_many_links_at_once():
+    rng = np.random.default_rng(8)
+    for n, m in ((50, 0), (50, 30), (300, 200), (300, 5000)):
+        x, y = rng.integers(0, n, (2, m))
+        half = m // 2
+        assert hook(hook(np.arange(n), x[:half], y[:half]), x[half:], y[half:]).tolist() == brute.components(n, zip(x.tolist(), y.tolist(), strict=True))
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(400, 460)] + [(7, 7)]
