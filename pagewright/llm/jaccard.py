@@ -194,15 +194,23 @@ def digest_of(items: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(items.tobytes())
 
 
+#: Long lists that are probed before the candidates that are out of reach are dropped.
+PROBES = 64
+
+
 def links_of(sets: list[np.ndarray], queries: list[int], similarity: Fraction, groups: Groups) -> None:
     """Joins in ``groups`` whatever links with a query; DivideSkip, but for what is connected with the query already.
 
     The queries come first in ``sets``, so a query searches only what comes after it.
     """
     sizes = np.array([len(x) for x in sets])
-    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    of = np.split(token, np.cumsum(sizes)[:-1])  # each set's lists, by number
+    entries = np.sort(token * len(sets) + owner)  # all lists, one behind the other
+    owner = entries % len(sets)
+    ends = np.cumsum(np.bincount(token))
+    lengths = np.diff(ends, prepend=0)
     heads = np.array([groups.find(x) for x in range(len(sets))])
     up, down = similarity.numerator, similarity.denominator
     for q in queries:
@@ -211,26 +219,26 @@ def links_of(sets: list[np.ndarray], queries: list[int], similarity: Fraction, g
         near[:q] = False
         if not near.any():
             continue
-        low, high = np.searchsorted(tokens, sets[q], "left"), np.searchsorted(tokens, sets[q], "right")
-        shared = np.flatnonzero(high - low > 1)
         least = min_overlap(n, int(sizes[near].min()), up, down)
-        if len(shared) < least:
-            continue
-        lists = [x for x in (members[near[members]] for members in (owner[a:b] for a, b in zip(low[shared].tolist(), high[shared].tolist(), strict=True))) if len(x)]
+        lists = of[q][lengths[of[q]] > 1]
         if len(lists) < least:
             continue
-        lists.sort(key=len)
-        short, long = lists[:len(lists) - least + 1], lists[len(lists) - least + 1:]  # T - 1 of the longest are set aside
-        others, found = (np.array(x) for x in zip(*merged([x.tolist() for x in short]), strict=True))
+        lists = lists[np.argsort(lengths[lists], kind="stable")]
+        cut = len(lists) - least + 1  # T - 1 of the longest are set aside
+        short = [x for x in (x[near[x]].tolist() for x in (owner[ends[i] - lengths[i]:ends[i]] for i in lists[:cut].tolist())) if x]
+        if not short:
+            continue
+        others, found = (np.array(x) for x in zip(*merged(short), strict=True))
         needed = -(-up * (n + sizes[others]) // (up + down))
-        for left, one in zip(range(len(long), 0, -1), long, strict=True):  # a probe of all that can still reach T, by binary search
-            alive = found + left >= needed
+        long = lists[cut:][::-1]
+        for low in range(0, len(long), PROBES):  # a probe of all that can still reach T, by binary search
+            alive = found + len(long) - low >= needed
             if not alive.all():
                 others, found, needed = others[alive], found[alive], needed[alive]
             if not len(others):
                 break
-            at = np.searchsorted(one, others)
-            found = found + (one[np.minimum(at, len(one) - 1)] == others)
+            wanted = long[low:low + PROBES] * len(sets) + others[:, None]
+            found = found + (entries[np.minimum(np.searchsorted(entries, wanted), len(entries) - 1)] == wanted).sum(1)
         for other in others[found >= needed].tolist():
             if groups.join(q, other):
                 head, a, b = groups.find(q), heads[q], heads[other]
