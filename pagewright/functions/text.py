@@ -102,30 +102,33 @@ def tag_types(line: Column) -> Column:
 def tag_faults(line: Column) -> Column:
     """Faults of the line's tags, in order, as (rule, found, expected): an extra close, a close that does not match, a tag left open.
 
-    A fold over the tags with the open ones as a stack; a close takes the last open tag even if it does not match.
+    A fold over the tags with the open ones as a stack; a close takes the last open tag even if it does not match. Spark copies a fold's state at each step, item by
+    item, so stack and faults are strings, which are copied at once: names that end in ``>``, and faults of a letter and names, with spaces, which no name holds.
     """
-    tokens = F.regexp_extract_all(line, F.lit(rf"(?U)</?{TAG_NAME}*>"), F.lit(0))
-    fault = "array<struct<rule:string,found:string,expected:string>>"
-    start = F.struct(F.array().cast("array<string>").alias("open"), F.array().cast(fault).alias("faults"))
-
-    def of(rule: str, found: Column, expected: Column) -> Column:
-        return F.struct(F.lit(rule).alias("rule"), found.alias("found"), expected.alias("expected"))
+    found = F.regexp_extract_all(line, F.lit(rf"(?U)</?{TAG_NAME}*>"), F.lit(0))
+    tokens = F.transform(found, lambda x: F.struct(F.startswith(x, F.lit("</")).alias("closes"), F.regexp_replace(x, "^</?", "").alias("name")))
 
     def step(state: Column, token: Column) -> Column:
-        closes = F.startswith(token, F.lit("</"))
-        name = F.regexp_replace(token, "^</?|>$", "")
-        depth = F.size(state["open"])
-        top = F.get(state["open"], depth - 1)
-        shorter = F.slice(state["open"], F.lit(1), F.greatest(depth - 1, F.lit(0)))
-        none = F.lit(None).cast("string")
-        faults = (F.when(closes & (depth == 0), F.array_append(state["faults"], of("TAG_EXTRA_CLOSE", name, none)))
-                  .when(closes & (top != name), F.array_append(state["faults"], of("TAG_MISMATCH", name, top))).otherwise(state["faults"]))
-        return F.struct(F.when(closes, shorter).otherwise(F.array_append(state["open"], name)).alias("open"), faults.alias("faults"))
+        (closes, name), (stack, faults) = (token["closes"], token["name"]), (state["open"], state["faults"])
+        top = F.substring_index(stack, ">", -2)
+        shorter = F.left(stack, F.length(stack) - F.length(top))
+        told = (F.when(closes & (stack == ""), F.concat(faults, F.lit("x "), name))
+                .when(closes & (top != name), F.concat(faults, F.lit("m "), F.rtrim(name, F.lit(">")), F.lit(" "), top)).otherwise(faults))
+        return F.struct(F.when(closes, shorter).otherwise(F.concat(stack, name)).alias("open"), told.alias("faults"))
+
+    def listed(joined: Column) -> Column:
+        parts = F.split(joined, ">")
+        return F.slice(parts, F.lit(1), F.size(parts) - 1)
+
+    def fault(words: Column) -> Column:
+        rule = F.when(words[0] == "x", "TAG_EXTRA_CLOSE").when(words[0] == "m", "TAG_MISMATCH").otherwise("TAG_UNCLOSED")
+        return F.struct(rule.alias("rule"), words[1].alias("found"), F.get(words, F.lit(2)).alias("expected"))
 
     def finish(state: Column) -> Column:
-        return F.concat(state["faults"], F.transform(state["open"], lambda x: of("TAG_UNCLOSED", x, F.lit(None).cast("string"))))
+        unclosed = F.transform(listed(state["open"]), lambda x: F.array(F.lit("u"), x))
+        return F.transform(F.concat(F.transform(listed(state["faults"]), lambda x: F.split(x, " ")), unclosed), fault)
 
-    return F.aggregate(tokens, start, step, finish)
+    return F.aggregate(tokens, F.struct(F.lit("").alias("open"), F.lit("").alias("faults")), step, finish)
 
 
 def segments(text: Column) -> Column:

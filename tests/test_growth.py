@@ -30,3 +30,12 @@ def test_chunks_of_one_long_document(spark):
 
     took(lines(100))
     assert took(lines(400_000)) < 8 * max(took(lines(100_000)), 0.3)
+
+
+@pytest.mark.parametrize("piece", ["<b>", "</b>", "<b></i>", "<b>x</b>"])
+def test_faults_of_a_line_of_many_tags(spark, piece):
+    def line(n):
+        return spark.range(1).select(text.tag_faults(F.concat(F.repeat(F.lit(piece), n), F.col("id").cast("string"))).alias("x"))
+
+    took(line(100))
+    assert took(line(32_000)) < 8 * max(took(line(8_000)), 0.5)
