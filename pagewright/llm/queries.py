@@ -6,8 +6,9 @@ from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, exact_dedup, jaccard, mixing, packing, quality, sharding, substring_dedup, warc
+from . import chat, embedding_dedup, exact_dedup, golden, jaccard, mixing, packing, quality, sharding, substring_dedup, warc
 
 WEIGHTS = {f"src{i}": 1.0 + i % 4 for i in range(20)}
 CRAWLED = "2024-01-01T00:00:00Z"
@@ -64,9 +65,14 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses(table(spark, sf_dir, "pages"), date=CRAWLED))
 
 
+def op12_golden_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = golden.golden_records(table(spark, sf_dir, "clients"))
+    return found.withColumn("balance_cents", F.floor(100 * F.col("balance") + 0.5).cast("long")).drop("balance")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_chat_format, op4_quality_classifier, op5_substring_dedup,
-                            op6_embedding_dedup, op7_jaccard_join, op8_exact_dedup, op9_shard_by_bytes, op10_warc_derivatives)}
+                            op6_embedding_dedup, op7_jaccard_join, op8_exact_dedup, op9_shard_by_bytes, op10_warc_derivatives, op12_golden_records)}
 
 _WEIGHTS_SQL = ", ".join(f"('{k}', {v})" for k, v in WEIGHTS.items())
 
@@ -130,4 +136,18 @@ ORACLE_SQL: dict[str, str] = {
         reach AS (SELECT one, two FROM links UNION SELECT r.one, l.two FROM reach r JOIN links l ON r.two = l.one),
         least AS (SELECT one, min(two) AS two FROM reach GROUP BY one)
         SELECT doc_id, len(items)::BIGINT AS n_shingles, least(doc_id, coalesce(two, doc_id)) AS component_id FROM sets LEFT JOIN least ON doc_id = one""",
+    "op12_golden_records": r"""
+        WITH r AS (SELECT coalesce(master_id, client_id) AS cluster_id, client_id, updated_at, coalesce(list_position(['crm', 'web', 'store', 'partner'], source), 5) AS level, nation_id, balance,
+                CASE WHEN NOT regexp_full_match(name, '[\x20\x09-\x0D]*') THEN name END AS name, CASE WHEN NOT regexp_full_match(email, '[\x20\x09-\x0D]*') THEN email END AS email,
+                CASE WHEN NOT regexp_full_match(segment, '[\x20\x09-\x0D]*') THEN segment END AS segment, CASE WHEN NOT regexp_full_match(city, '[\x20\x09-\x0D]*') THEN city END AS city FROM clients),
+        f AS (SELECT *, coalesce(updated_at < max(updated_at) OVER (PARTITION BY cluster_id) - INTERVAL 1440 HOUR, true) AS stale, (city IS NOT NULL)::INT + (nation_id IS NOT NULL)::INT AS given FROM r),
+        s AS (SELECT *, first_value(segment) OVER (PARTITION BY cluster_id ORDER BY segment IS NULL, updated_at DESC NULLS LAST, level, client_id) AS chosen FROM f),
+        best AS (SELECT cluster_id, count(*) AS n_records, count_if(stale) AS n_stale,
+                first({'v': name, 'c': client_id} ORDER BY length(name) DESC, stale, level, updated_at DESC NULLS LAST, client_id) FILTER (name IS NOT NULL) AS n,
+                first({'v': email, 'c': client_id} ORDER BY stale, level, updated_at DESC NULLS LAST, client_id) FILTER (email IS NOT NULL) AS e,
+                first({'v': segment, 'c': client_id} ORDER BY updated_at DESC NULLS LAST, level, client_id) FILTER (segment IS NOT NULL) AS g,
+                first({'v': balance, 'c': client_id} ORDER BY segment IS DISTINCT FROM chosen, updated_at DESC NULLS LAST, level, client_id) FILTER (balance IS NOT NULL) AS b,
+                first({'city': city, 'nation': nation_id, 'c': client_id} ORDER BY given DESC, stale, level, updated_at DESC NULLS LAST, client_id) FILTER (given > 0) AS a FROM s GROUP BY cluster_id)
+        SELECT cluster_id, n_records, n_stale::BIGINT AS n_stale, n.v AS name, e.v AS email, g.v AS segment, a.city AS city, a.nation AS nation_id, floor(100 * b.v + 0.5)::BIGINT AS balance_cents,
+            n.c AS name_from, e.c AS email_from, g.c AS segment_from, b.c AS balance_from, a.c AS address_from FROM best""",
 }
