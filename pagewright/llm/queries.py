@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, exact_dedup, golden, jaccard, mixing, packing, quality, sharding, substring_dedup, warc
+from . import bpe, chat, embedding_dedup, exact_dedup, golden, jaccard, mixing, packing, quality, search, sharding, substring_dedup, warc
 
 WEIGHTS = {f"src{i}": 1.0 + i % 4 for i in range(20)}
 CRAWLED = "2024-01-01T00:00:00Z"
@@ -65,14 +65,24 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses(table(spark, sf_dir, "pages"), date=CRAWLED))
 
 
+def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), vocabulary()), vocabulary())
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op12_golden_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = golden.golden_records(table(spark, sf_dir, "clients"))
     return found.withColumn("balance_cents", F.floor(100 * F.col("balance") + 0.5).cast("long")).drop("balance")
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_chat_format, op4_quality_classifier, op5_substring_dedup,
-                            op6_embedding_dedup, op7_jaccard_join, op8_exact_dedup, op9_shard_by_bytes, op10_warc_derivatives, op12_golden_records)}
+                            op6_embedding_dedup, op7_jaccard_join, op8_exact_dedup, op9_shard_by_bytes, op10_warc_derivatives, op11_bpe_round_trip,
+                            op12_golden_records, op13_ranked_search)}
 
 _WEIGHTS_SQL = ", ".join(f"('{k}', {v})" for k, v in WEIGHTS.items())
 
@@ -150,4 +160,13 @@ ORACLE_SQL: dict[str, str] = {
                 first({'city': city, 'nation': nation_id, 'c': client_id} ORDER BY given DESC, stale, level, updated_at DESC NULLS LAST, client_id) FILTER (given > 0) AS a FROM s GROUP BY cluster_id)
         SELECT cluster_id, n_records, n_stale::BIGINT AS n_stale, n.v AS name, e.v AS email, g.v AS segment, a.city AS city, a.nation AS nation_id, floor(100 * b.v + 0.5)::BIGINT AS balance_cents,
             n.c AS name_from, e.c AS email_from, g.c AS segment_from, b.c AS balance_from, a.c AS address_from FROM best""",
+    "op13_ranked_search": r"""
+        WITH docs AS (SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents WHERE text IS NOT NULL),
+        known AS (SELECT *, len(terms) AS n FROM docs WHERE len(terms) > 0), totals AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM known),
+        asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+        tf AS (SELECT row_no, doc_id, n, term, count(*) AS tf FROM (SELECT row_no, doc_id, n, unnest(terms) AS term FROM known) SEMI JOIN asked USING (term) GROUP BY ALL),
+        weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), totals),
+        scores AS (SELECT item_id, row_no, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+            FROM asked JOIN weights USING (term) JOIN tf USING (term), totals GROUP BY ALL)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= 10""",
 }
