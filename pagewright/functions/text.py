@@ -99,36 +99,53 @@ def tag_types(line: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(items, lambda x: F.contains(x, F.lit("=")))))
 
 
+_TOKEN = "struct<name:string,closes:boolean,sum:int,low:int>"
+_PLACED = "struct<level:int,at:int,closes:boolean,name:string>"
+
+
+def _sums(tokens: Column) -> Column:
+    """Tokens with ``sum``: all steps so far added up, and ``low``: the least sum so far, or 0. Each round adds what is twice as far back, so it takes as many as the number of tokens has digits."""
+    def add(before: Column, token: Column) -> Column:
+        return F.struct(token["name"].alias("name"), token["closes"].alias("closes"), (before["sum"] + token["sum"]).alias("sum"), F.least(before["low"], before["sum"] + token["low"]).alias("low"))
+
+    def further(sums: Column, far: Column) -> Column:
+        none = F.struct(F.lit("").alias("name"), F.lit(False).alias("closes"), F.lit(0).alias("sum"), F.lit(0).alias("low"))
+        back = F.concat(F.array_repeat(none, far), F.slice(sums, F.lit(1), F.size(sums) - far))
+        return F.zip_with(back, sums, add)
+
+    # a number of n binary digits is at most so many steps away from the first
+    rounds = F.transform(F.sequence(F.lit(0), F.length(F.bin(F.greatest(F.size(tokens) - 1, F.lit(0)))) - 1), lambda i: F.pow(F.lit(2), i).cast("int"))
+    return F.aggregate(F.filter(rounds, lambda far: far < F.size(tokens)), tokens, lambda sums, far: further(sums, far).cast(f"array<{_TOKEN}>"))
+
+
 def tag_faults(line: Column) -> Column:
     """Faults of the line's tags, in order, as (rule, found, expected): an extra close, a close that does not match, a tag left open.
 
-    A fold over the tags with the open ones as a stack; a close takes the last open tag even if it does not match. Spark copies a fold's state at each step, item by
-    item, so stack and faults are strings, which are copied at once: names that end in ``>``, and faults of a letter and names, with spaces, which no name holds.
+    A close takes the last open tag even if it does not match, so tags are paired by depth alone: the sum of opens less closes, less what it fell below 0. Sorted by depth and place, an open
+    tag stands before the close that takes it; a close with none before it at its depth is extra, an open tag with none after it is left open.
     """
     found = F.regexp_extract_all(line, F.lit(rf"(?U)</?{TAG_NAME}*>"), F.lit(0))
-    tokens = F.transform(found, lambda x: F.struct(F.startswith(x, F.lit("</")).alias("closes"), F.regexp_replace(x, "^</?", "").alias("name")))
 
-    def step(state: Column, token: Column) -> Column:
-        (closes, name), (stack, faults) = (token["closes"], token["name"]), (state["open"], state["faults"])
-        top = F.substring_index(stack, ">", -2)
-        shorter = F.left(stack, F.length(stack) - F.length(top))
-        told = (F.when(closes & (stack == ""), F.concat(faults, F.lit("x "), name))
-                .when(closes & (top != name), F.concat(faults, F.lit("m "), F.rtrim(name, F.lit(">")), F.lit(" "), top)).otherwise(faults))
-        return F.struct(F.when(closes, shorter).otherwise(F.concat(stack, name)).alias("open"), told.alias("faults"))
+    def token(tag: Column) -> Column:
+        closes = F.startswith(tag, F.lit("</"))
+        return F.struct(F.regexp_replace(tag, "^</?|>$", "").alias("name"), closes.alias("closes"), F.when(closes, -1).otherwise(1).alias("sum"), F.when(closes, -1).otherwise(0).alias("low")).cast(_TOKEN)
 
-    def listed(joined: Column) -> Column:
-        parts = F.split(joined, ">")
-        return F.slice(parts, F.lit(1), F.size(parts) - 1)
+    def place(x: Column, at: Column) -> Column:
+        return F.struct((x["sum"] - x["low"] + x["closes"].cast("int")).alias("level"), at.alias("at"), x["closes"].alias("closes"), x["name"].alias("name")).cast(_PLACED)
 
-    def fault(words: Column) -> Column:
-        rule = F.when(words[0] == "x", "TAG_EXTRA_CLOSE").when(words[0] == "m", "TAG_MISMATCH").otherwise("TAG_UNCLOSED")
-        return F.struct(rule.alias("rule"), words[1].alias("found"), F.get(words, F.lit(2)).alias("expected"))
+    def fault(left: Column, right: Column) -> Column:
+        told = lambda last, at, rule, name, expected: F.struct(F.lit(last).alias("last"), at.alias("at"), F.lit(rule).alias("rule"), name.alias("found"), expected.cast("string").alias("expected"))
+        beside = F.coalesce(left["level"] == right["level"], F.lit(False))
+        taken = beside & ~F.coalesce(left["closes"], F.lit(True))
+        return (F.when(right["closes"] & ~taken, told(0, right["at"], "TAG_EXTRA_CLOSE", right["name"], F.lit(None)))
+                .when(right["closes"] & (left["name"] != right["name"]), told(0, right["at"], "TAG_MISMATCH", right["name"], left["name"]))
+                .when(~left["closes"] & ~beside, told(1, left["at"], "TAG_UNCLOSED", left["name"], F.lit(None))))
 
-    def finish(state: Column) -> Column:
-        unclosed = F.transform(listed(state["open"]), lambda x: F.array(F.lit("u"), x))
-        return F.transform(F.concat(F.transform(listed(state["faults"]), lambda x: F.split(x, " ")), unclosed), fault)
-
-    return F.aggregate(tokens, F.struct(F.lit("").alias("open"), F.lit("").alias("faults")), step, finish)
+    none = F.array(F.lit(None).cast(_PLACED))
+    sorted_once = F.array(F.array_sort(F.transform(_sums(F.transform(found, token)), place)))  # a list of one list, so that each use of it in the function is of what was made once
+    faults = F.transform(sorted_once, lambda tags: F.zip_with(F.concat(none, tags), F.concat(tags, none), fault))[0]
+    listed = F.array_sort(F.filter(faults, lambda f: f.isNotNull()))
+    return F.when(line.isNotNull(), F.transform(listed, lambda f: F.struct(f["rule"].alias("rule"), f["found"].alias("found"), f["expected"].alias("expected"))))
 
 
 def segments(text: Column) -> Column:
@@ -147,3 +164,16 @@ def equation_tag(formula: Column) -> Column:
     number = F.nullif(F.regexp_extract(formula, r"\\tag\{([^}]+)\}", 1), F.lit(""))
     before = F.regexp_replace(F.regexp_extract(formula, r"(?s)^(.*?)\\tag\{[^}]+\}", 1), r"(?U)\s+$", "")
     return F.struct(F.when(number.isNotNull(), before).otherwise(formula).alias("formula"), F.when(number.isNotNull(), F.concat(F.lit("("), number, F.lit(")"))).alias("tag"))
+
+
+def format_parts(text: Column, formats: Column, baseline: Column, *, compat: bool = False) -> Column:
+    """The text in order as an array of (is_formula, text, props): tagged parts with the properties that ``formats``, a map by category, has for them, others with ``baseline``.
+
+    ``compat``: formulas part the text first, so tags around one become text.
+    """
+    props = lambda cat: F.when(cat.isNull(), baseline).otherwise(F.try_element_at(formats, cat))
+    part = lambda formula, t, p: F.struct(formula.alias("is_formula"), t.alias("text"), p.alias("props"))
+    if compat:
+        of_text = lambda t: F.transform(segments(t), lambda s: part(F.lit(False), s["text"], props(s["cat_id"])))
+        return F.flatten(F.transform(split_formulas(text), lambda p: F.when(p["is_formula"], F.array(part(F.lit(True), p["text"], F.lit(None).cast("string")))).otherwise(of_text(p["text"]))))
+    return F.flatten(F.transform(segments(text), lambda s: F.transform(split_formulas(s["text"]), lambda p: part(p["is_formula"], p["text"], props(s["cat_id"])))))

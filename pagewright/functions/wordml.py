@@ -10,11 +10,12 @@ import io
 import re
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from typing import NamedTuple
+from xml.parsers import expat
 
 from .omml import W, local, to_latex, to_omml
-from .text import CATEGORY_TAG, DELIMITED, FORMULA_ONLY, ILLEGAL
+from .text import FORMULA_ONLY, ILLEGAL
 
 W14 = "{http://schemas.microsoft.com/office/word/2010/wordml}"
 SPACE = "{http://www.w3.org/XML/1998/namespace}space"
@@ -119,8 +120,7 @@ def read_runs(xml: bytes, *, compat: bool = False) -> list[Run]:
     return out
 
 
-_SPLIT, _TAG, _ILLEGAL = re.compile(f"({DELIMITED})", re.S), re.compile(CATEGORY_TAG), re.compile(ILLEGAL)
-_ONLY = re.compile(FORMULA_ONLY)
+_ILLEGAL, _ONLY = re.compile(ILLEGAL), re.compile(FORMULA_ONLY)
 _NUMBER = re.compile(r"\\tag\{([^}]+)\}")
 
 
@@ -130,28 +130,6 @@ def outline(xml: bytes) -> Iterator[tuple[int, str]]:
         yield at, " ".join(local(x.tag) + (f"({','.join(local(y.tag) for y in x)})" if local(x.tag) == "r" else "") for x in para)
 
 
-def segments(text: str) -> Iterator[tuple[str, str | None]]:
-    at = 0
-    for m in _TAG.finditer(text):
-        yield text[at:m.start()], None
-        yield m[2], m[1]
-        at = m.end()
-    yield text[at:], None
-
-
-def pieces(text: str, compat: bool) -> Iterator[tuple[str, str, str | None]]:
-    """(kind, text, category) in order. ``compat``: formulas part the text first, so tags around one become text."""
-    outer = [(text, None)] if compat else list(segments(text))
-    for part, category in outer:
-        for i, x in enumerate(_SPLIT.split(part)):
-            if i % 2 and len(x) > (4 if x.startswith("$$") else 2):
-                yield "formula", x.strip("$").strip(), None
-            elif x:
-                for y, own in segments(x) if compat else [(x, category)]:
-                    if y:
-                        yield "text", y, own
-
-
 def text_run(text: str, props: ET.Element | None, compat: bool) -> ET.Element:
     text = _ILLEGAL.sub("", text)
     out = ET.Element(W + "r")
@@ -179,26 +157,23 @@ def only_formula(text: str) -> tuple[str, str | None] | None:
     return m[1], m[2].strip() if m[2] else None
 
 
-def rebuild_paragraph(para: ET.Element, text: str, formats: Mapping[str | None, str | None], compat: bool) -> None:
-    """Puts the text into the paragraph. ``formats``: properties of each category, and under None of the baseline.
+def rebuild_paragraph(para: ET.Element, text: str, parts: Sequence[tuple[bool, str, str | None]], base: str | None, compat: bool) -> None:
+    """Puts the text into the paragraph. ``parts``: the text in order as (whether it is a formula, text, properties); ``base``: properties of the baseline.
 
     What holds no text that was read stays where it is, and runs of text with a picture keep the picture. ``compat``: only paragraph properties, bookmarks,
     pictures without text and alternate content are kept, after the text.
     """
     runs = [x for x in para if x.tag == W + "r"]
     tabs = [copy.deepcopy(x) for x in runs if x.find(W + "tab") is not None and x.find(W + "t") is None]
-    props = {k: parse_props(v) for k, v in formats.items()}
-    base = props.get(None)
     new: list[ET.Element] = []
     alone = only_formula(text) if tabs else None
     if alone:
         inner, tag = alone[0].strip("$").strip(), alone[1]
         if number := _NUMBER.search(inner):
             tag, inner = f"({number[1]})", inner[:number.start()].rstrip()
-        new += [tabs[0], to_omml(inner, compat=compat)] + tabs[1:2] * bool(tag) + ([text_run(tag, base, compat)] if tag else [])
+        new += [tabs[0], to_omml(inner, compat=compat)] + tabs[1:2] * bool(tag) + ([text_run(tag, parse_props(base), compat)] if tag else [])
     else:
-        for kind, x, category in pieces(text, compat):
-            new.append(to_omml(x, compat=compat) if kind == "formula" else text_run(x, props.get(category) if category else base, compat))
+        new += [to_omml(x.strip("$").strip(), compat=compat) if formula else text_run(x, parse_props(props), compat) for formula, x, props in parts]
     first, kept, last, place = [], [], [], None
     for child in list(para):
         name = local(child.tag)
@@ -226,19 +201,93 @@ def _without_text(run: ET.Element) -> bool:
     return any(x.tag in PICTURES for x in run)
 
 
-def rebuild_document(xml: bytes, texts: Mapping[str, str], formats: Mapping[str, Mapping[str | None, str | None]], overall: Mapping[str | None, str | None], *, compat: bool = False) -> bytes:
-    """The document with edited texts, by upper-cased paragraph id; ``overall`` has the formats of paragraphs without any of their own."""
-    spaces = [x for _, x in ET.iterparse(io.BytesIO(xml), events=["start-ns"])]
+class Span(NamedTuple):
+    """An outermost paragraph of a part: where its bytes are, the ids of it and of the paragraphs in it, and its XML with what its prefixes stand for."""
+
+    begin: int
+    end: int
+    para_ids: list[str]
+    xml: str
+    spaces: list[tuple[str, str]]
+
+
+_OPEN = re.compile(rb"""<(?:[^>"']|"[^"]*"|'[^']*')*>""")
+_PREFIX = re.compile(r"[<\s/]([\w.-]+):")
+_ENCODING = re.compile(rb"""^<\?xml[^>]*?encoding\s*=\s*["']([\w.-]+)["'][^>]*\?>""")
+
+
+def as_utf8(xml: bytes) -> bytes:
+    """The part in UTF-8: spans are of its bytes."""
+    for mark, name in ((b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
+        if xml.startswith(mark):
+            text = xml.decode(name)
+            return re.sub(r"^<\?xml.*?\?>", '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>', text, flags=re.S).encode()
+    found = _ENCODING.match(xml)
+    if found and found[1].lower() not in (b"utf-8", b"us-ascii"):
+        return b'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + xml[found.end():].decode(found[1].decode()).encode()
+    return xml
+
+
+def spans(xml: bytes, *, compat: bool = False) -> list[Span]:
+    """The outermost paragraphs of a part in UTF-8, in order. Names are told by what their prefixes stand for there."""
+    parser, found, scopes, inside, number = expat.ParserCreate(), [], [{}], 0, 0
+    begin, ids, spaces = 0, [], {}
+
+    def named(name: str) -> str:
+        prefix, _, rest = name.rpartition(":")
+        return "{" + scopes[-1].get(prefix, "") + "}" + rest
+
+    def opened(name: str, attributes: dict[str, str]) -> None:
+        nonlocal inside, number, begin, ids, spaces
+        own = {key[6:]: uri for key, uri in attributes.items() if key == "xmlns" or key.startswith("xmlns:")}
+        outer = scopes[-1]
+        scopes.append({**outer, **own} if own else outer)
+        if named(name) == W + "p":
+            if not inside:
+                begin, ids, spaces = parser.CurrentByteIndex, [], outer
+            given = next((x for key, x in attributes.items() if ":" in key and named(key) == W14 + "paraId"), "")
+            ids.append(given or ("unknown" if compat else f"{number:08X}"))
+            number += 1
+            inside += 1
+
+    def closed(name: str) -> None:
+        nonlocal inside
+        if named(name) == W + "p":
+            inside -= 1
+            if not inside:
+                tag = _OPEN.match(xml, begin)
+                end = tag.end() if tag[0].endswith(b"/>") else xml.index(b">", parser.CurrentByteIndex) + 1
+                text = xml[begin:end].decode()
+                used = {*_PREFIX.findall(text), ""}
+                found.append(Span(begin, end, ids, text, [(k, v) for k, v in spaces.items() if k in used]))
+        scopes.pop()
+
+    parser.StartElementHandler, parser.EndElementHandler = opened, closed
+    parser.Parse(xml, True)
+    return found
+
+
+def rebuild_span(xml: str, spaces: Sequence[tuple[str, str]], edits: Mapping[int, tuple[str, Sequence[tuple[bool, str, str | None]], str | None]], *, compat: bool = False) -> str:
+    """A paragraph's XML with edits: of it (0) and of the paragraphs in it, by number, as (text, parts, properties of the baseline)."""
+    declared = "".join(f' xmlns{":" if prefix else ""}{prefix}="{uri}"' for prefix, uri in spaces)
     for prefix, uri in spaces:
         if prefix and not re.fullmatch(r"ns\d+", prefix):
             ET.register_namespace(prefix, uri)
-    root = ET.fromstring(xml)
-    for _, para_id, para in paragraphs(root, compat):
-        if (key := para_id.upper()) in texts:
-            rebuild_paragraph(para, texts[key], formats.get(key, overall), compat)
-    out = ET.tostring(root, encoding="unicode")
-    head, end = out.split(">", 1)
-    for prefix, uri in dict(spaces).items():  # names in attributes, as of what may be ignored, need their declarations, too
-        if prefix and f"xmlns:{prefix}=" not in head:
-            head += f' xmlns:{prefix}="{uri}"'
-    return ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n' + head + ">" + end).encode()
+    outer = ET.fromstring(f"<x{declared}>{xml}</x>")[0]
+    for number, para in enumerate(list(outer.iter(W + "p"))):
+        if number in edits:
+            rebuild_paragraph(para, *edits[number], compat)
+    outer.tail = None
+    head, end = ET.tostring(outer, encoding="unicode").split(">", 1)
+    for prefix, uri in spaces:  # what is declared around the paragraph need not be in it
+        head = head.replace(f' xmlns:{prefix}="{uri}"', "")
+    return head + ">" + end
+
+
+def spliced(xml: bytes, changed: Sequence[tuple[int, int, str]]) -> bytes:
+    """The part with other text in place of some of its bytes."""
+    out, at = [], 0
+    for begin, end, text in changed:
+        out += [xml[at:begin], text.encode()]
+        at = end
+    return b"".join([*out, xml[at:]])

@@ -38,6 +38,19 @@ def registry_rows(registry: Column, frame: DataFrame, keep: Sequence[str] = ())
     return paras.unionByName(whole).select(*keep, "para_id", F.coalesce("baseline", F.lit("F0")).alias("baseline"), "cat_id", "_c.label", "_c.rpr_xml", F.col("_c.count").alias("cnt"))
 
 
+def registry_formats(registry: Column, frame: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Registries in JSON, of either form, by paragraph: ``keep``, para_id (upper-cased; null: for all paragraphs), formats (properties by category), base (those of the baseline).
+
+    Ids that differ in case only: the last by its name. A paragraph's categories stay together, so nothing larger than they are is ever one value.
+    """
+    read = frame.select(*keep, F.from_json(registry, REGISTRY).alias("_r"))
+    paras = read.where("_r.paragraphs is not null").select(*keep, F.explode("_r.paragraphs").alias("_key", "_p"))
+    whole = read.where("_r.paragraphs is null and _r.categories is not null").select(*keep, F.lit(None).cast("string").alias("_key"), F.struct(F.col("_r.baseline").alias("baseline"), F.col("_r.categories").alias("categories")).alias("_p"))
+    last = paras.unionByName(whole).groupBy(*keep, F.upper("_key").alias("para_id")).agg(F.max_by("_p", F.coalesce("_key", F.lit(""))).alias("_p"))
+    formats = F.transform_values(F.coalesce("_p.categories", F.create_map().cast(_CATEGORIES)), lambda _, c: c["rpr_xml"])
+    return last.withColumn("formats", formats).select(*keep, "para_id", "formats", F.try_element_at("formats", F.coalesce("_p.baseline", F.lit("F0"))).alias("base"))
+
+
 def lookup_formats(wanted: DataFrame, by_para: DataFrame, overall: DataFrame, para: Sequence[str], value: str) -> DataFrame:
     """``wanted`` (``para``, cat_id) with ``value``: the paragraph's if it has any categories, even if not this one; only else the one for all.
 

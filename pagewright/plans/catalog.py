@@ -383,12 +383,17 @@ def read_faults(spark, sf_dir):
     return checks.read_faults(chunks.unread(chunks.read_files(spark, place))).unionByName(checks.missing_folders(folders)).select("file_name", "rule", "severity")
 
 
+def _chunked(lines: DataFrame) -> DataFrame:
+    """Lines as if read from their chunk files."""
+    return lines.select("doc_hash", "para_id", "text", F.concat(F.lit("chunk_"), F.col("chunk_idx").cast("string"), F.lit(".md")).alias("file_name"), "line_no")
+
+
 @query(f"WITH {_TURNS} SELECT conv_id, para_id, unnest([0, 1, 2])::INT AS run_ord, unnest([true, false, false]) AS bold, unnest([who, said, ' xy']) AS text FROM turns")
 def docx_rebuild(spark, sf_dir):
     """Packages rebuilt from their own chunks and registries: the runs of the result."""
     packages = samples.conversation_packages(spark, sf_dir)
     lines, registries = documents.extract(documents.shred(packages))
-    rebuilt = documents.rebuild(packages, lines.select("doc_hash", "para_id", "text"), registries)
+    rebuilt = documents.rebuild(packages, _chunked(lines), registries, order=["file_name", "line_no"])
     again = _named(docx.runs(rebuilt), packages)  # runs of the new packages, under the old ones' hashes
     return again.select("conv_id", "para_id", "run_ord", F.col("fmt.bold").alias("bold"), "text")
 
@@ -449,6 +454,21 @@ def docx_odd_rebuild(spark, sf_dir):
     return _named(docx.outlines(rebuilt), packages)
 
 
+@query(f"""WITH {_TURNS}, edits AS (SELECT conv_id, para_id, para_ord, said, unnest([0, 1, 2]) AS i, unnest(['chunk_9.md', 'chunk_10.md', 'chunk_9.md']) AS file_name, unnest([1, 7, CASE WHEN para_ord % 2 = 1 THEN 5 ELSE 0 END]) AS line_no FROM turns),
+    last AS (SELECT conv_id, para_ord // 3 AS third, arg_max('e' || i || ' ' || said, {{'a': file_name, 'b': line_no, 'c': para_ord}}) AS text FROM edits GROUP BY ALL)
+    SELECT conv_id, para_ord, text FROM turns JOIN last USING (conv_id) WHERE third = para_ord // 3""")
+def docx_repeated_ids(spark, sf_dir):
+    """Packages in which each three paragraphs share an id, edited several times: the last edit by file name and line goes to all that have the id."""
+    packages = samples.conversation_packages(spark, sf_dir, each=3)
+    said = docx.runs(packages).where("run_ord = 1").select("doc_hash", "para_ord", "para_id", "text")
+    edits = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(f"chunk_{n}.md").alias("file_name"), line.alias("line_no")) for i, n, line in (
+        (0, 9, F.lit(1)), (1, 10, F.lit(7)), (2, 9, F.when(F.col("para_ord") % 2 == 1, 5).otherwise(0)))))
+    texts = said.select("doc_hash", "para_id", "para_ord", "text", F.inline(edits)).withColumn("text", F.concat(F.lit("e"), F.col("i").cast("string"), F.lit(" "), F.col("text")))
+    none = spark.createDataFrame([], "doc_hash string, registry string")
+    rebuilt = documents.rebuild(packages, texts, none, order=["file_name", "line_no", "para_ord"])
+    return _named(docx.runs(rebuilt).groupBy("doc_hash", "para_ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run_ord", "text"))), lambda x: x["text"]), "").alias("text")), packages)
+
+
 _FAULTS = "faults AS (SELECT 'chunk_' || doc_id || '.md' AS file_name, 'error' AS severity FROM labels WHERE quality = 0)"
 
 

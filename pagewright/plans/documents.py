@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats, text
-from ..functions.wordml import DOCUMENT, rebuild_document, unzip, zip_parts
+from ..functions.wordml import DOCUMENT, as_utf8, rebuild_span, spliced, unzip, zip_parts
 from ..operators import chunking, formatting, lookups
 from ..scratch import Scratch
 from ..sources import docx
@@ -60,41 +60,66 @@ def extract(runs: DataFrame, *, compat: bool = False) -> tuple[DataFrame, DataFr
     """
     cats = categories(runs)
     paragraphs = tagged_paragraphs(runs, compat=compat)
-    chunks = chunking.pack_chunks(paragraphs.withColumn("n_chars", F.length("text")), ["doc_hash"], "para_ord", "n_chars")
+    chunks = chunking.pack_chunks(paragraphs.withColumn("n_chars", F.length("text")), ["doc_hash"], "para_ord", "n_chars", orders=runs.select("doc_hash", "para_ord"))
     shown = cats.join(paragraphs.select(*PARA), PARA, "left_semi")
     last = shown.join(shown.groupBy("doc_hash", "para_id").agg(F.max("para_ord").alias("para_ord")), ["doc_hash", "para_id", "para_ord"], "left_semi")
     return chunks.drop("n_chars"), lookups.registry_json(last, "doc_hash", "para_id")
 
 
-def rebuild(packages: DataFrame, texts: DataFrame, registries: DataFrame, *, compat: bool = False) -> DataFrame:
-    """doc_hash, content of each package with edited paragraphs (doc_hash, para_id, text) and registries (doc_hash, registry).
+#: Bytes of new paragraphs that are sent to where the packages are; beyond it, packages and paragraphs meet in an exchange.
+BROADCAST = 32 << 20
 
-    A document's edits and formats are gathered beside its package; a task holds a few documents at a time.
+
+def rebuild(packages: DataFrame, texts: DataFrame, registries: DataFrame, *, order: Sequence[str] = ("text",), compat: bool = False) -> DataFrame:
+    """doc_hash, content of each package with edited paragraphs (doc_hash, para_id, text, ``order``) and registries (doc_hash, registry).
+
+    Of texts with one id the last by ``order`` goes to all paragraphs that have it. Edits, formats and paragraphs are rows that meet by document and id, so a long document is
+    as many rows as it has edited paragraphs. Only new paragraphs are gathered by document, and spliced into the bytes of its main part; all other bytes
+    stay as they are. Packages wait where they are unless the new paragraphs are too many to be sent there.
     """
-    edits = texts.groupBy("doc_hash").agg(F.collect_list(F.struct("para_id", "text")).alias("texts"))
-    rows = lookups.registry_rows(F.col("registry"), registries, ["doc_hash"])
-    known = rows.groupBy("doc_hash").agg(F.collect_list(F.struct("para_id", "baseline", "cat_id", "rpr_xml")).alias("formats"))
-    # XML is parsed and written for each row, so the number of tasks must not follow from the bytes
-    parts = int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    joined = packages.select("doc_hash", "content").repartition(parts, "doc_hash").join(edits, "doc_hash", "left").join(known, "doc_hash", "left")
+    scratch = Scratch(packages.sparkSession, "rebuild")
+    edits = lookups.last_by(texts.where("para_id is not null and text is not null").withColumn("para_id", F.upper("para_id")), ["doc_hash", "para_id"], "text", order)
+    formats = lookups.registry_formats(F.col("registry"), registries, ["doc_hash"])
+    overall = formats.where("para_id is null").select("doc_hash", F.col("formats").alias("all_formats"), F.col("base").alias("all_base"))
+    known = edits.join(formats.where("para_id is not null"), ["doc_hash", "para_id"], "left").join(overall, "doc_hash", "left")
+    own = F.col("formats").isNotNull()
+    base = F.when(own, F.col("base")).otherwise(F.col("all_base"))
+    ready = known.select("doc_hash", "para_id", "text", base.alias("base"), text.format_parts(
+        F.col("text"), F.coalesce("formats", "all_formats", F.create_map().cast("map<string,string>")), base, compat=compat).alias("parts"))
+    paragraphs = docx.paragraph_spans(packages, compat=compat).select("doc_hash", "begin", "end", "xml", "spaces", (F.size("para_ids") > 1).alias("holds_more"), F.posexplode("para_ids").alias("number", "para_id"))
+    met = paragraphs.withColumn("para_id", F.upper("para_id")).join(ready, ["doc_hash", "para_id"])
+    edit = F.struct("number", "text", "parts", "base")
+    span = ["doc_hash", "begin", "end"]
+    alone = met.where("not holds_more").select(*span, "xml", "spaces", F.array(edit).alias("edits"))
+    more = met.where("holds_more").groupBy(*span).agg(F.min("xml").alias("xml"), F.any_value("spaces").alias("spaces"), F.collect_set(edit).alias("edits"))
+    splice = F.struct("begin", "end", "xml")
+    new = _built(alone.unionByName(more), compat).groupBy("doc_hash").agg(F.array_sort(F.collect_set(splice)).alias("splices"))
+    new = scratch.save(new, "splices")
+    size = new.agg(F.sum(F.aggregate("splices", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x["xml"]) + 100))).first()[0] or 0
+    joined = packages.select("doc_hash", "content").join(F.broadcast(new) if size <= BROADCAST else new, "doc_hash", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, DOCUMENTS):
                 rows = zip(*(c.to_pylist() for c in batch.slice(at, DOCUMENTS).columns), strict=True)
-                out = [(doc_hash, _rebuilt(content, changed or [], found or [], compat)) for doc_hash, content, changed, found in rows]
+                out = [(doc_hash, _with(content, [(x["begin"], x["end"], x["xml"]) for x in splices or []])) for doc_hash, content, splices in rows]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.binary())], names=["doc_hash", "content"])
 
-    return joined.select("doc_hash", "content", "texts", "formats").mapInArrow(run, "doc_hash string, content binary")
+    return joined.select("doc_hash", "content", "splices").mapInArrow(run, "doc_hash string, content binary")
+
+
+def _built(rows: DataFrame, compat: bool) -> DataFrame:
+    """doc_hash, begin, end, xml of paragraphs with their edits."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for xml, spaces, edits in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
+                given = {x["number"]: (x["text"], [tuple(p.values()) for p in x["parts"]], x["base"]) for x in edits}
+                out.append(rebuild_span(xml, spaces, given, compat=compat))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(out, pa.string())], names=["doc_hash", "begin", "end", "xml"])
+
+    return rows.select("doc_hash", "begin", "end", "xml", "spaces", "edits").mapInArrow(run, "doc_hash string, begin long, end long, xml string")
 
 
-def _rebuilt(content: bytes, changed: list, found: list, compat: bool) -> bytes:
-    by_para: dict[str | None, dict[str | None, str | None]] = {}
-    for x in found:
-        own = by_para.setdefault(x["para_id"], {})
-        own[x["cat_id"]] = x["rpr_xml"]
-        if x["cat_id"] == x["baseline"]:
-            own[None] = x["rpr_xml"]
-    texts = {x["para_id"].upper(): x["text"] for x in changed}
-    overall = by_para.pop(None, {})
-    return zip_parts([(name, rebuild_document(data, texts, by_para, overall, compat=compat) if name == DOCUMENT else data) for name, data in unzip(content)])
+def _with(content: bytes, splices: list[tuple[int, int, str]]) -> bytes:
+    return zip_parts([(name, spliced(as_utf8(data), splices) if name == DOCUMENT and splices else data) for name, data in unzip(content)])

@@ -28,10 +28,10 @@ def package(body: str, more: tuple[tuple[str, bytes], ...] = (("[Content_Types].
     return zip_parts([*more, (DOCUMENT, f"{OPEN}{body}</w:body></w:document>".encode())])
 
 
-def conversation_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A package for each conversation: a paragraph for each turn, its first words bold, its text whole."""
+def conversation_packages(spark: SparkSession, sf_dir: str, *, each: int = 0) -> DataFrame:
+    """A package for each conversation: a paragraph for each turn, its first words bold, its text whole. ``each``: so many paragraphs share an id."""
     def body(rows: list[dict]) -> str:
-        return "".join(paragraph_xml(x["turn"], [("<w:b/>", f"{x['role']} "), ("<w:i/>" if x["turn"] % 2 else "", (x["text"] or "").replace("\n", " ") + " end"), ('<w:sz w:val="24"/>', " x"), ('<w:sz w:val="24"/>', "y")]) for x in rows)
+        return "".join(paragraph_xml(i // each if each else x["turn"], [("<w:b/>", f"{x['role']} "), ("<w:i/>" if x["turn"] % 2 else "", (x["text"] or "").replace("\n", " ") + " end"), ('<w:sz w:val="24"/>', " x"), ('<w:sz w:val="24"/>', "y")]) for i, x in enumerate(rows))
 
     return _made(spark, sf_dir, body)
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.formats import FORMAT
-from ..functions.wordml import DOCUMENT, outline, part, read_runs, unzip
+from ..functions.wordml import DOCUMENT, as_utf8, outline, part, read_runs, spans, unzip
 
 RUNS = T.StructType([
     T.StructField("doc_hash", T.StringType()), T.StructField("para_ord", T.IntegerType()), T.StructField("para_id", T.StringType()), T.StructField("run_ord", T.IntegerType()),
@@ -71,3 +71,19 @@ def outlines(packages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.string()))], names=["doc_hash", "para_ord", "outline"])
 
     return packages.select("doc_hash", "content").mapInArrow(run, "doc_hash string, para_ord int, outline string")
+
+
+SPANS = T.StructType([
+    T.StructField("doc_hash", T.StringType()), T.StructField("begin", T.LongType()), T.StructField("end", T.LongType()), T.StructField("para_ids", T.ArrayType(T.StringType())),
+    T.StructField("xml", T.StringType()), T.StructField("spaces", T.MapType(T.StringType(), T.StringType()))])
+
+
+def paragraph_spans(packages: DataFrame, *, compat: bool = False) -> DataFrame:
+    """The outermost paragraphs of each package's main part: where their bytes are, the ids of them and of those in them, their XML and what its prefixes stand for."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = to_arrow_schema(SPANS)
+        for doc_hashes, contents in _some(batches):
+            rows = [(doc_hash, *x) for doc_hash, content in zip(doc_hashes, contents, strict=True) if (xml := part(content, DOCUMENT)) for x in spans(as_utf8(xml), compat=compat)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], field.type) for i, field in enumerate(shape)], names=SPANS.names)
+
+    return packages.select("doc_hash", "content").mapInArrow(run, SPANS)

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pagewright.functions import wordml
 from pagewright.functions.wordml import read_runs, unzip
 from pagewright.operators.chunking import pack_chunks
 from pagewright.plans import documents, samples
@@ -157,3 +158,56 @@ def test_lines_and_ids(spark, tmp_path):
     lines = chunk_files.read_lines(spark, str(tmp_path))
     assert lines.where("file_name = 'chunk_2.md'").count() == 6
     assert {r["para_id"]: r["text"] for r in chunk_files.paragraph_map(lines).collect()} == {"AB": "lead", "CD": "", "EF": "x", "11": "old"}
+
+
+NESTED = ('<w:p w14:paraId="0000000A"><w:pPr/><w:r><w:drawing><w:txbx><w:p w14:paraId="0000000B"><w:r><w:t>in</w:t></w:r></w:p><w:p/></w:txbx></w:drawing></w:r><w:r><w:t>out</w:t></w:r></w:p>'
+          '<!-- <w:p> --><w:p w14:paraId="0000000B"><w:r><w:t>é &lt;w:p&gt;</w:t></w:r></w:p><w:p w14:paraId="0000000C"/><w:p\n w14:paraId=\'0000000D\' w:x="a>b" />')
+
+
+def test_spans_are_the_outermost_paragraphs_as_they_stand():
+    xml = dict(unzip(samples.package(NESTED)))["word/document.xml"]
+    found = wordml.spans(xml)
+    assert [x.para_ids for x in found] == [["0000000A", "0000000B", "00000002"], ["0000000B"], ["0000000C"], ["0000000D"]]
+    assert all(xml[x.begin:x.end].decode() == x.xml for x in found) and b"".join(xml[x.begin:x.end] for x in found) == NESTED.replace("<!-- <w:p> -->", "").encode()
+    other = xml.replace(b"w14:", b"x:").replace(b"xmlns:w14", b"xmlns:x").replace(b"<w:", b"<q:").replace(b"</w:", b"</q:").replace(b"xmlns:w=", b"xmlns:q=")
+    assert [x.para_ids for x in wordml.spans(other)] == [x.para_ids for x in found]
+    wide = '<?xml version="1.0" encoding="UTF-16"?>'.encode("utf-16") + xml.decode().encode("utf-16-le")
+    assert [x.xml for x in wordml.spans(wordml.as_utf8(wide))] == [x.xml for x in found]
+
+
+def restored(spark, body, texts, order=("text",), **options):
+    made = packages(spark, body)
+    rows = spark.createDataFrame([(made.first()["doc_hash"], *x) for x in texts], "doc_hash string, para_id string, text string, file_name string, line_no int")
+    none = spark.createDataFrame([], "doc_hash string, registry string")
+    return dict(unzip(bytes(documents.rebuild(made, rows, none, order=order, **options).first()["content"])))["word/document.xml"].decode()
+
+
+def test_repeated_ids_take_the_last_edit_by_file_and_line(spark):
+    rows = [("0000000B", "first", "chunk_9.md", 1), ("0000000b", "last", "chunk_9.md", 3), ("0000000B", "early", "chunk_10.md", 9)]
+    for some in (rows, rows[::-1]):
+        xml = restored(spark, NESTED, some, ["file_name", "line_no"])
+        assert xml.count("last") == 2 and "first" not in xml and "early" not in xml and "out" in xml and "<!-- <w:p> -->" in xml
+    assert restored(spark, NESTED, rows) == restored(spark, NESTED, rows[::-1])
+
+
+def test_paragraphs_in_paragraphs_and_what_is_not_edited(spark):
+    xml = restored(spark, NESTED, [("0000000A", "new", "f", 1), ("0000000B", "inner", "f", 2)])
+    assert xml.count("inner") == 2 and "new" in xml and "out" not in xml and "drawing" in xml
+    plain = dict(unzip(samples.package(NESTED)))["word/document.xml"].decode()
+    assert restored(spark, NESTED, [("0000000F", "nobody", "f", 1)]) == plain
+    edited = restored(spark, NESTED, [("0000000C", "c", "f", 1)])
+    assert edited.replace('<w:p w14:paraId="0000000C"><w:r><w:t>c</w:t></w:r></w:p>', '<w:p w14:paraId="0000000C"/>') == plain
+
+
+def test_a_document_of_very_many_paragraphs(spark):
+    n = 100_000
+    made = packages(spark, "".join(samples.paragraph_xml(i, [("", "t")]) for i in range(n)))
+    texts = spark.range(n).selectExpr("lpad(hex(id), 8, '0') AS para_id", "concat('n', id) AS text").withColumn("doc_hash", F.lit(made.first()["doc_hash"]))
+    none = spark.createDataFrame([], "doc_hash string, registry string")
+    before = documents.BROADCAST
+    documents.BROADCAST = 0  # as if the new paragraphs were too many to be sent to the packages
+    try:
+        xml = dict(unzip(bytes(documents.rebuild(made, texts, none).first()["content"])))["word/document.xml"].decode()
+    finally:
+        documents.BROADCAST = before
+    assert [x for x in xml.split("<w:t>")[1:3]] == [f'n{i}</w:t></w:r></w:p><w:p w14:paraId="{i + 1:08X}"><w:r>' for i in (0, 1)] and xml.count("<w:t>n") == n
