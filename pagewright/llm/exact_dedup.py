@@ -13,6 +13,7 @@ digest collided and its rows are regrouped by the whole text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from urllib.parse import unquote
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import fold_ascii, quoted
-from .scratch import Scratch, folders, small
+from .scratch import Scratch, folders, is_there, small
 
 #: State on disk; without space set aside beforehand, which is several MB for each partition of the state.
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -35,8 +36,8 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def exact_groups(docs: DataFrame, *, state_dir: str | None = None, earlier: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", files_per_trigger: int = 64,
-                 digest: Callable[[Column], Column] = sha256_hex) -> DataFrame:
+def exact_groups(docs: DataFrame, *, state_dir: str | None = None, batch: str | None = None, earlier: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
+                 files_per_trigger: int | None = None, digest: Callable[[Column], Column] = sha256_hex) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; a null text counts as empty. Of equal
@@ -48,26 +49,37 @@ def exact_groups(docs: DataFrame, *, state_dir: str | None = None, earlier: Data
     group_size count their rows, too (those that were given out before stay as they were). ``earlier``: a table of the earlier batches' rows, with ids and texts, where their content is
     looked up; else it is read from the Parquet files that they came from, with the same column names. If digests collide, rows of one batch are told apart by their texts, and a batch's rows from the
     entry that they hit.
+
+    ``batch``: a name for the rows of this call. A call with a name that the state has seen counts its rows once: one that failed midway goes on, one that ended gives
+    what it gave, even if other batches came after. Without a name each call is a batch of its own. ``files_per_trigger``: arrivals' files of a micro-batch; else at
+    least 64, and so many that there are no more than 16 micro-batches.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dedup")
     place = state_dir.rstrip("/") if state_dir else scratch.path("kept")
     rows = _contents(docs, id_col, text_col)
-    number = len(folders(spark, f"{place}/arrivals"))
-    batch = f"{place}/arrivals/batch={number}"
-    rows.select("doc_id", digest(F.col("normal")).alias("digest"), sha256_hex(F.col("normal")).alias("text_sha256"),
-                F.struct("file", "doc_id").alias("locator")).write.parquet(batch)
-    arrivals = spark.read.parquet(batch)
+    seen = folders(spark, f"{place}/arrivals")
+    number = int(hashlib.md5(batch.encode()).hexdigest()[:12], 16) if batch is not None else len(seen)
+    arrived = f"{place}/arrivals/batch={number}"
+    before = _noted(spark, f"{place}/before/batch={number}", lambda: _last(spark, place))
+    if not is_there(spark, f"{arrived}/_SUCCESS"):  # nothing is taken into the state before all is written
+        rows.select("doc_id", digest(F.col("normal")).alias("digest"), sha256_hex(F.col("normal")).alias("text_sha256"),
+                    F.struct("file", "doc_id").alias("locator")).write.mode("overwrite").parquet(arrived)
+    arrivals = spark.read.parquet(arrived)
     shape = _aggregated(arrivals).schema
-    met = scratch.save(_entries(spark, place, shape).join(arrivals.select("digest").distinct(), "digest", "left_semi"), "met") if number else None
-    _arrive(spark, place, arrivals.schema, files_per_trigger)
-    state = scratch.save(_entries(spark, place, shape), "state")  # written, so that the join may split a digest that very many rows have
+    met = scratch.save(_entries(spark, place, shape, before).join(arrivals.select("digest").distinct(), "digest", "left_semi"), "met") if before >= 0 else None
+    old = _located(scratch, met, earlier, id_col, text_col) if met is not None else None
+    done = f"{place}/after/batch={number}"
+    if not is_there(spark, f"{done}/_SUCCESS"):
+        _arrive(spark, place, arrivals.schema, files_per_trigger or max(64, -(-len(arrivals.inputFiles()) // 16)))
+    after = _noted(spark, done, lambda: _last(spark, place))
+    state = scratch.save(_entries(spark, place, shape, after), "state")  # written, so that the join may split a digest that very many rows have
     grouped = arrivals.join(state, "digest")
     hits = scratch.save(grouped.where("group_size > 1").select(F.col("doc_id").alias("hit_id")).distinct(), "hits")
     texts = (rows.join(small(hits), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi")
              .select("doc_id", "normal", digest(F.col("normal")).alias("digest"), F.lit(False).alias("old")))
-    if met is not None:
-        texts = texts.unionByName(_located(scratch, met, earlier, id_col, text_col).select("doc_id", "normal", digest(F.col("normal")).alias("digest"), F.lit(True).alias("old")))
+    if old is not None:
+        texts = texts.unionByName(old.select("doc_id", "normal", digest(F.col("normal")).alias("digest"), F.lit(True).alias("old")))
     clashes = scratch.save(
         texts.groupBy("digest").agg(F.min("normal").alias("least"), F.max("normal").alias("most"))
         .where("least <> most").select("digest"), "clashes")
@@ -97,12 +109,24 @@ def _located(scratch: Scratch, entries: DataFrame, earlier: DataFrame | None, id
     return _contents(earlier, id_col, text_col).join(small(ids), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi").select("doc_id", "normal")
 
 
-def _entries(spark: SparkSession, place: str, schema: T.StructType) -> DataFrame:
-    """The state as it is: digest, keep_id, keep_locator, group_size."""
+def _last(spark: SparkSession, place: str) -> int:
+    """The number of the last micro-batch that the state has taken; -1 if none."""
+    return max((int(x.split("=")[1]) for x in folders(spark, f"{place}/updates")), default=-1)
+
+
+def _noted(spark: SparkSession, path: str, number: Callable[[], int]) -> int:
+    """The number that is written down in a folder; if none is, the one that holds now, which is written down."""
+    if not is_there(spark, f"{path}/_SUCCESS"):
+        spark.range(1).select(F.lit(number()).alias("number")).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).first()["number"]
+
+
+def _entries(spark: SparkSession, place: str, schema: T.StructType, until: int) -> DataFrame:
+    """The state as it was after a micro-batch: digest, keep_id, keep_locator, group_size."""
     updates = f"{place}/updates"
     schema = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
     seen = spark.read.schema(schema).parquet(updates) if folders(spark, updates) else spark.createDataFrame([], schema)
-    return seen.groupBy("digest").agg(*(F.max_by(c, "batch").alias(c) for c in schema.names if c not in ("digest", "batch")))
+    return seen.where(F.col("batch") <= until).groupBy("digest").agg(*(F.max_by(c, "batch").alias(c) for c in schema.names if c not in ("digest", "batch")))
 
 
 def _aggregated(arrivals: DataFrame) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import Scratch, folders
+from ..scratch import Scratch, folders, is_there
 
-__all__ = ["Scratch", "folders", "small"]
+__all__ = ["Scratch", "folders", "is_there", "small"]
 
 
 def small(table: DataFrame, rows: int = 500_000) -> DataFrame:

@@ -51,6 +51,36 @@ def test_a_second_batch_meets_the_state_of_the_first(spark, documents, tmp_path,
     assert exact_dedup.exact_groups(spark.createDataFrame([], "doc_id long, text string"), state_dir=f"file://{folder}/state").isEmpty()
 
 
+@pytest.mark.parametrize("fails_at", [None, "_arrive", "_entries"])
+def test_a_batch_with_a_name_counts_once(spark, documents, tmp_path, monkeypatch, fails_at):
+    weak = lambda text: F.sha2(F.substring(text, 1, 1), 256)
+    parts = [documents[::2], documents[1::2]]
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, "doc_id long, text string").write.parquet(f"{tmp_path}/rows-{i}")
+    call = lambda i, d=exact_dedup.sha256_hex: sorted(map(repr, map(tuple, exact_dedup.exact_groups(spark.read.parquet(f"{tmp_path}/rows-{i}"), state_dir=f"file://{tmp_path}/{d.__name__[:3]}", batch=f"part {i}", digest=d).collect())))
+    first = call(0)
+    if fails_at:
+        with monkeypatch.context() as patch:
+            own, calls = getattr(exact_dedup, fails_at), []
+
+            def failing(*given):
+                calls.append(1)
+                if len(calls) == (2 if fails_at == "_entries" else 1):  # before the stream starts; after it ended
+                    raise RuntimeError("lost")
+                return own(*given)
+
+            patch.setattr(exact_dedup, fails_at, failing)
+            with pytest.raises(RuntimeError):
+                call(1)
+    second = call(1)
+    whole = {(i, brute.folded(t)): row for (i, t), row in zip(documents, brute.exact_groups(documents), strict=True)}
+    assert first == sorted(map(repr, brute.exact_groups(parts[0]))) and second == sorted(repr(whole[i, brute.folded(t)]) for i, t in parts[1])
+    assert call(0) == first and call(1) == second
+    if not fails_at:
+        both = [call(i, weak) for i in (0, 1)]
+        assert [call(i, weak) for i in (0, 1)] == both
+
+
 def test_exact_rows(docs, documents):
     kept = exact_dedup.exact_dedup(docs)
     assert kept.columns == docs.columns
@@ -260,3 +290,17 @@ def test_longest_repeats(spark, docs, documents, nothing):
     assert length > 4 * window
     assert {r["doc_id"]: r["longest"] for r in substring_dedup.longest_repeats(docs, window=window).collect()} == longest
     assert substring_dedup.longest_repeats(nothing).isEmpty()
+
+
+def test_copies_of_a_text_are_dealt_over_all_tasks(spark):
+    rows = spark.range(40_000).select("id", F.when(F.col("id") % 3 == 0, "a text that a third of all rows have").when(F.col("id") % 3 == 1, "").otherwise(F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" x y z"))).alias("text"))
+    own = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
+    try:
+        held = sorted(r["count"] for r in jaccard._chained(rows.repartition(7), 3, Fraction(9, 10), frozenset()).groupBy(F.spark_partition_id().alias("p")).count().collect())
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(held) == 16 and held[-1] < 2 * held[8]
