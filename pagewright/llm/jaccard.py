@@ -353,9 +353,8 @@ def _chained(texts: DataFrame, k: int, similarity: Fraction, apart: frozenset[in
                 yield _rows(1, keys[heads], names[heads], bitmaps[heads], sizes[heads])
 
     # Only signatures need to meet; what is known of documents rides along, and copies of a text, which have one key, are dealt over all tasks.
-    deal = F.when(F.col("kind") == 1, F.col("key")).otherwise(F.xxhash64("key", "x", F.monotonically_increasing_id()))
-    rows = texts.mapInArrow(signed_rows, ROWS)
-    shuffled = rows.withColumn("deal", deal).repartition("deal").sortWithinPartitions("key", "node").select(*rows.columns)
+    deal = F.when(F.col("kind") == 1, F.col("key")).otherwise(F.xxhash64("key", "x"))
+    shuffled = texts.mapInArrow(signed_rows, ROWS).repartition(deal).sortWithinPartitions("key", "node")
 
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(similarity)
