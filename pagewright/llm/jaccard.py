@@ -339,7 +339,7 @@ def _chained(texts: DataFrame, k: int, similarity: Fraction, apart: frozenset[in
     def signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(similarity)
         for batch in batches:
-            for part in portions(batch):
+            for part in portions(batch, size=1 << 21):
                 sets = shingle_sets(part.column(1), k)
                 nodes, others = named(sets, apart)
                 yield _rows(0, others, nodes, part.column(0), pa.array([len(x) for x in sets], pa.int64()))
