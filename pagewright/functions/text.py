@@ -26,10 +26,17 @@ FORMULA_ONLY = r"(\$\$[^$].*?\$\$|\$[^$]+\$)(\s*\([^)]*\))?$"
 
 
 def _commands(text: Column, apart: bool) -> Column:
-    for char, command in MATH.items():
-        if apart and command[-1:].isalpha():  # a letter must not run into the command
-            text = F.regexp_replace(text, f"{char}(?=[A-Za-z])", command.replace("\\", "\\\\") + " ")
-        text = F.replace(text, F.lit(char), F.lit(command))
+    """One pass: what is known, with the letter after it, and the gaps between, each looked up once. ``apart``: a letter must not run into the command."""
+    known = "".join(MATH)
+    tokens = F.regexp_extract_all(text, F.lit(f"(?s)[{known}][A-Za-z]?|[^{known}]+"), F.lit(0))
+    commands = F.create_map(*(F.lit(x) for pair in MATH.items() for x in pair))
+
+    def told(token: Column) -> Column:
+        command = F.try_element_at(commands, F.left(token, F.lit(1)))
+        space = F.when((F.length(token) > 1) & F.rlike(command, F.lit("[A-Za-z]$")), " ").otherwise("") if apart else F.lit("")
+        return F.coalesce(F.concat(command, space, F.substring(token, F.lit(2), F.lit(1))), token)
+
+    text = F.array_join(F.transform(tokens, told), "")
     for name in SPACED:
         text = F.regexp_replace(text, rf"(?U)\\{name}\s+", rf"\\{name} ")
     return text

@@ -21,52 +21,56 @@ def _fault(rule: str, detail: Column | None = None) -> Column:
     return F.struct(F.lit("error").alias("severity"), F.lit(rule).alias("rule"), (detail if detail is not None else F.lit(None)).cast("string").alias("detail"))
 
 
-def line_faults(pairs: DataFrame) -> DataFrame:
-    """Faults of line pairs: file_name, line_no, severity, rule, detail. A missing line or id ends the checks of its pair."""
-    mine, theirs = strict_para_id(F.col("chunk_line")), strict_para_id(F.col("origin_line"))
-    none = F.array().cast(FAULTS)
-    one = lambda test, *fault: F.when(test, F.array(_fault(*fault))).otherwise(none)
-    tags = F.transform(tag_faults(F.col("chunk_line")), lambda f: F.struct(F.lit("error").alias("severity"), f["rule"].alias("rule"), F.concat_ws(" ", f["found"], f["expected"]).alias("detail")))
-    lost = F.transform(F.array_except(tag_types(F.col("origin_line")), tag_types(F.col("chunk_line"))), lambda x: _fault("TAG_TYPE_MISSING", x))
-    rest = F.concat(one(mine != theirs, "ID_MISMATCH", F.concat_ws(" ", mine, theirs)), tags, lost)
-    faults = (F.when(F.col("chunk_line").isNull(), F.array(_fault("CHUNK_LINE_MISSING"))).when(F.col("origin_line").isNull(), F.array(_fault("ORIGIN_LINE_MISSING")))
-              .when(mine.isNull(), F.array(_fault("CHUNK_NO_ID"))).when(theirs.isNull(), F.array(_fault("ORIGIN_NO_ID"))).otherwise(rest))
-    return pairs.select("file_name", "line_no", F.inline(faults.cast(FAULTS)))
+def _none() -> Column:
+    return F.array().cast(FAULTS)
 
 
-def count_faults(pairs: DataFrame) -> DataFrame:
-    """A fault for each file whose sides have different numbers of lines."""
-    counts = pairs.groupBy("file_name").agg(F.count("chunk_line").alias("a"), F.count("origin_line").alias("b")).where("a <> b")
-    return counts.select("file_name", F.lit(None).cast("int").alias("line_no"), F.lit("error").alias("severity"), F.lit("LINE_COUNT").alias("rule"), F.concat_ws(" ", F.col("a").cast("string"), F.col("b").cast("string")).alias("detail"))
+def _if(test: Column, rule: str, detail: Column | None = None) -> Column:
+    return F.when(test, F.array(_fault(rule, detail))).otherwise(_none())
+
+
+def _of_line(mine: Column, theirs: Column) -> Column:
+    """Faults of a pair of lines. A missing line or id ends its checks."""
+    my_id, their_id = strict_para_id(mine), strict_para_id(theirs)
+    tags = F.transform(tag_faults(mine), lambda f: F.struct(F.lit("error").alias("severity"), f["rule"].alias("rule"), F.concat_ws(" ", f["found"], f["expected"]).alias("detail")))
+    lost = F.transform(F.array_except(tag_types(theirs), tag_types(mine)), lambda x: _fault("TAG_TYPE_MISSING", x))
+    rest = F.concat(_if(my_id != their_id, "ID_MISMATCH", F.concat_ws(" ", my_id, their_id)), tags, lost)
+    faults = (F.when(mine.isNull(), F.array(_fault("CHUNK_LINE_MISSING"))).when(theirs.isNull(), F.array(_fault("ORIGIN_LINE_MISSING")))
+              .when(my_id.isNull(), F.array(_fault("CHUNK_NO_ID"))).when(their_id.isNull(), F.array(_fault("ORIGIN_NO_ID"))).otherwise(rest))
+    return faults.cast(FAULTS)
 
 
 def name_faults(names: DataFrame) -> DataFrame:
-    """Faults of file names (name, in_left: edited, in_right: original): on one side only, numbers that differ (a warning), nothing in common."""
-    at = lambda name, severity, rule, detail: (name.cast("string").alias("file_name"), F.lit(None).cast("int").alias("line_no"), F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))
-    none = F.lit(None)
-    single = names.where("in_left <> in_right").select(F.col(names.columns[0]).cast("string").alias("file_name"), F.lit(None).cast("int").alias("line_no"), F.lit("error").alias("severity"),
-                                                       F.when(F.col("in_left"), "ONLY_IN_CHUNKS").otherwise("ONLY_IN_ORIGIN").alias("rule"), none.cast("string").alias("detail"))
+    """Faults of all file names together (name, in_left: edited, in_right: original): numbers that differ (a warning), nothing in common."""
     totals = names.agg(F.count_if("in_left").alias("a"), F.count_if("in_right").alias("b"), F.count_if(F.col("in_left") & F.col("in_right")).alias("c"))
-    numbers = totals.where("a <> b").select(*at(none, "warning", "FILE_COUNT", F.concat_ws(" ", F.col("a").cast("string"), F.col("b").cast("string"))))
-    nothing = totals.where("c = 0").select(*at(none, "error", "NO_COMMON_FILES", none))
-    return single.unionByName(numbers).unionByName(nothing)
+    numbers = F.when(F.col("a") != F.col("b"), F.array(F.struct(F.lit("warning").alias("severity"), F.lit("FILE_COUNT").alias("rule"), F.concat_ws(" ", F.col("a").cast("string"), F.col("b").cast("string")).alias("detail")))).otherwise(_none())
+    return totals.select(F.lit(None).cast("string").alias("file_name"), F.lit(None).cast("int").alias("line_no"), F.inline(F.concat(numbers, _if(F.col("c") == 0, "NO_COMMON_FILES"))))
 
 
 def verify(chunks: DataFrame, origin: DataFrame, *, unread: DataFrame | None = None) -> DataFrame:
     """All faults of two tables of lines (file_name, line_no, line). Lines are compared for files on both sides only.
 
-    Both sides are one table, dealt by file once: names, counts and pairs of lines all come from it. ``unread``: files (file_name, detail) that could not be
+    Both sides are one table, dealt by file once and gone through once: a line's row has its pair, and by windows over the file whether it is on both sides and how many lines it has on each;
+    a file's first row has the file's own faults, too. Only names are counted beside that. ``unread``: files (file_name, detail) that could not be
     read; a file that is there without lines is a row with a null line_no.
     """
     sides = [d.select("file_name", "line_no", "line", F.lit(i).alias("side")) for i, d in enumerate((chunks, origin))]
-    both = sides[0].unionByName(sides[1]).where("file_name is not null").repartition("file_name")
+    both = sides[0].unionByName(sides[1]).where("file_name is not null")
     of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c))).alias(("chunk_line", "origin_line")[side])
-    lines = both.groupBy("file_name", "line_no").agg(*(of(i, "line") for i in (0, 1)), *(F.max(F.col("side") == i).alias(f"on_{i}") for i in (0, 1)))
-    files = Window.partitionBy("file_name")
-    seen = lines.select("*", F.max("on_0").over(files).alias("in_left"), F.max("on_1").over(files).alias("in_right"))
-    pairs = seen.where("in_left and in_right and line_no is not null").select("file_name", "line_no", "chunk_line", "origin_line")
-    names = lines.groupBy("file_name").agg(F.max("on_0").alias("in_left"), F.max("on_1").alias("in_right"))
-    faults = name_faults(names).unionByName(line_faults(pairs)).unionByName(count_faults(pairs))
+    on = [F.max(F.col("side") == i).alias(f"on_{i}") for i in (0, 1)]
+    lines = both.repartition("file_name").groupBy("file_name", "line_no").agg(*(of(i, "line") for i in (0, 1)), *on)
+    file = Window.partitionBy("file_name")
+    counted = F.col("line_no").isNotNull()
+    seen = lines.select("*", F.max("on_0").over(file).alias("in_left"), F.max("on_1").over(file).alias("in_right"), F.count_if(counted & F.col("chunk_line").isNotNull()).over(file).alias("a"),
+                        F.count_if(counted & F.col("origin_line").isNotNull()).over(file).alias("b"), (F.row_number().over(file.orderBy("line_no")) == 1).alias("first"))
+    common = F.col("in_left") & F.col("in_right")
+    of_file = F.concat(_if(common & (F.col("a") != F.col("b")), "LINE_COUNT", F.concat_ws(" ", F.col("a").cast("string"), F.col("b").cast("string"))),
+                       _if(~F.col("in_right"), "ONLY_IN_CHUNKS"), _if(~F.col("in_left"), "ONLY_IN_ORIGIN"))
+    placed = lambda at, faults: F.transform(faults, lambda f: F.struct(at.cast("int").alias("line_no"), *(f[x].alias(x) for x in ("severity", "rule", "detail"))))
+    own = placed(F.col("line_no"), F.when(common & counted, _of_line(F.col("chunk_line"), F.col("origin_line"))).otherwise(_none()))
+    faults = seen.select("file_name", F.inline(F.concat(own, placed(F.lit(None), F.when(F.col("first"), of_file).otherwise(_none())))))
+    names = both.groupBy("file_name").agg(F.max(F.col("side") == 0).alias("in_left"), F.max(F.col("side") == 1).alias("in_right"))
+    faults = faults.unionByName(name_faults(names))
     return faults if unread is None else faults.unionByName(read_faults(unread))
 
 

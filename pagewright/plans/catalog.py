@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import formats, omml, text
 from ..operators import checks, chunking, formatting, lookups
+from ..operators.counters import Counters
 from ..scratch import Scratch, is_there
 from ..sources import chunks, docx
+from ..streaming import attempts
 from . import documents, samples
 from .adapters import edited_lines, lines, table
 
@@ -335,6 +337,27 @@ def docx_shred(spark, sf_dir):
     return _named(runs, packages)
 
 
+@query(f"""WITH {_TURNS} SELECT conv_id, para_ord, para_id, unnest([0, 1, 2, 3])::INT AS run_ord, unnest([true, false, false, false]) AS bold, unnest([false, turn % 2 = 1, false, false]) AS italic,
+    unnest([0, 0, 24, 24])::INT AS size, unnest([who, said, ' x', 'y']) AS text FROM turns""")
+def docx_shred_sql(spark, sf_dir):
+    """The same rows by a table function, from SQL alone."""
+    docx.register_runs(spark)
+    return spark.sql("SELECT conv_id, para_ord, para_id, run_ord, fmt.bold, fmt.italic, fmt.size, text FROM {packages}, LATERAL docx_runs(content)", packages=samples.conversation_packages(spark, sf_dir))
+
+
+@query(f"""WITH {_TURNS}, lines AS (SELECT conv_id, '‹F1:b›' || who || '‹/›‹F2:' || CASE WHEN turn % 2 = 1 THEN 'i' ELSE 'fmt' END || '›' || said || '‹/› xy' AS text FROM turns)
+    SELECT 'runs' AS step, unnest(['rows', 'characters']) AS counter, unnest([4 * count(*), sum(length(who) + length(said) + 3)])::BIGINT AS value FROM turns
+    UNION ALL SELECT 'paragraphs', unnest(['rows', 'characters']), unnest([count(*), sum(length(text))])::BIGINT FROM lines""")
+def progress_counters(spark, sf_dir):
+    """What passed through an extraction, counted on the way."""
+    counters = Counters(spark)
+    runs = counters.count(docx.runs(samples.conversation_packages(spark, sf_dir)), "runs", characters=F.length("text"))
+    runs = Scratch(spark, "counted").save(runs, "runs")
+    lines = counters.count(documents.extract(runs)[0], "paragraphs", characters=F.length("text"))
+    lines.write.format("noop").mode("overwrite").save()
+    return counters.table()
+
+
 @query("SELECT DISTINCT conv_id, unnest([0, 1])::INT AS part_ord, unnest(['[Content_Types].xml', 'word/document.xml']) AS arcname FROM conversations")
 def docx_parts(spark, sf_dir):
     packages = samples.conversation_packages(spark, sf_dir)
@@ -372,6 +395,24 @@ def chunk_files(spark, sf_dir):
     return whole.select(F.regexp_extract("file_name", "chunk_of_([0-9]+)-", 1).cast("long").alias("conv_id"), F.regexp_extract("file_name", "-(.*)$", 1).alias("file_name"), "content")
 
 
+@query("""SELECT conv_id, 'chunk_' || i || '.md' AS file_name, 'again ' || i || ' ' || text AS content FROM (SELECT conv_id, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS text, count(*) AS n FROM conversations GROUP BY conv_id), range(0, 3) t(i)
+    WHERE i <= n % 3 UNION ALL SELECT conv_id, 'notes.md', 'kept' FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def chunk_rewrite(spark, sf_dir):
+    """Three chunk files for each conversation, and a file beside them; then fewer chunks: those of the first run are gone."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), " ").alias("text"), F.count(F.lit(1)).alias("n"))
+    rows = turns.select("conv_id", "text", "n", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
+    named = rows.select(F.concat(F.lit("of-"), F.col("conv_id").cast("string")).alias("folder"), F.concat(F.lit("chunk_"), F.col("i").cast("string"), F.lit(".md")).alias("file_name"), "text", "n", "i")
+    scratch = Scratch(spark, "chunk-rewrite")
+    place = scratch.path("files")
+    root = place if "://" in place else f"file://{place}"
+    notes = named.where("i = 0").select("folder", F.lit("notes.md").alias("file_name"), F.lit("kept").alias("content"))
+    chunks.write_files(named.select("folder", "file_name", F.concat(F.lit("first "), F.col("text")).alias("content")).unionByName(notes), root, "folder", replaces="chunk_*.md")
+    again = F.concat(F.lit("again "), F.col("i").cast("string"), F.lit(" "), F.col("text"))
+    chunks.write_files(named.where("i <= n % 3").select("folder", "file_name", again.alias("content")), root, "folder", replaces="chunk_*.md")
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(place)
+    return read.select(F.regexp_extract("path", "of-([0-9]+)/[^/]*$", 1).cast("long").alias("conv_id"), F.regexp_extract("path", "([^/]*)$", 1).alias("file_name"), F.col("content").cast("string").alias("content"))
+
+
 @query("SELECT 'chunk_' || doc_id || '.md' AS file_name, 'READ_FAILED' AS rule, 'error' AS severity FROM documents WHERE doc_id % 7 = 3 UNION ALL SELECT NULL, 'DIR_MISSING', 'error'")
 def read_faults(spark, sf_dir):
     """Files that are no text, among others that are read; and a folder that is not there."""
@@ -481,6 +522,20 @@ def fault_attempts(spark, sf_dir):
     return checks.attempts(faults, labels.select("file_name", (F.col("doc_id") % 4).cast("int").alias("attempt")))
 
 
+@query("""WITH checked AS (SELECT 'chunk_' || doc_id || '.md' AS file_name, v AS version, doc_id % (v + 1) = 0 OR doc_id % 7 = 0 AS wrong FROM documents, range(1, 5) t(v)),
+    runs AS (SELECT file_name, max(version) AS last, coalesce(max(version) FILTER (WHERE NOT wrong), 0) AS passed FROM checked GROUP BY file_name)
+    SELECT file_name, (last - passed)::INT AS attempt, last - passed >= 3 AS for_a_human FROM runs WHERE last > passed""")
+def attempts_stream(spark, sf_dir):
+    """Four versions of each file checked one after another, a stream started for each on the same state: how often each file was wrong in a row."""
+    docs, scratch = table(spark, sf_dir, "documents").select("doc_id"), Scratch(spark, "attempts")
+    for version in range(1, 5):
+        wrong = F.expr(f"CAST(doc_id % {version + 1} = 0 OR doc_id % 7 = 0 AS BIGINT)")
+        rows = docs.select(F.concat(F.lit("chunk_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file_name"), F.lit(version).cast("long").alias("version"), wrong.alias("n_errors"))
+        rows.write.mode("append").parquet(scratch.path("checked"))
+        attempts.follow(spark, scratch.path("checked"), scratch.path("tried"), scratch.path("log")).awaitTermination()
+    return attempts.standing(spark.read.schema(attempts.TRIED).parquet(scratch.path("tried")))
+
+
 _FORMULAS = r"""CASE doc_id % 11 WHEN 0 THEN concat('x_', doc_id % 10, '^2 + \\frac{', doc_id, '}{\\sqrt[3]{y}} \\leq \\alpha_{', lang, '}') WHEN 1 THEN concat('\\sin(x+', doc_id, ')') WHEN 2 THEN concat('(a+', doc_id, ')^{2}')
     WHEN 3 THEN concat('\\begin{bmatrix}1 & 2\\\\3 & ', doc_id, '\\end{bmatrix}') WHEN 4 THEN concat('\\begin{cases}', doc_id, ' & a\\\\b\\end{cases}') WHEN 5 THEN concat('\\vec{v}+\\text{if }', doc_id)
     WHEN 6 THEN concat('\\sqrt{', doc_id, '}\\quad \\beta') WHEN 7 THEN concat('‖_{', doc_id, '}') WHEN 8 THEN concat('\\times ', doc_id, ' \\cdot\\max') WHEN 9 THEN concat('ab_{', doc_id, '}') ELSE concat('x^{', doc_id, '}_{2}') END"""

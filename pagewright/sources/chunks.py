@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
+from fnmatch import fnmatch
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_line, parse_line
+from ..scratch import Scratch
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "chunk_*.md") -> DataFrame:
@@ -47,24 +50,65 @@ def chunk_files(chunks: DataFrame, doc: str) -> DataFrame:
         doc, F.concat(F.lit("chunk_"), F.col("chunk_idx").cast("string"), F.lit(".md")).alias("file_name"), "content")
 
 
-def write_files(files: DataFrame, root: str, folder: str | None = None) -> tuple[int, int]:
-    """Writes each row's ``content`` under its ``file_name``, in a folder by column ``folder`` if named; returns how many files and bytes. A task that runs again writes the same files again."""
-    kept = [folder] if folder else []
+def write_files(files: DataFrame, root: str, folder: str | None = None, *, replaces: str | None = None) -> tuple[int, int]:
+    """Writes each row's ``content`` under its ``file_name``, in a folder by column ``folder`` if named; returns how many files and bytes.
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
+    In two steps, so that a job that fails leaves nothing under the files' names. Tasks first write under names of their own, and give rows of what they wrote, which are written down: of a task that ran
+    twice one attempt's. Other tasks then move these to the files' names; to do so again does no harm. ``replaces``: a pattern of names; of the folders that were written to, files of such
+    names that are not among the new ones are removed, as those of an earlier run.
+    """
+    from pyarrow import fs
+
+    scratch, staging = Scratch(files.sparkSession, "write-files"), f".writing-{uuid.uuid4().hex}"
 
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(root)
+        store.create_dir(f"{base}/{staging}", recursive=True)
         for batch in batches:
-            sizes = []
-            for name, content, *place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                where = "/".join([base, *place])
-                store.create_dir(where, recursive=True)
-                with store.open_output_stream(f"{where}/{name}") as out:
+            names, contents, places = (c.to_pylist() for c in batch.columns)
+            own = [uuid.uuid4().hex for _ in names]
+            for name, content in zip(own, contents, strict=True):
+                with store.open_output_stream(f"{base}/{staging}/{name}") as out:
                     out.write(content)
-                sizes.append(len(content))
-            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], names=["size"])
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.string()), pa.array(names, pa.string()), pa.array(own), pa.array(map(len, contents), pa.int64())], names=["folder", "file_name", "own", "size"])
+
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for place, name, own, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                source, target = f"{base}/{staging}/{own}", "/".join([base, *([place] if place else []), name])
+                store.create_dir(target.rpartition("/")[0], recursive=True)
+                if store.get_file_info(source).type != fs.FileType.NotFound:  # else an earlier attempt has moved it
+                    if store.get_file_info(target).type != fs.FileType.NotFound:
+                        store.delete_file(target)
+                    store.move(source, target)
+            yield batch.select(["size"])
+
+    def there(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for place in batch.column(0).to_pylist():
+                found = [x.base_name for x in store.get_file_info(fs.FileSelector("/".join([base, *([place] if place else [])]))) if x.is_file and fnmatch(x.base_name, replaces)]
+                yield pa.RecordBatch.from_arrays([pa.array([place] * len(found), pa.string()), pa.array(found, pa.string())], names=["folder", "file_name"])
 
-    done = files.select("file_name", F.col("content").cast("binary").alias("content"), *kept).mapInArrow(write, "size long")
-    counts = done.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for place, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                target = "/".join([base, *([place] if place else []), name])
+                if store.get_file_info(target).type != fs.FileType.NotFound:
+                    store.delete_file(target)
+            yield batch.select(["file_name"])
+
+    rows = files.select("file_name", F.col("content").cast("binary").alias("content"), (F.col(folder) if folder else F.lit("")).cast("string").alias("folder"))
+    try:
+        new = scratch.save(rows.mapInArrow(written, "folder string, file_name string, own string, size long"), "written")
+        counts = new.mapInArrow(moved, "size long").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+        if replaces:
+            old = scratch.save(new.select("folder").distinct().mapInArrow(there, "folder string, file_name string"), "there").join(new, ["folder", "file_name"], "left_anti")
+            old.mapInArrow(removed, "file_name string").count()
+    finally:
+        store, base = fs.FileSystem.from_uri(root)
+        if store.get_file_info(f"{base}/{staging}").type != fs.FileType.NotFound:
+            store.delete_dir(f"{base}/{staging}")
     return counts["files"], counts["bytes"]

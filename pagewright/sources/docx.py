@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -63,6 +63,20 @@ def runs(packages: DataFrame, *, compat: bool = False) -> DataFrame:
     return packages.select("doc_hash", "content").mapInArrow(run, RUNS)
 
 
+class _Runs:
+    """A package's runs as rows, for SQL."""
+
+    def eval(self, content: bytes | None):
+        xml = part(bytes(content), DOCUMENT) if content is not None else None
+        for x in read_runs(xml) if xml else []:
+            yield x.para_ord, x.para_id, x.run_ord, x.fmt and Row(**x.fmt), x.rpr_xml, x.text, x.formulas
+
+
+def register_runs(spark: SparkSession, name: str = "docx_runs") -> None:
+    """Makes a package's runs a table function: ``SELECT ... FROM packages, LATERAL docx_runs(content)``. A package that is null or without a main part has none."""
+    spark.udtf.register(name, F.udtf(_Runs, returnType=T.StructType(RUNS.fields[1:]), useArrow=True))
+
+
 def outlines(packages: DataFrame) -> DataFrame:
     """doc_hash, para_ord, outline: what is in each paragraph of the main part."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

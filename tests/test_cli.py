@@ -51,3 +51,20 @@ def test_old_registries_missing_folders_and_files_that_are_no_text(spark, tmp_pa
     assert main(["verify", str(tmp_path / "bad"), str(folder)]) == 1
     out = capsys.readouterr().out
     assert "READ_FAILED" in out and "LINE_COUNT" in out and "ONLY_IN" not in out
+
+
+def test_no_package_is_told(spark, tmp_path, capsys):
+    (tmp_path / "a.DOCX").write_bytes(b"x")
+    for path in (tmp_path / "a.DOCX", tmp_path / "none.docx"):
+        assert main(["extract", str(path), f"file://{tmp_path}/out"]) == 1
+        assert main(["rebuild", str(path), str(tmp_path), str(tmp_path / "r.json"), f"file://{tmp_path}/out"]) == 1
+    assert capsys.readouterr().out.count("no package") == 4
+
+
+def test_a_registry_of_another_document_is_told(spark, tmp_path, capsys):
+    source = tmp_path / "in.docx"
+    source.write_bytes(samples.package(samples.paragraph_xml(10, [("", "plain")])))
+    (tmp_path / "r.json").write_text(json.dumps({"doc_hash": "other", "paragraphs": {}}))
+    (tmp_path / "chunk_0.md").write_text("[0000000A] new")
+    assert main(["rebuild", str(source), str(tmp_path), str(tmp_path / "r.json"), f"file://{tmp_path}/back"]) == 0
+    assert "another document, other" in capsys.readouterr().out

@@ -152,6 +152,20 @@ def test_chunk_files(spark, tmp_path):
     assert {r["para_id"]: r["text"] for r in back.collect()} == {"0000000A": "first", "0000000B": "second", "0000000C": "third"}
 
 
+def test_files_of_an_earlier_run_go_and_failed_ones_leave_nothing(spark, tmp_path):
+    rows = lambda names: spark.createDataFrame([(n, f"of {n}", "d") for n in names], "file_name string, content string, folder string")
+    there = lambda: sorted(p.relative_to(tmp_path).as_posix() for p in tmp_path.rglob("*") if p.is_file())
+    root = f"file://{tmp_path}"
+    assert chunk_files.write_files(rows(["chunk_0.md", "chunk_1.md", "chunk_2.md", "other.md"]), root, "folder", replaces="chunk_*.md") == (4, 50)
+    assert chunk_files.write_files(rows(["chunk_0.md"]), root, "folder", replaces="chunk_*.md") == (1, 13)
+    assert there() == ["d/chunk_0.md", "d/other.md"]
+    bad = rows(["chunk_5.md", "chunk_6.md"]).withColumn("content", F.when(F.col("file_name") == "chunk_6.md", F.raise_error(F.lit("lost"))).otherwise(F.col("content")))
+    with pytest.raises(Exception, match="lost"):
+        chunk_files.write_files(bad, root, "folder", replaces="chunk_*.md")
+    assert there() == ["d/chunk_0.md", "d/other.md"] and not list(tmp_path.glob(".writing-*"))
+    assert chunk_files.write_files(rows([]), root, "folder", replaces="chunk_*.md") == (0, 0) and len(there()) == 2
+
+
 def test_lines_and_ids(spark, tmp_path):
     (tmp_path / "chunk_2.md").write_text("[AB]   lead\n\n[CD]\n[EF] x\r\nno id\n[11] old\n")
     (tmp_path / "chunk_10.md").write_text("[11] new\n[EE]")

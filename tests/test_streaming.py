@@ -1,15 +1,38 @@
 """Packages that come one after another are each shredded once."""
 
+import time
+
+from pagewright.operators.counters import StreamCounters
 from pagewright.plans import samples
 from pagewright.sources.docx import RUNS
+from pagewright.streaming import attempts
 from pagewright.streaming.ingest import ingest
 
 
 def test_ingest(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
+    counters = StreamCounters()
+    spark.streams.addListener(counters)
     for i in range(2):
         (folder / f"{i}.docx").write_bytes(samples.package(samples.paragraph_xml(1, [("", f"text {i}")])))
         ingest(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
     got = spark.read.schema(RUNS).parquet(str(tmp_path / "out"))
     assert sorted(r["text"] for r in got.collect()) == ["text 0", "text 1"]
+    for _ in range(100):  # what was observed is told some time after the query has ended
+        if counters.sums.get(("ingest", "rows")) == 2:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(counters)
+    assert sorted(map(tuple, counters.table(spark).collect())) == [("ingest", "characters", 12), ("ingest", "rows", 2)]
+
+
+def test_a_file_is_flagged_at_its_third_wrong_version(spark, tmp_path):
+    place = lambda x: str(tmp_path / x)
+    batches = [[("a", 1, 2), ("b", 1, 1), ("c", 1, 0)], [("a", 2, 1), ("b", 2, 0), ("a", 1, 2), (None, 1, 1)], [("a", 3, 1), ("b", 3, 1), ("b", 3, 1), ("b", 4, 5)]]
+    for rows in batches:  # a new start each time, on the state of the one before
+        spark.createDataFrame(rows, attempts.CHECKED).write.mode("append").parquet(place("checked"))
+        attempts.follow(spark, place("checked"), place("tried"), place("log")).awaitTermination()
+    tried = spark.read.schema(attempts.TRIED).parquet(place("tried"))
+    assert sorted(map(tuple, attempts.standing(tried).collect())) == [("a", 3, True), ("b", 2, False)]
+    assert sorted((r["version"], r["attempt"]) for r in tried.where("file_name = 'a'").collect()) == [(1, 1), (2, 2), (3, 3)]
