@@ -35,7 +35,7 @@ SPECIAL = "<|endoftext|>"
 #: Where splitting at a space could part what the tokenizer takes together.
 UNEVEN = r"[\s\p{Z}\x0b\x1c-\x1f\x85]{2}|^[\s\p{Z}\x0b\x1c-\x1f\x85]|[\s\p{Z}\x0b\x1c-\x1f\x85]$"
 STOPS = tuple(x.encode() for x in ".!?…。！？।")
-CACHED = 600_000
+CACHED = 300_000
 #: Texts that are tokenised together.
 TEXTS = 1024
 

@@ -320,3 +320,28 @@ def test_sequences_and_hashes_of_queries(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert queries.QUERIES["op2_pack_sequences"](spark, sf_dir).where("start = 0").count() == n
     assert queries.QUERIES["op6_embedding_dedup"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+
+
+def test_sequences_of_the_query_against_the_library(spark, sf_dir, tokenizer):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    ids = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in texts.items()}
+    rows = queries.QUERIES["op2_pack_sequences"](spark, sf_dir).collect()
+    windows, whole, elsewhere = defaultdict(list), defaultdict(list), 0
+    for r in rows:
+        part = ids[r["doc_id"]][r["start"]:r["start"] + r["length"]]
+        assert len(part) == r["length"] and r["doc_tokens"] == len(ids[r["doc_id"]]) and r["ids_crc32"] == zlib.crc32(np.array(part, "<u4").tobytes())
+        windows[r["sequence_id"]].append((r["offset"], r["length"], r))
+        whole[r["doc_id"]].append((r["start"], r["length"]))
+    for i, spans in whole.items():
+        at = 0
+        for start, length in sorted(spans):
+            assert start == at
+            at += length
+        assert at == len(ids[i])
+    assert set(whole) == set(ids)
+    for pieces in windows.values():
+        last = max(pieces)[2]
+        end = last["start"] + last["length"]
+        token = tokenizer.decode([ids[last["doc_id"]][end - 1]])
+        elsewhere += end < last["doc_tokens"] and not (token.rstrip().endswith((*".!?…。！？।",)) or "\n" in token)
+    assert sum(len(x) for x in ids.values()) > 0.94 * 2048 * len(windows) and elsewhere <= 0.05 * len(windows)
