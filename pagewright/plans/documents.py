@@ -87,7 +87,7 @@ def rebuild(packages: DataFrame, texts: DataFrame, registries: DataFrame, *, ord
     ready = known.select("doc_hash", "para_id", "text", base.alias("base"), text.format_parts(
         F.col("text"), F.coalesce("formats", "all_formats", F.create_map().cast("map<string,string>")), base, compat=compat).alias("parts"))
     paragraphs = docx.paragraph_spans(packages, compat=compat).select("doc_hash", "begin", "end", "xml", "spaces", (F.size("para_ids") > 1).alias("holds_more"), F.posexplode("para_ids").alias("number", "para_id"))
-    met = paragraphs.withColumn("para_id", F.upper("para_id")).join(ready, ["doc_hash", "para_id"])
+    met = scratch.save(paragraphs.withColumn("para_id", F.upper("para_id")).join(ready, ["doc_hash", "para_id"]), "met")  # written: it is read twice
     edit = F.struct("number", "text", "parts", "base")
     span = ["doc_hash", "begin", "end"]
     alone = met.where("not holds_more").select(*span, "xml", "spaces", F.array(edit).alias("edits"))

@@ -24,6 +24,12 @@ def test_formulas_and_tags(spark, expression):
     assert took(line(32_000)) < 8 * max(took(line(8_000)), 0.3)
 
 
+def test_tags_by_fold_and_by_depth(spark):
+    lines = ["", "x", "<b>", "</b>", "<b></i>", "<b><i></b></i></u><s>", "<b></b></b><b>", "<b>" * 1200 + "</i>" * 1300]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").select(*(f(F.col("line")).alias(n) for n, f in (("a", text.folded_faults), ("b", text.placed_faults), ("c", text.tag_faults))))
+    assert all(r["a"] == r["b"] == r["c"] for r in rows.collect())
+
+
 def test_chunks_of_one_long_document(spark):
     def lines(n):
         return pack_chunks(spark.range(n).select(F.lit(1).alias("doc"), F.col("id").alias("ord"), (F.col("id") % 90).alias("n")), ["doc"], "ord", "n")
