@@ -35,7 +35,7 @@ from .columns import quoted
 from .components import components
 from .linking import Groups
 from .scratch import Scratch, small
-from .words import LEAD, M1, M2, mix, portions, run_hashes, signed, word_hashes
+from .words import LEAD, M1, M2, fresh, mix, portions, run_hashes, signed, word_hashes
 
 def shingle_sets(texts: pa.StringArray, k: int) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's shingles of ``k`` words; with fewer words, of all of them as one."""
@@ -337,6 +337,7 @@ def stands_for(keys: np.ndarray, bitmaps: np.ndarray, sizes: np.ndarray) -> np.n
 def _chained(texts: DataFrame, k: int, similarity: Fraction, apart: frozenset[int]) -> DataFrame:
     """ROWS of kind 0, for each text, and 2, for classes that may be similar."""
     def signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         windows = Windows(similarity)
         for batch in batches:
             for part in portions(batch, size=1 << 21):
@@ -357,6 +358,7 @@ def _chained(texts: DataFrame, k: int, similarity: Fraction, apart: frozenset[in
     shuffled = texts.mapInArrow(signed_rows, ROWS).repartition(deal).sortWithinPartitions("key", "node")
 
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         windows = Windows(similarity)
         for kind, keys, nodes, bitmaps, sizes in _by_key(batches):
             if kind != 1:
@@ -439,6 +441,7 @@ def _sets(texts: DataFrame, chosen: DataFrame, k: int, apart: frozenset[int]) ->
     more = ["node", "root", "chunks", "chunk"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         for batch in batches:
             for part in portions(batch, 0):
                 found = shingle_sets(part.column(0), k)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import portions
+from .words import fresh, portions
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 END = 1
@@ -35,9 +35,9 @@ SPECIAL = "<|endoftext|>"
 #: Where splitting at a space could part what the tokenizer takes together.
 UNEVEN = r"[\s\p{Z}\x0b\x1c-\x1f\x85]{2}|^[\s\p{Z}\x0b\x1c-\x1f\x85]|[\s\p{Z}\x0b\x1c-\x1f\x85]$"
 STOPS = tuple(x.encode() for x in ".!?…。！？।")
-CACHED = 300_000
-#: Texts that are tokenised together.
-TEXTS = 1024
+CACHED = 100_000
+#: Texts that are tokenised together, and their bytes, but for a longer one.
+TEXTS, BYTES = 1024, 1 << 20
 
 
 class Tokens(dict):
@@ -211,10 +211,11 @@ def pack(docs: DataFrame, vocabulary: str, *, length: int = 2048, grid: int = 32
     result; a very long text is held whole, once. Other columns are ignored, whatever their names. ``length`` is a power of two.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         tokens = Tokens(vocabulary)
         packer = Packer(TaskContext.get().partitionId(), length, grid, sentence, inside, tokens.ends)
         for batch in batches:
-            for part in portions(batch, rows=TEXTS):
+            for part in portions(batch, rows=TEXTS, size=BYTES):
                 packer.add(part.column(0).to_pylist(), *tokens.stream(part.column(1)))
                 if len(packer.held) >= block:
                     packer.pack(last=False)

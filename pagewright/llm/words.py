@@ -23,6 +23,11 @@ def portions(batch: pa.RecordBatch, column: int = 1, rows: int = 1000, size: int
         low = high
 
 
+def fresh() -> None:
+    """Gives back what earlier tasks have left unused in Arrow's pool: a Python worker serves task after task, of other operators, too."""
+    pa.default_memory_pool().release_unused()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * M1
     x = (x ^ (x >> np.uint64(29))) * M2
