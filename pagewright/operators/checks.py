@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strict_para_id, tag_faults, tag_types
+from ..scratch import Scratch
 
 FAULTS = "array<struct<severity:string,rule:string,detail:string>>"
 
@@ -29,12 +30,12 @@ def _if(test: Column, rule: str, detail: Column | None = None) -> Column:
     return F.when(test, F.array(_fault(rule, detail))).otherwise(_none())
 
 
-def _of_line(mine: Column, theirs: Column) -> Column:
-    """Faults of a pair of lines. A missing line or id ends its checks."""
+def _of_line(mine: Column, theirs: Column, equal: bool = False) -> Column:
+    """Faults of a pair of lines. A missing line or id ends its checks. ``equal``: nothing of the other line can be lost."""
     my_id, their_id = strict_para_id(mine), strict_para_id(theirs)
     tags = F.transform(tag_faults(mine), lambda f: F.struct(F.lit("error").alias("severity"), f["rule"].alias("rule"), F.concat_ws(" ", f["found"], f["expected"]).alias("detail")))
     lost = F.transform(F.array_except(tag_types(theirs), tag_types(mine)), lambda x: _fault("TAG_TYPE_MISSING", x))
-    rest = F.concat(_if(my_id != their_id, "ID_MISMATCH", F.concat_ws(" ", my_id, their_id)), tags, lost)
+    rest = tags if equal else F.concat(_if(my_id != their_id, "ID_MISMATCH", F.concat_ws(" ", my_id, their_id)), tags, lost)
     faults = (F.when(mine.isNull(), F.array(_fault("CHUNK_LINE_MISSING"))).when(theirs.isNull(), F.array(_fault("ORIGIN_LINE_MISSING")))
               .when(my_id.isNull(), F.array(_fault("CHUNK_NO_ID"))).when(their_id.isNull(), F.array(_fault("ORIGIN_NO_ID"))).otherwise(rest))
     return faults.cast(FAULTS)
@@ -54,8 +55,21 @@ def verify(chunks: DataFrame, origin: DataFrame, *, unread: DataFrame | None = N
     a file's first row has the file's own faults, too. Only names are counted beside that. ``unread``: files (file_name, detail) that could not be
     read; a file that is there without lines is a row with a null line_no.
     """
+    both = _both(chunks, origin)
+    names = both.groupBy("file_name").agg(F.max(F.col("side") == 0).alias("in_left"), F.max(F.col("side") == 1).alias("in_right"))
+    return _with_unread(_pair_faults(both).unionByName(name_faults(names)), unread)
+
+
+def _both(chunks: DataFrame, origin: DataFrame) -> DataFrame:
     sides = [d.select("file_name", "line_no", "line", F.lit(i).alias("side")) for i, d in enumerate((chunks, origin))]
-    both = sides[0].unionByName(sides[1]).where("file_name is not null")
+    return sides[0].unionByName(sides[1]).where("file_name is not null")
+
+
+def _with_unread(faults: DataFrame, unread: DataFrame | None) -> DataFrame:
+    return faults if unread is None else faults.unionByName(read_faults(unread))
+
+
+def _pair_faults(both: DataFrame) -> DataFrame:
     of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c))).alias(("chunk_line", "origin_line")[side])
     on = [F.max(F.col("side") == i).alias(f"on_{i}") for i in (0, 1)]
     lines = both.repartition("file_name").groupBy("file_name", "line_no").agg(*(of(i, "line") for i in (0, 1)), *on)
@@ -68,10 +82,57 @@ def verify(chunks: DataFrame, origin: DataFrame, *, unread: DataFrame | None = N
                        _if(~F.col("in_right"), "ONLY_IN_CHUNKS"), _if(~F.col("in_left"), "ONLY_IN_ORIGIN"))
     placed = lambda at, faults: F.transform(faults, lambda f: F.struct(at.cast("int").alias("line_no"), *(f[x].alias(x) for x in ("severity", "rule", "detail"))))
     own = placed(F.col("line_no"), F.when(common & counted, _of_line(F.col("chunk_line"), F.col("origin_line"))).otherwise(_none()))
-    faults = seen.select("file_name", F.inline(F.concat(own, placed(F.lit(None), F.when(F.col("first"), of_file).otherwise(_none())))))
-    names = both.groupBy("file_name").agg(F.max(F.col("side") == 0).alias("in_left"), F.max(F.col("side") == 1).alias("in_right"))
-    faults = faults.unionByName(name_faults(names))
-    return faults if unread is None else faults.unionByName(read_faults(unread))
+    return seen.select("file_name", F.inline(F.concat(own, placed(F.lit(None), F.when(F.col("first"), of_file).otherwise(_none())))))
+
+
+#: Bytes of file names that are sent to where the lines are; beyond it, names and lines meet in an exchange.
+BROADCAST = 32 << 20
+
+
+def file_digests(lines: DataFrame) -> DataFrame:
+    """file_name, digest of each file (file_name, line_no, line): its number of lines and sums of two 64-bit hashes of each numbered line.
+
+    Sums, so that each task adds up its own rows and a row for each file and task is exchanged, not lines; in halves, so that they can't overflow. Written down, it stands for a side that stays as it is.
+    """
+    line = (F.coalesce(F.col("line_no").cast("long"), F.lit(-1)), F.col("line").isNull(), F.coalesce("line", F.lit("")))
+    hashed = lines.where("file_name is not null").select("file_name", *(F.xxhash64(F.lit(i), *line).alias(f"h{i}") for i in (1, 2)))
+    half = [F.sum(x(F.col(h))).alias(f"{h}_{name}") for h in ("h1", "h2") for name, x in (("high", lambda c: F.shiftrightunsigned(c, 32)), ("low", lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF))))]
+    sums = hashed.groupBy("file_name").agg(F.count(F.lit(1)).alias("n"), *half)
+    return sums.select("file_name", F.struct(*(c for c in sums.columns if c != "file_name")).alias("digest"))
+
+
+def compare_digests(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """file_name, in_left, in_right, same of each file of either side (file_name, digest)."""
+    a, b = mine.select("file_name", F.col("digest").alias("_a")), theirs.select("file_name", F.col("digest").alias("_b"))
+    has = lambda c: F.col(c).isNotNull()
+    return a.join(b, "file_name", "full_outer").select("file_name", has("_a").alias("in_left"), has("_b").alias("in_right"), F.coalesce(F.col("_a") == F.col("_b"), F.lit(False)).alias("same"))
+
+
+def verify_changed(chunks: DataFrame, origin: DataFrame, *, stored: DataFrame | None = None, whole: bool = True, unread: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """The faults that ``verify`` gives, for sides that are mostly equal: only lines of files that differ are exchanged and paired.
+
+    Files are told apart by ``file_digests``; ``stored`` are those of ``origin``, which is then read for files that differ only. Lines of equal files are checked where they are, without a pair (a row that
+    is there twice has its faults twice). Files of one side only are known by their digests. ``whole``: without it, ``chunks`` are some of the
+    files, and what is not among them is no fault, nor are numbers of files compared. ``scratch``: where table ``files`` goes, for the caller to drop.
+    """
+    scratch = scratch or Scratch(chunks.sparkSession, "verify-changed")
+    theirs = file_digests(origin) if stored is None else stored
+    compared = compare_digests(file_digests(chunks), theirs)
+    files = scratch.save(compared if whole else compared.where("in_left"), "files")
+    differ = files.where("in_left and in_right and not same").select("file_name")
+    equal = files.where("same").select("file_name")
+    only = F.concat(_if(~F.col("in_right"), "ONLY_IN_CHUNKS"), _if(~F.col("in_left"), "ONLY_IN_ORIGIN"))
+    faults = files.where("in_left <> in_right").select("file_name", F.lit(None).cast("int").alias("line_no"), F.inline(only))
+    faults = faults.unionByName(_pair_faults(_both(_of(chunks, differ), _of(origin, differ))))
+    alone = _of(chunks.where("line_no is not null"), equal)
+    faults = faults.unionByName(alone.select("file_name", F.col("line_no").cast("int").alias("line_no"), F.inline(_of_line(F.col("line"), F.col("line"), equal=True))))
+    return _with_unread(faults.unionByName(name_faults(files)) if whole else faults, unread)
+
+
+def _of(lines: DataFrame, names: DataFrame) -> DataFrame:
+    """Lines of the named files, which are rows of a written table: their bytes are summed up before they are sent to all tasks."""
+    size = names.agg(F.sum(F.octet_length("file_name") + 32)).first()[0] or 0
+    return lines.join(F.broadcast(names) if size <= BROADCAST else names, "file_name", "left_semi")
 
 
 def read_faults(unread: DataFrame) -> DataFrame:

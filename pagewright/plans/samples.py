@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from html import escape
 
@@ -28,12 +29,12 @@ def package(body: str, more: tuple[tuple[str, bytes], ...] = (("[Content_Types].
     return zip_parts([*more, (DOCUMENT, f"{OPEN}{body}</w:body></w:document>".encode())])
 
 
-def conversation_packages(spark: SparkSession, sf_dir: str, *, each: int = 0) -> DataFrame:
-    """A package for each conversation: a paragraph for each turn, its first words bold, its text whole. ``each``: so many paragraphs share an id."""
+def conversation_packages(spark: SparkSession, sf_dir: str, *, each: int = 0, picture: int = 0) -> DataFrame:
+    """A package for each conversation: a paragraph for each turn, its first words bold, its text whole. ``each``: so many paragraphs share an id; ``picture``: bytes of a picture beside the text."""
     def body(rows: list[dict]) -> str:
         return "".join(paragraph_xml(i // each if each else x["turn"], [("<w:b/>", f"{x['role']} "), ("<w:i/>" if x["turn"] % 2 else "", (x["text"] or "").replace("\n", " ") + " end"), ('<w:sz w:val="24"/>', " x"), ('<w:sz w:val="24"/>', "y")]) for i, x in enumerate(rows))
 
-    return _made(spark, sf_dir, body)
+    return _made(spark, sf_dir, body, picture)
 
 
 def math(inner: str) -> str:
@@ -69,7 +70,7 @@ def odd_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _made(spark, sf_dir, lambda rows: "".join(odd_paragraph(x["turn"], len(x["text"] or "")) for x in rows))
 
 
-def _made(spark: SparkSession, sf_dir: str, body: Callable[[list[dict]], str]) -> DataFrame:
+def _made(spark: SparkSession, sf_dir: str, body: Callable[[list[dict]], str], picture: int = 0) -> DataFrame:
     """path, length, content, doc_hash, conv_id of a package for each conversation, as a written table."""
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
 
@@ -78,7 +79,8 @@ def _made(spark: SparkSession, sf_dir: str, body: Callable[[list[dict]], str]) -
             for at in range(0, batch.num_rows, DOCUMENTS):
                 some = batch.slice(at, DOCUMENTS)
                 ids = some.column(0).to_pylist()
-                made = [package(body(rows), (("[Content_Types].xml", f"<Types of=\"{i}\"/>".encode()),)) for i, rows in zip(ids, some.column(1).to_pylist(), strict=True)]
+                beside = lambda i: (("word/media/image1.png", hashlib.shake_256(str(i).encode()).digest(picture)),) if picture else ()
+                made = [package(body(rows), (("[Content_Types].xml", f"<Types of=\"{i}\"/>".encode()), *beside(i))) for i, rows in zip(ids, some.column(1).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([f"{i}.docx" for i in ids]), pa.array(made, pa.binary())], names=["conv_id", "path", "content"])
 
     made = turns.mapInArrow(run, "conv_id long, path string, content binary")

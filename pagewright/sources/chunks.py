@@ -16,7 +16,10 @@ from ..scratch import Scratch
 
 def read_files(spark: SparkSession, path: str, glob: str = "chunk_*.md") -> DataFrame:
     """file_name, value of the files under ``path``; the value is null if a file is no UTF-8 text."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    return as_text(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path))
+
+
+def as_text(files: DataFrame) -> DataFrame:
     return files.select(F.element_at(F.split(F.col("path"), "/"), -1).alias("file_name"), F.try_validate_utf8(F.col("content").cast("string")).alias("value"))
 
 
@@ -30,7 +33,11 @@ def read_lines(spark: SparkSession, path: str, glob: str = "chunk_*.md") -> Data
 
     A file without lines, or one that cannot be read, is a row without a number.
     """
-    files = read_files(spark, path, glob)
+    return lines_of(read_files(spark, path, glob))
+
+
+def lines_of(files: DataFrame) -> DataFrame:
+    """The lines of files (file_name, value)."""
     split = files.where("value <> ''").select("file_name", F.posexplode(F.split("value", "\r\n|\r|\n", -1)).alias("line_no", "line"), F.size(F.split("value", "\r\n|\r|\n", -1)).alias("n"))
     lines = split.where("not (line_no = n - 1 and line = '')").select("file_name", "line_no", "line", (F.col("line_no") < F.col("n") - 1).alias("had_newline"))
     return lines.unionByName(files.where("coalesce(value, '') = ''").select("file_name", F.lit(None).cast("int").alias("line_no"), F.lit(None).cast("string").alias("line"), F.lit(False).alias("had_newline")))

@@ -63,6 +63,18 @@ def runs(packages: DataFrame, *, compat: bool = False) -> DataFrame:
     return packages.select("doc_hash", "content").mapInArrow(run, RUNS)
 
 
+def part_runs(members: DataFrame, *, compat: bool = False) -> DataFrame:
+    """path and runs of main parts that were read by themselves (path, data)."""
+    shape = T.StructType([T.StructField("path", T.StringType()), *RUNS.fields[1:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for paths, parts in _some(batches):
+            rows = [(path, *x) for path, xml in zip(paths, parts, strict=True) if xml for x in read_runs(xml, compat=compat)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], field.type) for i, field in enumerate(to_arrow_schema(shape))], names=shape.names)
+
+    return members.select("path", "data").mapInArrow(run, shape)
+
+
 class _Runs:
     """A package's runs as rows, for SQL."""
 

@@ -4,8 +4,9 @@ import time
 
 from pagewright.operators.counters import StreamCounters
 from pagewright.plans import samples
+from pagewright.sources import docx
 from pagewright.sources.docx import RUNS
-from pagewright.streaming import attempts
+from pagewright.streaming import attempts, profile
 from pagewright.streaming.ingest import ingest
 
 
@@ -36,3 +37,17 @@ def test_a_file_is_flagged_at_its_third_wrong_version(spark, tmp_path):
     tried = spark.read.schema(attempts.TRIED).parquet(place("tried"))
     assert sorted(map(tuple, attempts.standing(tried).collect())) == [("a", 3, True), ("b", 2, False)]
     assert sorted((r["version"], r["attempt"]) for r in tried.where("file_name = 'a'").collect()) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_categories_of_all_packages_that_came(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    place = lambda x: str(tmp_path / x)
+    batches = [[("<w:b/>", "a"), ("", "b"), ("", "c")], [("<w:b/>", "d"), ("<w:b/>", "e"), ("<w:i/>", "f")]]
+    for i, some in enumerate(batches):  # a new start each time, on the state of the one before
+        (folder / f"{i}.docx").write_bytes(samples.package(samples.paragraph_xml(1, some)))
+        profile.count_categories(spark, str(folder), place("out"), place("log")).awaitTermination()
+    got = profile.ranked(spark.read.parquet(place("out"))).select("cat_id", "cnt", "key.bold", "key.italic", "is_baseline")
+    assert sorted(map(tuple, got.collect())) == [("F0", 3, True, False, True), ("F1", 2, False, False, False), ("F2", 1, False, True, False)]
+    whole = profile.counted(docx.runs(docx.read_packages(spark, str(folder)))).select("key", "cnt")
+    assert sorted(map(tuple, whole.collect()), key=repr) == sorted(map(tuple, profile.ranked(spark.read.parquet(place("out"))).select("key", "cnt").collect()), key=repr)
