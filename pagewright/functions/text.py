@@ -131,8 +131,9 @@ FEW = 1000
 
 def tag_faults(line: Column) -> Column:
     """Faults of the line's tags, in order, as (rule, found, expected): an extra close, a close that does not match, a tag left open. A close takes the last open tag even if it does not match."""
+    none = F.array().cast("array<struct<rule:string,found:string,expected:string>>")
     few = F.length(line) - F.length(F.replace(line, F.lit("<"), F.lit(""))) <= FEW
-    return F.when(few, folded_faults(line)).otherwise(placed_faults(line))
+    return F.when(~F.contains(line, F.lit("<")), none).when(few, folded_faults(line)).otherwise(placed_faults(line))
 
 
 def folded_faults(line: Column) -> Column:

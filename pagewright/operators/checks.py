@@ -35,6 +35,7 @@ def _of_line(mine: Column, theirs: Column, equal: bool = False) -> Column:
     my_id, their_id = strict_para_id(mine), strict_para_id(theirs)
     tags = F.transform(tag_faults(mine), lambda f: F.struct(F.lit("error").alias("severity"), f["rule"].alias("rule"), F.concat_ws(" ", f["found"], f["expected"]).alias("detail")))
     lost = F.transform(F.array_except(tag_types(theirs), tag_types(mine)), lambda x: _fault("TAG_TYPE_MISSING", x))
+    lost = F.when(F.contains(theirs, F.lit("<")), lost).otherwise(_none())
     rest = tags if equal else F.concat(_if(my_id != their_id, "ID_MISMATCH", F.concat_ws(" ", my_id, their_id)), tags, lost)
     faults = (F.when(mine.isNull(), F.array(_fault("CHUNK_LINE_MISSING"))).when(theirs.isNull(), F.array(_fault("ORIGIN_LINE_MISSING")))
               .when(my_id.isNull(), F.array(_fault("CHUNK_NO_ID"))).when(their_id.isNull(), F.array(_fault("ORIGIN_NO_ID"))).otherwise(rest))
