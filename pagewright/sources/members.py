@@ -15,6 +15,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 SHAPE = "path string, size long, part_ord int, arcname string, data binary, bytes_read long"
 #: Bytes of files that a task is given, unless option ``partitionBytes`` says otherwise: whole files, of which it reads only parts.
 PARTITION = 128 << 20
+#: Bytes that a file counts for beside its own: to open it and to read its directory takes time, too.
+OPEN = 256 << 10
 #: Bytes of members that leave a task together.
 BATCH = 8 << 20
 #: Bytes that a read of the directory or of a member's head takes at least.
@@ -111,11 +113,11 @@ class _Reader(DataSourceReader):
         groups: list[list[tuple[str, int]]] = []
         held = self.most
         for x in sorted((x for x in files if x.is_file and (found.is_file or fnmatchcase(x.base_name, self.glob))), key=lambda x: x.path):
-            if held + x.size > self.most:
+            if held + x.size + OPEN > self.most:
                 groups.append([])
                 held = 0
             groups[-1].append((x.path, x.size))
-            held += x.size
+            held += x.size + OPEN
         return [_Files(x) for x in groups or [[]]]
 
     def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
