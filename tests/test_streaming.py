@@ -2,6 +2,8 @@
 
 import time
 
+import pytest
+
 from pagewright.operators.counters import StreamCounters
 from pagewright.plans import samples
 from pagewright.sources import docx
@@ -39,6 +41,28 @@ def test_a_file_is_flagged_at_its_third_wrong_version(spark, tmp_path):
     assert sorted((r["version"], r["attempt"]) for r in tried.where("file_name = 'a'").collect()) == [(1, 1), (2, 2), (3, 3)]
 
 
+@pytest.mark.parametrize("keep_ms, want", [(0, [("a", 3, True), ("b", 1, False)]), (1, [("a", 1, False), ("b", 1, False)])])
+def test_files_in_one_bucket(spark, tmp_path, keep_ms, want):
+    place = lambda x: str(tmp_path / x)
+    for rows in [[("a", 1, 2), ("b", 1, 1), ("c", 1, 1)], [("a", 2, 1), ("b", 2, 0), ("c", 2, 0)], [("b", 3, 1), ("a", 3, 1)]]:
+        spark.createDataFrame(rows, attempts.CHECKED).write.mode("append").parquet(place("checked"))
+        attempts.follow(spark, place("checked"), place("tried"), place("log"), keep_ms=keep_ms, buckets=1).awaitTermination()
+    assert sorted(map(tuple, attempts.standing(spark.read.schema(attempts.TRIED).parquet(place("tried"))).collect())) == want
+
+
+def test_attempts_at_many_files(spark, tmp_path):
+    def took(n):
+        place = lambda x: str(tmp_path / f"{n}-{x}")
+        spark.range(n).selectExpr("concat('chunk_', id) AS file_name", "1L AS version", "id % 2 AS n_errors").write.parquet(place("checked"))
+        began = time.monotonic()
+        attempts.follow(spark, place("checked"), place("tried"), place("log")).awaitTermination()
+        assert spark.read.schema(attempts.TRIED).parquet(place("tried")).where("attempt = 1").count() == n // 2
+        return time.monotonic() - began
+
+    took(10)
+    assert took(12_000) < 3 * took(1_000)
+
+
 def test_categories_of_all_packages_that_came(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
