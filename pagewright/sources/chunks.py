@@ -19,6 +19,62 @@ def read_files(spark: SparkSession, path: str, glob: str = "chunk_*.md") -> Data
     return as_text(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path))
 
 
+#: Files that a task reads, and bytes of them that leave it together.
+FILES, TOGETHER = 2000, 1 << 20
+
+
+def read_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """path, content of the files in ``root``, a URI of a store that Arrow knows, and in the folders in it (not in those below); names that begin with a dot or a line are left out, as Spark does.
+
+    For very many small files: Spark's own reader lists them to the driver and makes a task of each 32. Here tasks list the folders, and the names, a written table, are dealt over tasks that read
+    ``FILES`` each. What one folder holds is listed by one task, so files should be dealt over folders.
+    """
+    from pyarrow import fs
+
+    scratch, cores, names = Scratch(spark, "read-tree"), spark.sparkContext.defaultParallelism, ["folder", "file_name"]
+
+    def rows(found: list[tuple[str, str | None]]) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(found), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found[at:at + 10_000]], pa.string()) for i in range(2)], names=names)
+
+    def inside(store, place: str, folder: str) -> list[tuple[str, str | None]]:
+        """Files in a folder; of the root, the folders in it, too, without a name."""
+        own = [x for x in store.get_file_info(fs.FileSelector(place)) if not x.base_name.startswith((".", "_"))]
+        return [(folder, x.base_name) if x.is_file else (x.base_name, None) for x in own if (fnmatch(x.base_name, glob) if x.is_file else not folder)]
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root)
+        for _ in batches:
+            yield from rows(inside(store, base, ""))
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                yield from rows(inside(store, f"{base}/{folder}", folder))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root)
+        paths, contents, size = [], [], 0
+        for batch in batches:
+            for folder, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                paths.append("/".join([root, *([folder] if folder else []), name]))
+                with store.open_input_stream("/".join([base, *([folder] if folder else []), name])) as file:
+                    contents.append(file.read())
+                size += len(contents[-1])
+                if size >= TOGETHER or len(paths) == FILES:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(contents, pa.binary())], names=["path", "content"])
+                    paths, contents, size = [], [], 0
+        if paths:
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(contents, pa.binary())], names=["path", "content"])
+
+    first = scratch.save(spark.range(0, 1, 1, 1).mapInArrow(top, "folder string, file_name string"), "top")
+    found = first.where("file_name is not null")
+    folders = first.where("file_name is null")
+    found = scratch.save(found.unionByName(folders.repartition(4 * cores).mapInArrow(below, "folder string, file_name string")), "names")
+    return found.repartition(max(cores, -(-found.count() // FILES))).mapInArrow(read, "path string, content binary")
+
+
 def as_text(files: DataFrame) -> DataFrame:
     return files.select(F.element_at(F.split(F.col("path"), "/"), -1).alias("file_name"), F.try_validate_utf8(F.col("content").cast("string")).alias("value"))
 
@@ -70,10 +126,11 @@ def write_files(files: DataFrame, root: str, folder: str | None = None, *, repla
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(root)
-        store.create_dir(f"{base}/{staging}", recursive=True)
+        mine = uuid.uuid4().hex  # a folder for each task: they do not wait for each other
+        store.create_dir(f"{base}/{staging}/{mine}", recursive=True)
         for batch in batches:
             names, contents, places = (c.to_pylist() for c in batch.columns)
-            own = [uuid.uuid4().hex for _ in names]
+            own = [f"{mine}/{uuid.uuid4().hex}" for _ in names]
             for name, content in zip(own, contents, strict=True):
                 with store.open_output_stream(f"{base}/{staging}/{name}") as out:
                     out.write(content)
@@ -81,13 +138,21 @@ def write_files(files: DataFrame, root: str, folder: str | None = None, *, repla
 
     def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(root)
+        made = ""
         for batch in batches:
             for place, name, own, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 source, target = f"{base}/{staging}/{own}", "/".join([base, *([place] if place else []), name])
-                store.create_dir(target.rpartition("/")[0], recursive=True)
-                if store.get_file_info(source).type != fs.FileType.NotFound:  # else an earlier attempt has moved it
-                    if store.get_file_info(target).type != fs.FileType.NotFound:
-                        store.delete_file(target)
+                if (parent := target.rpartition("/")[0]) != made:
+                    store.create_dir(parent, recursive=True)
+                    made = parent
+                try:
+                    store.move(source, target)
+                except OSError:
+                    if store.get_file_info(source).type == fs.FileType.NotFound:  # an earlier attempt has moved it
+                        continue
+                    if store.get_file_info(target).type == fs.FileType.NotFound:
+                        raise
+                    store.delete_file(target)  # a store that moves to no name that is taken
                     store.move(source, target)
             yield batch.select(["size"])
 
