@@ -447,11 +447,11 @@ def chunk_rewrite(spark, sf_dir):
 def read_faults(spark, sf_dir):
     """Files that are no text, among others that are read; and a folder that is not there."""
     content = F.col("text").cast("binary")
-    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("chunk_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file_name"), F.when(F.col("doc_id") % 7 == 3, F.concat(content, F.unhex(F.lit("FF")))).otherwise(content).alias("content"))
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("chunk_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file_name"), F.when(F.col("doc_id") % 7 == 3, F.concat(content, F.unhex(F.lit("FF")))).otherwise(content).alias("content"), (F.col("doc_id") % FOLDERS).alias("folder"))
     place = Scratch(spark, "read-faults").path("files")
-    chunks.write_files(files, place if "://" in place else f"file://{place}")
+    chunks.write_files(files, _root(place), "folder")
     folders = spark.createDataFrame([(x, is_there(spark, x)) for x in (place, place + "-none")], "folder string, there boolean")
-    return checks.read_faults(chunks.unread(chunks.read_files(spark, place))).unionByName(checks.missing_folders(folders)).select("file_name", "rule", "severity")
+    return checks.read_faults(chunks.unread(chunks.as_text(chunks.read_tree(spark, _root(place), "chunk_*.md")))).unionByName(checks.missing_folders(folders)).select("file_name", "rule", "severity")
 
 
 def _chunked(lines: DataFrame) -> DataFrame:
