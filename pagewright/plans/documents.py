@@ -13,7 +13,7 @@ from ..functions.wordml import DOCUMENT, as_utf8, rebuild_span, spliced, unzip,
 from ..operators import chunking, formatting, lookups
 from ..scratch import Scratch
 from ..sources import docx
-from ..sources.docx import DOCUMENTS
+from ..sources.docx import slices
 
 PARA = ["doc_hash", "para_ord"]
 
@@ -99,11 +99,10 @@ def rebuild(packages: DataFrame, texts: DataFrame, registries: DataFrame, *, ord
     joined = packages.select("doc_hash", "content").join(F.broadcast(new) if size <= BROADCAST else new, "doc_hash", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, DOCUMENTS):
-                rows = zip(*(c.to_pylist() for c in batch.slice(at, DOCUMENTS).columns), strict=True)
-                out = [(doc_hash, _with(content, [(x["begin"], x["end"], x["xml"]) for x in splices or []])) for doc_hash, content, splices in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.binary())], names=["doc_hash", "content"])
+        for batch in slices(batches):
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            out = [(doc_hash, _with(content, [(x["begin"], x["end"], x["xml"]) for x in splices or []])) for doc_hash, content, splices in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.binary())], names=["doc_hash", "content"])
 
     return joined.select("doc_hash", "content", "splices").mapInArrow(run, "doc_hash string, content binary")
 
@@ -111,7 +110,7 @@ def rebuild(packages: DataFrame, texts: DataFrame, registries: DataFrame, *, ord
 def _built(rows: DataFrame, compat: bool) -> DataFrame:
     """doc_hash, begin, end, xml of paragraphs with their edits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for xml, spaces, edits in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
                 given = {x["number"]: (x["text"], [tuple(p.values()) for p in x["parts"]], x["base"]) for x in edits}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.omml import W
 from ..functions.wordml import DOCUMENT, W14, zip_parts
 from ..scratch import Scratch
-from ..sources.docx import DOCUMENTS
+from ..sources.docx import slices
 from .adapters import table
 
 OPEN = f'<w:document xmlns:w="{W[1:-1]}" xmlns:w14="{W14[1:-1]}" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"><w:body>'
@@ -75,13 +75,11 @@ def _made(spark: SparkSession, sf_dir: str, body: Callable[[list[dict]], str], p
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, DOCUMENTS):
-                some = batch.slice(at, DOCUMENTS)
-                ids = some.column(0).to_pylist()
-                beside = lambda i: (("word/media/image1.png", hashlib.shake_256(str(i).encode()).digest(picture)),) if picture else ()
-                made = [package(body(rows), (("[Content_Types].xml", f"<Types of=\"{i}\"/>".encode()), *beside(i))) for i, rows in zip(ids, some.column(1).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([f"{i}.docx" for i in ids]), pa.array(made, pa.binary())], names=["conv_id", "path", "content"])
+        for some in slices(batches):
+            ids = some.column(0).to_pylist()
+            beside = lambda i: (("word/media/image1.png", hashlib.shake_256(str(i).encode()).digest(picture)),) if picture else ()
+            made = [package(body(rows), (("[Content_Types].xml", f"<Types of=\"{i}\"/>".encode()), *beside(i))) for i, rows in zip(ids, some.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([f"{i}.docx" for i in ids]), pa.array(made, pa.binary())], names=["conv_id", "path", "content"])
 
     made = turns.mapInArrow(run, "conv_id long, path string, content binary")
     return Scratch(spark, "samples").save(made.select("path", F.octet_length("content").cast("long").alias("length"), "content", F.sha2("content", 256).alias("doc_hash"), "conv_id"), "packages")

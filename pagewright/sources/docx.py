@@ -27,8 +27,17 @@ def as_packages(files: DataFrame) -> DataFrame:
     return files.withColumn("doc_hash", F.sha2("content", 256))
 
 
-#: Documents whose rows leave together.
-DOCUMENTS = 64
+#: Documents whose rows leave together, and bytes of what is taken out of Arrow for them at once.
+DOCUMENTS, BYTES = 64, 1 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time: what Spark sends together may be ten thousand, which as Python objects are many times their bytes. Memory that Arrow holds without use is given back."""
+    for batch in batches:
+        step = max(1, min(DOCUMENTS, BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+        pa.default_memory_pool().release_unused()
 
 
 def parts(packages: DataFrame) -> DataFrame:
@@ -44,9 +53,8 @@ def parts(packages: DataFrame) -> DataFrame:
 
 def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[bytes]]]:
     """Hashes and contents of a few packages at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, DOCUMENTS):
-            yield tuple(c.to_pylist() for c in batch.slice(at, DOCUMENTS).columns)
+    for batch in slices(batches):
+        yield tuple(c.to_pylist() for c in batch.columns)
 
 
 def runs(packages: DataFrame, *, compat: bool = False) -> DataFrame:
