@@ -465,7 +465,7 @@ def docx_rebuild(spark, sf_dir):
     packages = samples.conversation_packages(spark, sf_dir)
     lines, registries = documents.extract(documents.shred(packages))
     rebuilt = documents.rebuild(packages, _chunked(lines), registries, order=["file_name", "line_no"])
-    again = _named(docx.runs(rebuilt), packages)  # runs of the new packages, under the old ones' hashes
+    again = _named(documents.shred(rebuilt), packages)  # runs of the new packages, under the old ones' hashes
     return again.select("conv_id", "para_id", "run_ord", F.col("fmt.bold").alias("bold"), "text")
 
 

@@ -13,14 +13,14 @@ from ..functions.wordml import DOCUMENT, as_utf8, rebuild_span, spliced, unzip,
 from ..operators import chunking, formatting, lookups
 from ..scratch import Scratch
 from ..sources import docx
-from ..sources.docx import slices
+from ..sources.docx import SENT_ROWS, slices
 
 PARA = ["doc_hash", "para_ord"]
 
 
 def shred(packages: DataFrame, *, compat: bool = False) -> DataFrame:
     """The runs of all packages, parsed once, as a written table."""
-    return Scratch(packages.sparkSession, "runs").save(docx.runs(packages, compat=compat), "runs")
+    return Scratch(packages.sparkSession, "runs", SENT_ROWS).save(docx.runs(packages, compat=compat), "runs")
 
 
 def categories(runs: DataFrame) -> DataFrame:
@@ -76,8 +76,9 @@ def rebuild(packages: DataFrame, texts: DataFrame, registries: DataFrame, *, ord
     Of texts with one id the last by ``order`` goes to all paragraphs that have it. Edits, formats and paragraphs are rows that meet by document and id, so a long document is
     as many rows as it has edited paragraphs. Only new paragraphs are gathered by document, and spliced into the bytes of its main part; all other bytes
     stay as they are. Packages wait where they are unless the new paragraphs are too many to be sent there.
+    The result is a written table: what reads it in Python has no second worker for each task beside its own.
     """
-    scratch = Scratch(packages.sparkSession, "rebuild")
+    scratch = Scratch(packages.sparkSession, "rebuild", SENT_ROWS)
     edits = lookups.last_by(texts.where("para_id is not null and text is not null").withColumn("para_id", F.upper("para_id")), ["doc_hash", "para_id"], "text", order)
     formats = lookups.registry_formats(F.col("registry"), registries, ["doc_hash"])
     overall = formats.where("para_id is null").select("doc_hash", F.col("formats").alias("all_formats"), F.col("base").alias("all_base"))
@@ -104,7 +105,7 @@ def rebuild(packages: DataFrame, texts: DataFrame, registries: DataFrame, *, ord
             out = [(doc_hash, _with(content, [(x["begin"], x["end"], x["xml"]) for x in splices or []])) for doc_hash, content, splices in rows]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.binary())], names=["doc_hash", "content"])
 
-    return joined.select("doc_hash", "content", "splices").mapInArrow(run, "doc_hash string, content binary")
+    return scratch.save(joined.select("doc_hash", "content", "splices").mapInArrow(run, "doc_hash string, content binary"), "rebuilt")
 
 
 def _built(rows: DataFrame, compat: bool) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.omml import W
 from ..functions.wordml import DOCUMENT, W14, zip_parts
 from ..scratch import Scratch
-from ..sources.docx import slices
+from ..sources.docx import SENT_ROWS, slices
 from .adapters import table
 
 OPEN = f'<w:document xmlns:w="{W[1:-1]}" xmlns:w14="{W14[1:-1]}" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"><w:body>'
@@ -82,4 +82,4 @@ def _made(spark: SparkSession, sf_dir: str, body: Callable[[list[dict]], str], p
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array([f"{i}.docx" for i in ids]), pa.array(made, pa.binary())], names=["conv_id", "path", "content"])
 
     made = turns.mapInArrow(run, "conv_id long, path string, content binary")
-    return Scratch(spark, "samples").save(made.select("path", F.octet_length("content").cast("long").alias("length"), "content", F.sha2("content", 256).alias("doc_hash"), "conv_id"), "packages")
+    return Scratch(spark, "samples", SENT_ROWS).save(made.select("path", F.octet_length("content").cast("long").alias("length"), "content", F.sha2("content", 256).alias("doc_hash"), "conv_id"), "packages")

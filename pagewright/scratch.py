@@ -9,6 +9,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,14 +26,34 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+#: Setting of the rows that Spark sends to a Python worker at once.
+SENT = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def sent_at_once(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While it lasts, queries that are run send Python workers at most so many rows at once; fewer, if the session says so."""
+    before = spark.conf.get(SENT)
+    if 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(SENT, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(SENT, before)
+
+
 class Scratch:
     """One folder per operator call; ``drop`` frees a table that later steps no longer read.
 
+    ``rows``: what Spark sends to a Python worker at once while a table is written; if not given, what the session says.
+
     What is left when the driver ends is removed then: results are lazy and may still read it.
     """
 
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, rows: int | None = None) -> None:
+        self.spark, self.rows = spark, rows
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self._remove, self.root)
 
@@ -39,7 +61,8 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        with sent_at_once(self.spark, self.rows) if self.rows else nullcontext():
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.load(name, df.schema)
 
     def load(self, name: str, schema) -> DataFrame:

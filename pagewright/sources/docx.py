@@ -29,6 +29,8 @@ def as_packages(files: DataFrame) -> DataFrame:
 
 #: Documents whose rows leave together, and bytes of what is taken out of Arrow for them at once.
 DOCUMENTS, BYTES = 64, 1 << 20
+#: Packages or paragraphs that Spark sends to a Python worker at once while tables of them are written: a worker holds two such batches, however many rows a task has.
+SENT_ROWS = 256
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
